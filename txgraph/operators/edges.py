@@ -91,3 +91,26 @@ def rowwise_edges(df: DataFrame, src_id: str, dst_id: str, order_col: Optional[s
     if order_col:
         cols.append(F.col(order_col).alias("row_index"))
     return df.select(*cols)
+
+
+def monopartite_counts(df: DataFrame, primary_id: str, aux_id: str) -> DataFrame:
+    """Exact (n_edges, n_bag) of a monopartite edge type without materialising pairs
+    when every primary has at most one auxiliary value (the common case: a
+    transaction has one city). Otherwise the weighted pairs are built and counted.
+
+    n_bag  = sum over values g of (rows_g^2 - sum_p rows_pg^2)
+    n_edges = sum over g of (d_g^2 - d_g), d_g = distinct primaries with value g
+    """
+    counts = (df.select(F.col(aux_id).alias("aux"), F.col(primary_id).alias("p"))
+              .na.drop(subset=["aux", "p"])
+              .groupBy("aux", "p").agg(F.count(F.lit(1)).alias("c")))
+    per_aux = counts.groupBy("aux").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("s2"),
+                                        F.count(F.lit(1)).alias("d"))
+    many = counts.groupBy("p").count().filter("count > 1").limit(1).count() > 0
+    sums = per_aux.agg(
+        F.coalesce(F.sum(F.col("d") * F.col("d") - F.col("d")), F.lit(0)).cast("bigint").alias("n_edges"),
+        F.coalesce(F.sum(F.col("s") * F.col("s") - F.col("s2")), F.lit(0)).cast("bigint").alias("n_bag"))
+    if many:
+        n = monopartite_weighted(df, primary_id, aux_id).count()
+        sums = sums.withColumn("n_edges", F.lit(n).cast("bigint"))
+    return sums
