@@ -112,11 +112,8 @@ def build_graph(
                         inference_filters=inference_filters, cust_col=cust_col)
     base = materialise(base, materialise_as)
     g = HeteroGraph(definition=definition, split=split)
-    for ntype, nd in definition.nodes.items():
-        kt = node_key_table(base, nd, "node_id", cust_col)
-        g.key_tables[ntype] = kt
-        base = attach_ids(base, kt.withColumnRenamed("node_id", id_col(ntype)), list(nd.keys), id_col(ntype))
-    base = materialise(base, materialise_as)
+    g.key_tables = key_tables(base, definition, cust_col)
+    base = materialise(attach_all_ids(base, definition, g.key_tables), materialise_as)
     g.base = base
     order_cols = [timestamp_col, *tie_cols]
     for ntype in definition.primary_types:
@@ -130,6 +127,21 @@ def build_graph(
     return g
 
 
+def key_tables(base: DataFrame, definition: GraphDefinition, cust_col: Optional[str] = None,
+               types: Optional[Sequence[str]] = None) -> dict:
+    """ntype -> (keys..., node_id), every one derived from the same pinned base so the
+    plan grows linearly with the number of node types."""
+    return {t: node_key_table(base, definition.nodes[t], "node_id", cust_col)
+            for t in (types or list(definition.nodes))}
+
+
+def attach_all_ids(base: DataFrame, definition: GraphDefinition, tables: dict) -> DataFrame:
+    out = base
+    for t, kt in tables.items():
+        out = attach_ids(out, kt.withColumnRenamed("node_id", id_col(t)), list(definition.nodes[t].keys), id_col(t))
+    return out
+
+
 def build_edges(base: DataFrame, definition: GraphDefinition, mono_form: str = "weighted") -> dict:
     mono: dict = {}
     edges: dict = {}

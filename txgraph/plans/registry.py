@@ -27,7 +27,8 @@ from txgraph.operators.splits import (SplitSettings, add_split_codes, apply_filt
                                       positional_split, resolve_split, row_batches, split_view, tag_inference,
                                       with_row_index)
 from txgraph.operators.validity import node_key_table
-from txgraph.plans.batch_graph import build_graph, data_checks, graph_catalogue, id_col, node_summary, prepare_base
+from txgraph.plans.batch_graph import (attach_all_ids, build_graph, data_checks, graph_catalogue, id_col, key_tables,
+                                      materialise, node_summary, prepare_base)
 from txgraph.plans.dynamic_graph import DynamicGraph, TabularTable
 from txgraph.plans.prequential import prequential_scores
 from txgraph.session import scratch_path
@@ -53,10 +54,8 @@ def _tx_base(spark, sf, definition: GraphDefinition, cust_col=None) -> DataFrame
 
 
 def _with_ids(base: DataFrame, definition: GraphDefinition, types) -> DataFrame:
-    for t in types:
-        kt = node_key_table(base, definition.nodes[t], id_col(t))
-        base = attach_ids(base, kt, list(definition.nodes[t].keys), id_col(t))
-    return base
+    base = materialise(base)
+    return attach_all_ids(base, definition, key_tables(base, definition, types=types))
 
 
 def _events_table(spark, sf) -> DataFrame:
