@@ -412,7 +412,7 @@ SQL = {
         "run AS (SELECT user_id, vis, sum(s) OVER o AS rs, sum(n) OVER o AS rn FROM per "
         "WINDOW o AS (PARTITION BY user_id ORDER BY vis ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
         "SELECT v.vis AS batch_id, v.event_id, round(1.0 * coalesce(v.\"value\", 0.0) + 1.0 * coalesce(CASE WHEN "
-        "run.rn > 0 THEN run.rs / run.rn END, 0.0) + 0.0, 6) AS score, CAST(v.label AS INTEGER) AS label "
+        "run.rn > 0 THEN run.rs / run.rn END, 0.0) + 0.0, 9) AS score, CAST(v.label AS INTEGER) AS label "
         "FROM v LEFT JOIN run ON v.user_id = run.user_id AND v.vis = run.vis WHERE v.mask = 'test'"),
     "csv_round_trip": "SELECT r_regionkey, r_name FROM region",
 }
