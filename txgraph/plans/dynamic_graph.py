@@ -96,21 +96,24 @@ class DynamicGraph:
             incoming = incr.select(col).filter(F.col(col).isNotNull()).distinct()
             _, new = known_and_new(incoming, self.keys[ntype], [col])
             new_ids = dense_ids(new, [col], "node_id", offset=num[ntype], assume_distinct=True)
-            keys[ntype] = self.keys[ntype].unionByName(new_ids).persist(StorageLevel.MEMORY_AND_DISK)
+            # the new state refers to the old one twice (union + anti-join): cut the lineage
+            # so the plan stays flat however many increments are folded in
+            keys[ntype] = self.keys[ntype].unionByName(new_ids).checkpoint(eager=True)
             num[ntype] = keys[ntype].count()
         with_ids = self._attach(incr, keys)
-        edges = {et: self.edges[et].unionByName(_edges(with_ids, d, et, order_col)) for et in d.edges}
+        edges = {et: self.edges[et].unionByName(_edges(with_ids, d, et, order_col)).checkpoint(eager=True)
+                 for et in d.edges}
         features = {}
         for c, feats in d.node_features.items():
             t = d.node_type(c)
             fresh = first_row_features(with_ids, f"{c}__id", feats, order_col)
             old = self.features[t]
             # known nodes take the increment's first row; new nodes are appended
-            features[t] = old.join(fresh, "node_id", "left_anti").unionByName(fresh)
+            features[t] = old.join(fresh, "node_id", "left_anti").unionByName(fresh).checkpoint(eager=True)
         labels = self.labels
         if d.label_col is not None:
             fresh = _labels(with_ids, d, order_col)
-            labels = self.labels.unionByName(fresh.join(self.labels, "node_id", "left_anti"))
+            labels = self.labels.unionByName(fresh.join(self.labels, "node_id", "left_anti")).checkpoint(eager=True)
         return DynamicGraph(d, keys, features, edges, labels, num)
 
     # -- views (G9 G17) -----------------------------------------------------
