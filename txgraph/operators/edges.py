@@ -30,21 +30,35 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cols)
 
 
+def _pair_counts(df: DataFrame, primary_id: str, aux_id: str) -> DataFrame:
+    return (df.select(F.col(aux_id).alias("aux"), F.col(primary_id).alias("p"))
+            .na.drop(subset=["aux", "p"])
+            .groupBy("aux", "p").agg(F.count(F.lit(1)).alias("c")))
+
+
+def single_valued(counts: DataFrame) -> bool:
+    """True when no primary has two auxiliary values (one small aggregate, stops at the first hit)."""
+    return counts.groupBy("p").count().filter("count > 1").limit(1).count() == 0
+
+
 def monopartite_weighted(
     df: DataFrame,
     primary_id: str,
     aux_id: str,
-    salt_target: int = 2048,
+    salt_target: int = 256,
     max_salt: int = 4096,
+    one_value_per_primary: Optional[bool] = None,
 ) -> DataFrame:
     """(src, dst, weight): ordered pairs of distinct primaries sharing an aux value.
 
     ``weight`` equals the number of rows the row-level self-join would emit for the
-    pair; summing weights gives the bag edge count.
+    pair; summing weights gives the bag edge count. When every primary has a single
+    auxiliary value (checked unless given), pairs from different values cannot meet,
+    so the final re-aggregation over (src, dst) — a shuffle of all pairs — is skipped.
     """
-    counts = (df.select(F.col(aux_id).alias("aux"), F.col(primary_id).alias("p"))
-              .na.drop(subset=["aux", "p"])
-              .groupBy("aux", "p").agg(F.count(F.lit(1)).alias("c")))
+    counts = _pair_counts(df, primary_id, aux_id)
+    if one_value_per_primary is None:
+        one_value_per_primary = single_valued(counts)
     degree = counts.groupBy("aux").agg(F.count(F.lit(1)).alias("deg"))
     salts = degree.select(
         "aux",
@@ -57,8 +71,10 @@ def monopartite_weighted(
                           F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
     pairs = (left.join(right, ["aux", "salt"])
              .filter(F.col("src") != F.col("dst"))
-             .select("src", "dst", (F.col("ca") * F.col("cb")).alias("w")))
-    return pairs.groupBy("src", "dst").agg(F.sum("w").cast("bigint").alias("weight"))
+             .select("src", "dst", (F.col("ca") * F.col("cb")).cast("bigint").alias("weight")))
+    if one_value_per_primary:
+        return pairs
+    return pairs.groupBy("src", "dst").agg(F.sum("weight").cast("bigint").alias("weight"))
 
 
 def expand_bag(weighted: DataFrame) -> DataFrame:
@@ -101,12 +117,10 @@ def monopartite_counts(df: DataFrame, primary_id: str, aux_id: str) -> DataFrame
     n_bag  = sum over values g of (rows_g^2 - sum_p rows_pg^2)
     n_edges = sum over g of (d_g^2 - d_g), d_g = distinct primaries with value g
     """
-    counts = (df.select(F.col(aux_id).alias("aux"), F.col(primary_id).alias("p"))
-              .na.drop(subset=["aux", "p"])
-              .groupBy("aux", "p").agg(F.count(F.lit(1)).alias("c")))
+    counts = _pair_counts(df, primary_id, aux_id)
     per_aux = counts.groupBy("aux").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("s2"),
                                         F.count(F.lit(1)).alias("d"))
-    many = counts.groupBy("p").count().filter("count > 1").limit(1).count() > 0
+    many = not single_valued(counts)
     sums = per_aux.agg(
         F.coalesce(F.sum(F.col("d") * F.col("d") - F.col("d")), F.lit(0)).cast("bigint").alias("n_edges"),
         F.coalesce(F.sum(F.col("s") * F.col("s") - F.col("s2")), F.lit(0)).cast("bigint").alias("n_bag"))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from txgraph.definitions import BiEdge, GraphDefinition, MonoEdge
 from txgraph.functions import from_epoch, to_columns
-from txgraph.operators.edges import (bipartite_edges, expand_bag, merge_weighted, monopartite_weighted,
-                                     reverse_edges)
+from txgraph.operators.edges import (bipartite_edges, expand_bag, merge_weighted, monopartite_counts,
+                                     monopartite_weighted, reverse_edges)
 from txgraph.operators.features import DEFAULT_MAX_ONEHOT, encode_node_features
 from txgraph.operators.ids import attach_ids
 from txgraph.operators.nodes import node_table
@@ -40,6 +40,7 @@ class HeteroGraph:
     nodes: dict = field(default_factory=dict)      # ntype -> DataFrame(node_id, time_attr, feats, [label...])
     edges: dict = field(default_factory=dict)      # (src, rel, dst) -> DataFrame(src, dst[, weight])
     key_tables: dict = field(default_factory=dict)  # ntype -> DataFrame(keys..., node_id)
+    mono_sources: dict = field(default_factory=dict)  # mono triple -> [(primary id col, aux id col)]
     base: Optional[DataFrame] = None
     split: Optional[DateSplit] = None
 
@@ -124,6 +125,10 @@ def build_graph(
         g.nodes[ntype] = node_table(enc.df, id_col(ntype), enc.feature_cols, order_cols, timestamp_col,
                                     labelled=(ntype == definition.labelled))
     g.edges = build_edges(base, definition, mono_form)
+    for e in definition.edges:
+        if isinstance(e, MonoEdge):
+            g.mono_sources.setdefault((e.primary, e.relation, e.primary), []).append(
+                (id_col(e.primary), id_col(e.auxiliary)))
     return g
 
 
@@ -166,8 +171,14 @@ def graph_catalogue(graph: HeteroGraph) -> DataFrame:
     parts = []
     for (s, r, d) in graph.definition.canonical_edges:
         e = graph.edges.get((s, r, d))
-        w = F.sum("weight") if e is not None and "weight" in e.columns else F.count(F.lit(1))
-        parts.append(e.agg(F.count(F.lit(1)).cast("bigint").alias("n_edges"), w.cast("bigint").alias("n_bag"))
+        src = graph.mono_sources.get((s, r, d), [])
+        if len(src) == 1 and e is not None and "weight" in e.columns:
+            # exact counts from per-value counts: the pairs are never built just to be counted
+            counted = monopartite_counts(graph.base, *src[0])
+        else:
+            w = F.sum("weight") if e is not None and "weight" in e.columns else F.count(F.lit(1))
+            counted = e.agg(F.count(F.lit(1)).cast("bigint").alias("n_edges"), w.cast("bigint").alias("n_bag"))
+        parts.append(counted
                      .select(F.lit(s).alias("src_type"), F.lit(r).alias("relation"), F.lit(d).alias("dst_type"),
                              "n_edges", F.coalesce("n_bag", F.lit(0)).cast("bigint").alias("n_bag")))
     out = parts[0]
