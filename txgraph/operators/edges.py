@@ -36,6 +36,15 @@ def _pair_counts(df: DataFrame, primary_id: str, aux_id: str) -> DataFrame:
             .groupBy("aux", "p").agg(F.count(F.lit(1)).alias("c")))
 
 
+def single_valued_map(df: DataFrame, primary_id: str, aux_ids: list) -> dict:
+    """For several auxiliary id columns at once: does every primary have at most one value?
+    One two-level aggregate (min != max per primary), one job."""
+    per_p = df.filter(F.col(primary_id).isNotNull()).groupBy(primary_id).agg(
+        *[(F.min(a) != F.max(a)).cast("int").alias(f"_m{i}") for i, a in enumerate(aux_ids)])
+    row = per_p.agg(*[F.coalesce(F.max(f"_m{i}"), F.lit(0)).alias(f"_m{i}") for i in range(len(aux_ids))]).first()
+    return {a: row[f"_m{i}"] == 0 for i, a in enumerate(aux_ids)}
+
+
 def single_valued(counts: DataFrame) -> bool:
     """True when no primary has two auxiliary values (one small aggregate, stops at the first hit)."""
     return counts.groupBy("p").count().filter("count > 1").limit(1).count() == 0
@@ -109,7 +118,8 @@ def rowwise_edges(df: DataFrame, src_id: str, dst_id: str, order_col: Optional[s
     return df.select(*cols)
 
 
-def monopartite_counts(df: DataFrame, primary_id: str, aux_id: str) -> DataFrame:
+def monopartite_counts(df: DataFrame, primary_id: str, aux_id: str,
+                       one_value_per_primary: Optional[bool] = None) -> DataFrame:
     """Exact (n_edges, n_bag) of a monopartite edge type without materialising pairs
     when every primary has at most one auxiliary value (the common case: a
     transaction has one city). Otherwise the weighted pairs are built and counted.
@@ -120,7 +130,7 @@ def monopartite_counts(df: DataFrame, primary_id: str, aux_id: str) -> DataFrame
     counts = _pair_counts(df, primary_id, aux_id)
     per_aux = counts.groupBy("aux").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("s2"),
                                         F.count(F.lit(1)).alias("d"))
-    many = not single_valued(counts)
+    many = not (single_valued(counts) if one_value_per_primary is None else one_value_per_primary)
     sums = per_aux.agg(
         F.coalesce(F.sum(F.col("d") * F.col("d") - F.col("d")), F.lit(0)).cast("bigint").alias("n_edges"),
         F.coalesce(F.sum(F.col("s") * F.col("s") - F.col("s2")), F.lit(0)).cast("bigint").alias("n_bag"))

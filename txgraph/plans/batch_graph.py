@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from txgraph.definitions import BiEdge, GraphDefinition, MonoEdge
 from txgraph.functions import from_epoch, to_columns
 from txgraph.operators.edges import (bipartite_edges, expand_bag, merge_weighted, monopartite_counts,
-                                     monopartite_weighted, reverse_edges)
+                                     monopartite_weighted, reverse_edges, single_valued_map)
 from txgraph.operators.features import DEFAULT_MAX_ONEHOT, encode_node_features
 from txgraph.operators.ids import attach_ids
 from txgraph.operators.nodes import node_table
@@ -124,11 +124,12 @@ def build_graph(
                                    max_onehot=max_onehot, fit_split=fit_split)
         g.nodes[ntype] = node_table(enc.df, id_col(ntype), enc.feature_cols, order_cols, timestamp_col,
                                     labelled=(ntype == definition.labelled))
-    g.edges = build_edges(base, definition, mono_form)
+    single = mono_single_valued(base, definition)
+    g.edges = build_edges(base, definition, mono_form, single)
     for e in definition.edges:
         if isinstance(e, MonoEdge):
             g.mono_sources.setdefault((e.primary, e.relation, e.primary), []).append(
-                (id_col(e.primary), id_col(e.auxiliary)))
+                (id_col(e.primary), id_col(e.auxiliary), single[(e.primary, e.auxiliary)]))
     return g
 
 
@@ -147,12 +148,29 @@ def attach_all_ids(base: DataFrame, definition: GraphDefinition, tables: dict) -
     return out
 
 
-def build_edges(base: DataFrame, definition: GraphDefinition, mono_form: str = "weighted") -> dict:
+def mono_single_valued(base: DataFrame, definition: GraphDefinition) -> dict:
+    """(primary, auxiliary) -> True when each primary node has one auxiliary value;
+    one aggregate per primary type."""
+    by_primary: dict = {}
+    for e in definition.edges:
+        if isinstance(e, MonoEdge):
+            by_primary.setdefault(e.primary, []).append(e.auxiliary)
+    out = {}
+    for p, auxes in by_primary.items():
+        flags = single_valued_map(base, id_col(p), [id_col(a) for a in dict.fromkeys(auxes)])
+        out.update({(p, a): flags[id_col(a)] for a in auxes})
+    return out
+
+
+def build_edges(base: DataFrame, definition: GraphDefinition, mono_form: str = "weighted",
+                single: Optional[dict] = None) -> dict:
     mono: dict = {}
     edges: dict = {}
+    single = mono_single_valued(base, definition) if single is None else single
     for e in definition.edges:
         if isinstance(e, MonoEdge):
-            w = monopartite_weighted(base, id_col(e.primary), id_col(e.auxiliary))
+            w = monopartite_weighted(base, id_col(e.primary), id_col(e.auxiliary),
+                                     one_value_per_primary=single[(e.primary, e.auxiliary)])
             mono.setdefault((e.primary, e.relation, e.primary), []).append(w)
         elif isinstance(e, BiEdge):
             fwd = bipartite_edges(base, id_col(e.src), id_col(e.dst))
@@ -174,7 +192,8 @@ def graph_catalogue(graph: HeteroGraph) -> DataFrame:
         src = graph.mono_sources.get((s, r, d), [])
         if len(src) == 1 and e is not None and "weight" in e.columns:
             # exact counts from per-value counts: the pairs are never built just to be counted
-            counted = monopartite_counts(graph.base, *src[0])
+            p_col, a_col, one = src[0]
+            counted = monopartite_counts(graph.base, p_col, a_col, one)
         else:
             w = F.sum("weight") if e is not None and "weight" in e.columns else F.count(F.lit(1))
             counted = e.agg(F.count(F.lit(1)).cast("bigint").alias("n_edges"), w.cast("bigint").alias("n_bag"))
