@@ -43,7 +43,8 @@ def fill_null_nan(c: ColumnLike, value: float) -> Column:
 def from_epoch(c: ColumnLike) -> Column:
     """Epoch seconds -> timestamp_ntz (UTC wall clock)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.timestamp_seconds(c).cast("timestamp_ntz")
+    # epoch + interval on timestamp_ntz: independent of the session time zone
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=c.cast("decimal(18,6)"))
 
 
 def epoch_seconds(c: ColumnLike) -> Column:
