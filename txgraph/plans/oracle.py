@@ -69,8 +69,6 @@ def _mono_pairs(name: str, p: str, aux: str, src: str = "b") -> str:
 
 _ATTRS = [("LAST_NAME", '"last"'), ("CITY", "city"), ("JOB", "job"), ("DOB", "dob"),
           ("FIRST_ORDER_DATE", "first_order_date"), ("FIRST_ORDER_MERCHANT", "first_order_merchant")]
-_ATTR_REL = {"LAST_NAME": "LAST_NAME", "CITY": "CITY", "JOB": "JOB", "DOB": "DOB",
-             "FIRST_ORDER_DATE": "FIRST_ORDER_DATE", "FIRST_ORDER_MERCHANT": "FIRST_ORDER_MERCHANT"}
 
 
 def _bi_count(s: str, r: str, d: str, a: str, b: str) -> str:

@@ -18,14 +18,12 @@ from txgraph.functions import from_epoch, round6, signed_log
 from txgraph.operators.edges import bipartite_edges, monopartite_counts, monopartite_weighted, reverse_edges
 from txgraph.operators.features import (encode_node_features, fit_ordinal, fit_scaler, imbalance_ratio,
                                         label_encoding, onehot_columns, target_encoding)
-from txgraph.operators.ids import attach_ids, dense_ids
 from txgraph.operators.metrics import evaluation_summary, pr_curve, precision_recall, weighted_log_loss
 from txgraph.operators.model import logistic_scores, train_logistic
 from txgraph.operators.nodes import node_table
 from txgraph.operators.sampling import aggregate_neighbors, sample_neighbors
 from txgraph.operators.splits import (SplitSettings, add_split_codes, apply_filters, date_window_filter,
-                                      positional_split, resolve_split, row_batches, split_view, tag_inference,
-                                      with_row_index)
+                                      positional_split, resolve_split, row_batches, split_view, tag_inference)
 from txgraph.operators.validity import node_key_table
 from txgraph.plans.batch_graph import (attach_all_ids, build_graph, data_checks, graph_catalogue, id_col, key_tables,
                                       materialise, node_summary, prepare_base)
