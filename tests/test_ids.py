@@ -48,3 +48,14 @@ def test_top_k_per_group_exact(spark):
     df = spark.createDataFrame(rows, "g long, i long")
     got = top_k_per_group(df, ["g"], [F.col("i").desc()], 4, num_salts=7)
     assert sorted(got.collect()) == sorted([(g, i) for g in range(3) for i in range(46, 50)])
+
+
+def test_hot_group_is_spread_over_chunks(spark):
+    # one group holds most rows: the chunked running sum must still be exact
+    rows = [(i, "hot" if i % 3 else f"g{i % 5}", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "o long, g string, v long")
+    got = running_totals(df, ["g"], ["o"], {"s": F.col("v")}, inclusive=True, num_partitions=12)
+    hot = sorted((r["o"], r["s"]) for r in got.filter("g = 'hot'").collect())
+    assert [s for _, s in hot] == list(range(1, len(hot) + 1))
+    ranged = df.repartitionByRange(12, "g", "o").withColumn("pid", F.spark_partition_id())
+    assert ranged.filter("g = 'hot'").select("pid").distinct().count() > 1
