@@ -107,6 +107,7 @@ def build_graph(
     fit_split: int = 0,
     mono_form: str = "weighted",
     materialise_as: str = "persist",
+    materialise_ids_as: str = "checkpoint",
 ) -> HeteroGraph:
     base = prepare_base(df, definition, split, label=label, timestamp_col=timestamp_col,
                         datetime_col=datetime_col, tie_cols=tie_cols, filters=filters,
@@ -114,7 +115,9 @@ def build_graph(
     base = materialise(base, materialise_as)
     g = HeteroGraph(definition=definition, split=split)
     g.key_tables = key_tables(base, definition, cust_col)
-    base = materialise(attach_all_ids(base, definition, g.key_tables), materialise_as)
+    # rows with all node ids: written once to the shared folder, so every node table,
+    # edge list and count below starts from a flat scan instead of the id-assignment lineage
+    base = materialise(attach_all_ids(base, definition, g.key_tables), materialise_ids_as)
     g.base = base
     order_cols = [timestamp_col, *tie_cols]
     for ntype in definition.primary_types:

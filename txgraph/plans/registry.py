@@ -53,7 +53,7 @@ def _tx_base(spark, sf, definition: GraphDefinition, cust_col=None) -> DataFrame
 
 def _with_ids(base: DataFrame, definition: GraphDefinition, types) -> DataFrame:
     base = materialise(base)
-    return attach_all_ids(base, definition, key_tables(base, definition, types=types))
+    return materialise(attach_all_ids(base, definition, key_tables(base, definition, types=types)), "checkpoint")
 
 
 def _events_table(spark, sf) -> DataFrame:
