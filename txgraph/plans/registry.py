@@ -26,7 +26,7 @@ from txgraph.operators.splits import (SplitSettings, add_split_codes, apply_filt
                                       positional_split, resolve_split, row_batches, split_view, tag_inference)
 from txgraph.operators.validity import node_key_table
 from txgraph.plans.batch_graph import (attach_all_ids, build_graph, data_checks, graph_catalogue, id_col, key_tables,
-                                      materialise, node_summary, prepare_base)
+                                      materialise, mono_single_valued, node_summary, prepare_base)
 from txgraph.plans.dynamic_graph import DynamicGraph, TabularTable
 from txgraph.plans.prequential import prequential_scores
 from txgraph.session import scratch_path
@@ -312,9 +312,10 @@ def q_preset_shared_attributes(spark, sf):
     from per-value counts (the city / segment squares are never materialised)."""
     d = TX_NO_FEATURES
     base = _with_ids(_tx_base(spark, sf, d), d, list(d.nodes))
+    single = mono_single_valued(base, d)  # one aggregate for all attribute types
     parts = []
     for e in d.edges:
-        c = monopartite_counts(base, id_col(e.primary), id_col(e.auxiliary))
+        c = monopartite_counts(base, id_col(e.primary), id_col(e.auxiliary), single[(e.primary, e.auxiliary)])
         parts.append(c.select(F.lit(e.primary).alias("src_type"), F.lit(e.relation).alias("relation"),
                               F.lit(e.primary).alias("dst_type"), "n_edges", "n_bag"))
     out = parts[0]
