@@ -112,10 +112,12 @@ def shard_matches(h: np.ndarray, bounds: np.ndarray, tests: Suffixes, window: in
 
 def longest(start: np.ndarray, suffix: np.ndarray, length: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Join windows that follow one another in both texts: (item, start word, words)."""
+    if not len(start):
+        return start, start, start
     item, diagonal = tests.item[suffix], start - tests.offset[suffix]
     by = np.lexsort((start, diagonal, item))
     item, diagonal, start, length = item[by], diagonal[by], start[by], length[by]
-    new = np.concatenate((np.ones(min(len(by), 1), bool), (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (start[1:] != start[:-1] + 1)))
+    new = np.concatenate(([True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (start[1:] != start[:-1] + 1)))
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(by)) - 1
     return item[at], start[at], start[last] + length[last] - start[at]
