@@ -1,20 +1,22 @@
 """MinHash near-duplicates (3): a multi-index Hamming join of signatures, confirmed on full sets.
 
-A document's set is its distinct word shingles; its signature is ``SYMBOLS`` min-hashes of b = 16
-bits. Documents of at least 80 % similarity differ in 20 % of the symbols on average, and in more
-than ``DISTANCE`` of 64 with a probability below 10^-6. By the pigeonhole principle two signatures
-within that distance have, in at least one of the ``CHUNKS`` chunks of four symbols, no more than
-one differing symbol: every chunk is indexed under its four variants with one symbol left out, and
-each pair within the threshold meets in a bucket.
+A document's set is its distinct word shingles; its signature is ``SYMBOLS`` min-hashes, ``INDEXED``
+of them of b = 16 bits and the others of 8. Documents of at least 80 % similarity differ in 20 % of
+the symbols on average, and in more than ``INDEX_DISTANCE`` of the 64 indexed ones, or ``DISTANCE`` of
+all 256, with a probability below 10^-6 each. By the pigeonhole principle two signatures within
+the first have, in at least one of the ``CHUNKS`` chunks of four symbols, no more than one differing
+symbol: every chunk is indexed under its four variants with one symbol left out, and each pair
+within the threshold meets in a bucket. Pairs met are compared over all symbols.
 
 1. Equal sets are one class, with the smallest id as its representative (partial aggregation takes
    care of large groups of copies); only representatives are indexed.
 2. Star rounds link every member of a bucket to the bucket's smallest and largest member; the
    pairs within the threshold are confirmed on full sets, and components are found.
-3. Only buckets that still hold several components are compared within (in blocks of ``BLOCK``
-   members, so any bucket size fits a task): pairs of different components within the threshold
-   are confirmed in turn. No pair within the threshold is left unexamined unless its ends are
-   already in one component; pairs inside a component are never made.
+3. Only buckets that still hold several components are compared within, in blocks of ``BLOCK``
+   members, so any bucket size fits a task: first every member gives its nearest member of another
+   component, then all pairs of different components within the threshold are confirmed. No pair
+   within the threshold is left unexamined unless its ends are already in one component; pairs
+   inside a component are never made.
 
 Defined results: null or empty text, or one without words, has no shingles and is its own
 component; rows that repeat an id and text share a component; a null id is linked with nothing
@@ -36,11 +38,13 @@ from txgraph.llm.common import ids_and_texts, map_texts, written
 
 WORDS = 5
 SIMILARITY = 80
-SYMBOLS = 64
+SYMBOLS = 256
+INDEXED = 64
 CHUNKS = 16
-DISTANCE = 30
+INDEX_DISTANCE = 2 * CHUNKS - 2  # at most one error in some chunk
+DISTANCE = 86
 BLOCK = 2048
-_SIZE = SYMBOLS // CHUNKS
+_SIZE = INDEXED // CHUNKS
 _KEEP = [[j for j in range(_SIZE) if j != out] for out in range(_SIZE)]
 _rng = np.random.default_rng(17)
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -70,14 +74,14 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.nda
     return grams[first], np.searchsorted(doc[first], np.arange(n_docs + 1))
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Min-hash symbols (documents x SYMBOLS); only of documents with a set."""
+def signatures(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Signatures of the documents that have a set: the indexed symbols, then the others."""
     begin = bounds[:-1][np.diff(bounds) > 0]
-    out = np.empty((len(begin), SYMBOLS), dtype=np.uint16)
-    for k in range(SYMBOLS):
-        if len(begin):
-            out[:, k] = (K.mix(np.minimum.reduceat((sets ^ _XOR[k]) * _MUL[k], begin)) & np.uint64(0xFFFF)).astype(np.uint16)
-    return out
+    low = np.empty((len(begin), SYMBOLS), dtype=np.uint16)
+    for k in range(SYMBOLS if len(begin) else 0):
+        low[:, k] = (K.mix(np.minimum.reduceat((sets ^ _XOR[k]) * _MUL[k], begin)) & np.uint64(0xFFFF)).astype(np.uint16)
+    rest = low[:, INDEXED:].astype(np.uint8)
+    return [a.tobytes() + b.tobytes() for a, b in zip(low[:, :INDEXED], rest)]
 
 
 def sketches(src: DataFrame, words: int) -> DataFrame:
@@ -96,7 +100,7 @@ def sketches(src: DataFrame, words: int) -> DataFrame:
                 keys.append(pa.array(K.mix(v + size.astype(np.uint64)).view(np.int64), mask=~has))
             sig = signatures(sets, bounds)
             texts = np.full(len(size), None, dtype=object)
-            texts[has] = [s.tobytes() for s in sig]
+            texts[has] = sig
             return [rows.column(0), size, *keys, pa.array(texts, pa.binary())]
 
         return f
@@ -105,12 +109,20 @@ def sketches(src: DataFrame, words: int) -> DataFrame:
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SYMBOLS + INDEXED)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing symbols of signatures (rows, or one against rows)."""
+    wide = 2 * INDEXED
+    first = (np.ascontiguousarray(x[..., :wide]).view(np.uint16) != np.ascontiguousarray(y[..., :wide]).view(np.uint16)).sum(axis=-1)
+    return first + (x[..., wide:] != y[..., wide:]).sum(axis=-1)
 
 
 def bucket_keys(sig: np.ndarray) -> np.ndarray:
     """Bucket keys (documents x CHUNKS x variants): a chunk with one of its symbols left out."""
-    wide = (sig.astype(np.uint64) + np.uint64(1)).reshape(-1, CHUNKS, _SIZE) * _CHUNK_MUL
+    indexed = np.ascontiguousarray(sig[:, : 2 * INDEXED]).view(np.uint16)
+    wide = (indexed.astype(np.uint64) + np.uint64(1)).reshape(-1, CHUNKS, _SIZE) * _CHUNK_MUL
     return np.stack([K.mix(wide[:, :, kept].sum(axis=2) + _CHUNK_ADD[:, v]) for v, kept in enumerate(_KEEP)], axis=2)
 
 
@@ -132,7 +144,7 @@ def _within(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(axis=1) <= distance
+            near = distances(_symbols(batch.column(2)), _symbols(batch.column(3))) <= distance
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long").distinct()
@@ -181,8 +193,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, distance: int, block: int) -> DataFrame:
-    """Pairs of different components within the threshold, of the buckets that hold several."""
+def _with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links: the components of the links between components."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    above = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    nodes = labels.unionByName(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels.select("node"), "node", "left_anti").withColumn("component", F.col("node")))
+    return written(nodes.join(above.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component")), "near-labels")
+
+
+def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, distance: int, block: int, nearest: bool) -> DataFrame:
+    """Pairs of different components within the threshold, of the buckets that hold several; with
+    ``nearest`` one pair for each member at most."""
     rows = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = written(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "near-mixed")
     rows = rows.join(mixed, "key").join(classes.select("node", "sig"), "node")
@@ -193,19 +215,24 @@ def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, d
              .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "component", "sig", "own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches):
-            key, x, y, node, comp, sig, own = unit
-            left, right = (np.flatnonzero(own == x), np.flatnonzero(own == y))
+        for key, x, y, node, comp, sig, own in _units(batches):
+            left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
             keys = bucket_keys(sig).reshape(len(node), -1)
+            here = np.int64(key).view(np.uint64)
+            out_a, out_b = [], []
             for i in left:
-                j = right[right > i] if x == y else right
+                j = right[right > i] if x == y and not nearest else right
                 j = j[comp[j] != comp[i]]
-                j = j[(sig[j] != sig[i]).sum(axis=1) <= distance]
-                if len(j):  # a pair is given out by the first bucket both are in
-                    same = keys[j] == keys[i]
-                    j = j[keys[i][np.argmax(same, axis=1)] == np.uint64(np.int64(key).view(np.uint64))]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+                d = distances(sig[i], sig[j])
+                j, d = j[d <= distance], d[d <= distance]
+                if len(j) and nearest:
+                    j = j[[np.argmin(d)]]
+                elif len(j):  # a pair is given out by the first bucket both are in
+                    j = j[keys[i][np.argmax(keys[j] == keys[i], axis=1)] == here]
+                out_a.append(np.full(len(j), node[i]))
+                out_b.append(node[j])
+            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
     return units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
@@ -247,17 +274,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     buckets = written(keys.join(shared.select("key", "lo", "hi"), "key"), "near-buckets")
     star = buckets.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    links = _confirmed(_within(star, classes, distance), src, words, similarity)
-    labels = components(links)
-    more = _confirmed(_residual_pairs(buckets.select("key", "node"), classes, labels, distance, block), src, words, similarity)
-    # links between components, then the component of each component
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    above = components(between)
-    first = classes.select("hi", "lo", "node").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("c"))
-    last = first.join(above.toDF("c", "top"), "c", "left").select("hi", "lo", F.coalesce("top", "c").alias("component"))
+    labels = components(_confirmed(_within(star, classes, distance), src, words, similarity))
+    for nearest in (True, False):
+        more = _confirmed(_residual_pairs(buckets.select("key", "node"), classes, labels, distance, block, nearest), src, words, similarity)
+        labels = _with_links(labels, more)
+    first = classes.select("hi", "lo", "node").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     empty = F.col("hi").isNull() | F.col("doc_id").isNull()
-    out = known.select("doc_id", "n_shingles", "hi", "lo").join(written(last, "near-components"), ["hi", "lo"], "left")
+    out = known.select("doc_id", "n_shingles", "hi", "lo").join(written(first, "near-components"), ["hi", "lo"], "left")
     out = out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
