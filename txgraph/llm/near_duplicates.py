@@ -10,11 +10,11 @@ within the threshold meets in a bucket. Pairs met are compared over all symbols.
 
 1. Equal sets are one class, with the smallest id as its representative (partial aggregation takes
    care of large groups of copies); only representatives are indexed.
-2. Star rounds link every member of a bucket to the bucket's smallest and largest member; the
-   pairs within the threshold are confirmed on full sets, and components are found.
+2. A star round pairs every member with the smallest and the largest bucket member it meets most
+   often; the pairs within the threshold are confirmed on full sets, and components are found.
 3. Only buckets that still hold several components are compared within, in blocks of ``BLOCK``
-   members, so any bucket size fits a task: first every member gives its nearest member of another
-   component, then all pairs of different components within the threshold are confirmed. No pair
+   members, so any bucket size fits a task: in two rounds every node gives its nearest node of
+   another component, then all pairs of different components within the threshold are confirmed. No pair
    within the threshold is left unexamined unless its ends are already in one component; pairs
    inside a component are never made.
 
@@ -137,6 +137,15 @@ def _bucket_rows(classes: DataFrame) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
+def _star_pairs(buckets: DataFrame) -> DataFrame:
+    """For every node the smallest and the largest bucket member it meets in most buckets."""
+    def most(hub: str) -> DataFrame:
+        met = buckets.where(F.col(hub) != F.col("node")).groupBy("node", F.col(hub).alias("hub")).agg(F.count("*").alias("n"))
+        return met.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("m")).select("node", (-F.col("m.hub")).alias("hub"))
+
+    return most("lo").unionByName(most("hi")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def _within(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
     """The pairs (a, b) whose signatures lie within the threshold."""
     sig = classes.select("node", "sig")
@@ -219,22 +228,26 @@ def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, d
             left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
             keys = bucket_keys(sig).reshape(len(node), -1)
             here = np.int64(key).view(np.uint64)
-            out_a, out_b = [], []
+            out: tuple[list, list, list] = [], [], []
             for i in left:
                 j = right[right > i] if x == y and not nearest else right
                 j = j[comp[j] != comp[i]]
                 d = distances(sig[i], sig[j])
                 j, d = j[d <= distance], d[d <= distance]
                 if len(j) and nearest:
-                    j = j[[np.argmin(d)]]
+                    at = np.argmin(d)
+                    j, d = j[[at]], d[[at]]
                 elif len(j):  # a pair is given out by the first bucket both are in
-                    j = j[keys[i][np.argmax(keys[j] == keys[i], axis=1)] == here]
-                out_a.append(np.full(len(j), node[i]))
-                out_b.append(node[j])
-            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+                    first = keys[i][np.argmax(keys[j] == keys[i], axis=1)] == here
+                    j, d = j[first], d[first]
+                for column, x_ in zip(out, (np.full(len(j), node[i]), node[j], d)):
+                    column.append(x_)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in out], names=["a", "b", "d"])
 
-    return units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    found = units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, d long").where("a <> b")
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -273,9 +286,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     keys = _bucket_rows(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     buckets = written(keys.join(shared.select("key", "lo", "hi"), "key"), "near-buckets")
-    star = buckets.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    labels = components(_confirmed(_within(star, classes, distance), src, words, similarity))
-    for nearest in (True, False):
+    labels = components(_confirmed(_within(_star_pairs(buckets), classes, distance), src, words, similarity))
+    for nearest in (True, True, False):
         more = _confirmed(_residual_pairs(buckets.select("key", "node"), classes, labels, distance, block, nearest), src, words, similarity)
         labels = _with_links(labels, more)
     first = classes.select("hi", "lo", "node").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
