@@ -71,3 +71,28 @@ def test_standardize_single_training_row_is_filled(spark):
     enc = encode_node_features(df, nd, "id", order_cols=["id"])
     got = {r["id"]: r["amt_log_standardize"] for r in enc.df.collect()}
     assert got == {1: -1.0, 2: -1.0, 3: -1.0}  # one training value: std null -> everything filled
+
+
+def test_numbers_rank_as_numbers(spark):
+    from txgraph.definitions import Feature
+    from txgraph.operators.features import fit_ordinal, fit_scaler, label_encoding
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([2, 10, 9, None])], "id long, size long")
+    out, name = label_encoding(df, Feature("size", "categorical", 0, ("label",)), "id", False)
+    assert [r[name] for r in out.orderBy("id").collect()] == [2.0, 4.0, 3.0, 1.0]
+    codes = fit_ordinal(df, ["size"]).transform(df).orderBy("id").collect()
+    assert [r["size"] for r in codes] == [0.0, 2.0, 1.0, -1.0]
+    x = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    assert fit_scaler(x, ["v"]).stats["v"] == (2.0, 1.0)
+
+
+def test_no_sampled_neighbour_is_later_than_its_seed(spark):
+    from txgraph.operators.sampling import sample_neighbors
+
+    made = spark.createDataFrame([(1, 100), (1, 200)], "src long, dst long")  # customer 1 of both seeds
+    city = spark.createDataFrame([(2, 1), (3, 1)], "src long, dst long")
+    times = {"T": spark.createDataFrame([(100, 100), (200, 200)], "node_id long, time_attr long"),
+             "C": spark.createDataFrame([(1, 10), (2, 50), (3, 150)], "node_id long, time_attr long")}
+    edges = {("C", "MADE", "T"): made, ("C", "CITY", "C"): city}
+    got = sample_neighbors(edges, {"T": times["T"].select("node_id")}, [5, 5], time_attr=times, strategy="last").collect()
+    assert {(r["src"], r["seed_time"]) for r in got if r["hop"] == 2} == {(2, 100), (2, 200), (3, 200)}

@@ -55,7 +55,6 @@ def monopartite_weighted(
     primary_id: str,
     aux_id: str,
     salt_target: int = 256,
-    max_salt: int = 4096,
     one_value_per_primary: Optional[bool] = None,
 ) -> DataFrame:
     """(src, dst, weight): ordered pairs of distinct primaries sharing an aux value.
@@ -71,13 +70,12 @@ def monopartite_weighted(
     degree = counts.groupBy("aux").agg(F.count(F.lit(1)).alias("deg"))
     salts = degree.select(
         "aux",
-        F.least(F.lit(max_salt), F.greatest(F.lit(1), F.ceil(F.col("deg") / F.lit(salt_target))))
-        .cast("int").alias("s"))
+        F.greatest(F.lit(1), F.ceil(F.col("deg") / F.lit(salt_target))).cast("bigint").alias("s"))
     with_s = counts.join(salts, "aux")
     left = with_s.select(F.col("aux"), F.col("p").alias("src"), F.col("c").alias("ca"),
-                         F.pmod(F.xxhash64("p"), F.col("s")).cast("int").alias("salt"))
+                         F.pmod(F.xxhash64("p"), F.col("s")).alias("salt"))
     right = with_s.select(F.col("aux"), F.col("p").alias("dst"), F.col("c").alias("cb"),
-                          F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1)).alias("salt"))
     pairs = (left.join(right, ["aux", "salt"])
              .filter(F.col("src") != F.col("dst"))
              .select("src", "dst", (F.col("ca") * F.col("cb")).cast("bigint").alias("weight")))
@@ -118,6 +116,9 @@ def rowwise_edges(df: DataFrame, src_id: str, dst_id: str, order_col: Optional[s
     return df.select(*cols)
 
 
+_WIDE, _SUM = "decimal(18,0)", "decimal(38,0)"
+
+
 def monopartite_counts(df: DataFrame, primary_id: str, aux_id: str,
                        one_value_per_primary: Optional[bool] = None) -> DataFrame:
     """Exact (n_edges, n_bag) of a monopartite edge type without materialising pairs
@@ -126,15 +127,16 @@ def monopartite_counts(df: DataFrame, primary_id: str, aux_id: str,
 
     n_bag  = sum over values g of (rows_g^2 - sum_p rows_pg^2)
     n_edges = sum over g of (d_g^2 - d_g), d_g = distinct primaries with value g
+    Both are decimal(38,0): a value shared by 10^10 rows has more pairs than a bigint holds.
     """
     counts = _pair_counts(df, primary_id, aux_id)
-    per_aux = counts.groupBy("aux").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("s2"),
-                                        F.count(F.lit(1)).alias("d"))
+    per_aux = counts.groupBy("aux").agg(F.sum("c").cast(_WIDE).alias("s"), F.sum((F.col("c").cast(_WIDE) * F.col("c").cast(_WIDE)).cast(_SUM)).cast(_SUM).alias("s2"),
+                                        F.count(F.lit(1)).cast(_WIDE).alias("d"))
     many = not (single_valued(counts) if one_value_per_primary is None else one_value_per_primary)
     sums = per_aux.agg(
-        F.coalesce(F.sum(F.col("d") * F.col("d") - F.col("d")), F.lit(0)).cast("bigint").alias("n_edges"),
-        F.coalesce(F.sum(F.col("s") * F.col("s") - F.col("s2")), F.lit(0)).cast("bigint").alias("n_bag"))
+        F.coalesce(F.sum(F.col("d") * F.col("d") - F.col("d")), F.lit(0)).cast(_SUM).alias("n_edges"),
+        F.coalesce(F.sum(F.col("s") * F.col("s") - F.col("s2")), F.lit(0)).cast(_SUM).alias("n_bag"))
     if many:
         n = monopartite_weighted(df, primary_id, aux_id).count()
-        sums = sums.withColumn("n_edges", F.lit(n).cast("bigint"))
+        sums = sums.withColumn("n_edges", F.lit(n).cast(_SUM))
     return sums

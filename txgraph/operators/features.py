@@ -13,6 +13,7 @@ from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from txgraph.definitions import Feature, NodeDef
 from txgraph.functions import fill_null_nan, signed_log
@@ -65,6 +66,15 @@ def filled_category(f: Feature) -> Column:
     return F.coalesce(F.col(f.source).cast("string"), F.lit(str(f.fill_value)))
 
 
+def ranked_category(df: DataFrame, f: Feature) -> Column:
+    """The filled category in its own type, so that numbers rank as numbers; text when the fill
+    value does not fit a numeric column."""
+    kind = df.schema[f.source].dataType
+    if isinstance(kind, NumericType) and isinstance(f.fill_value, (int, float)) and not isinstance(f.fill_value, bool):
+        return F.coalesce(F.col(f.source), F.lit(f.fill_value).cast(kind))
+    return filled_category(f)
+
+
 def category_counts(df: DataFrame, cat: Column) -> DataFrame:
     """Category frequencies over all rows of the node type."""
     return df.groupBy(cat.alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -91,7 +101,7 @@ def onehot_columns(df: DataFrame, f: Feature, k: int = DEFAULT_MAX_ONEHOT) -> li
 def label_encoding(df: DataFrame, f: Feature, id_col: str, normalise: bool) -> tuple[DataFrame, str]:
     """1-based dense rank of the category (X8 W7); divided by the max rank."""
     cat_col = f"_cat_{f.source}"
-    with_cat = df.withColumn(cat_col, filled_category(f))
+    with_cat = df.withColumn(cat_col, ranked_category(df, f))
     ranks = dense_ids(with_cat.select(cat_col), [cat_col], "_rank", offset=1)
     out = attach_ids(with_cat, ranks, [cat_col], "_rank", null_safe=False)
     name = f.output_name
@@ -179,7 +189,8 @@ def encode_node_features(
 
 @dataclass
 class Scaler:
-    """Per-column mean and population std; a zero std scales by 1."""
+    """Per-column mean and population std of the values that are neither null nor NaN; a zero std
+    scales by 1 (A14)."""
 
     stats: dict
 
@@ -194,8 +205,8 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], ddof: int = 0) -> Scaler:
     if not columns:
         return Scaler({})
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
-    row = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)],
-                 *[std(c).alias(f"s_{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.avg(_clean(F.col(c))).alias(f"m_{i}") for i, c in enumerate(columns)],
+                 *[std(_clean(F.col(c))).alias(f"s_{i}") for i, c in enumerate(columns)]).first()
     stats = {}
     for i, c in enumerate(columns):
         m = row[f"m_{i}"] or 0.0
@@ -215,7 +226,7 @@ class OrdinalEncoder:
         for c, t in self.tables.items():
             code = f"_code_{c}"
             t2 = t.select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(code))
-            out = out.join(t2, out[c].cast("string") == t2[f"_v_{c}"], "left").drop(f"_v_{c}")
+            out = out.join(t2, out[c] == t2[f"_v_{c}"], "left").drop(f"_v_{c}")
             out = out.withColumn(c, F.coalesce(F.col(code), F.lit(-1)).cast("double")).drop(code)
         return out
 
@@ -223,7 +234,7 @@ class OrdinalEncoder:
 def fit_ordinal(df: DataFrame, columns: Sequence[str]) -> OrdinalEncoder:
     tables = {}
     for c in columns:
-        vals = df.select(F.col(c).cast("string").alias("value")).filter(F.col("value").isNotNull())
+        vals = df.select(F.col(c).alias("value")).filter(F.col("value").isNotNull())
         tables[c] = dense_ids(vals, ["value"], "code")
     return OrdinalEncoder(tables)
 

@@ -29,12 +29,13 @@ def sample_neighbors(
     time_attr: Optional[dict] = None,
     strategy: str = "uniform",
 ) -> DataFrame:
-    """Multi-hop sampled edges: (hop, src_type, relation, dst_type, src, dst).
+    """Multi-hop sampled edges: (hop, src_type, relation, dst_type, src, dst, seed_time).
 
     ``edges``: triple -> DataFrame(src, dst); ``seeds``: ntype -> DataFrame(node_id[, seed_time]).
     With ``time_attr`` (ntype -> DataFrame(node_id, time_attr)) only neighbours whose
     time is <= the seed's time are eligible (G11); ``strategy='last'`` keeps the most
-    recent ones (ties by node id), ``'uniform'`` a hash-random subset.
+    recent ones (ties by node id), ``'uniform'`` a hash-random subset. A frontier entry is a
+    node together with its seed's time, so seeds that share a node never see past their own time.
     """
     if strategy not in ("uniform", "last"):
         raise ValueError(strategy)
@@ -59,12 +60,12 @@ def sample_neighbors(
             else:
                 cand = cand.withColumn("nb_time", F.lit(None).cast("bigint"))
                 order = [_hash_order(seed + hop), F.col("src").asc()]
-            picked = top_k_per_group(cand, ["dst"], order, fanout, salt_cols=["src", "dst"])
+            picked = top_k_per_group(cand, ["dst", "seed_time"], order, fanout, salt_cols=["src", "dst"])
             out.append(picked.select(F.lit(hop).alias("hop"), F.lit(s).alias("src_type"), F.lit(r).alias("relation"),
-                                     F.lit(d).alias("dst_type"), "src", "dst"))
+                                     F.lit(d).alias("dst_type"), "src", "dst", "seed_time"))
             nb = picked.select(F.col("src").alias("node_id"), "seed_time")
             nxt[s] = nb if s not in nxt else nxt[s].unionByName(nb)
-        frontier = {t: f.groupBy("node_id").agg(F.max("seed_time").alias("seed_time")) for t, f in nxt.items()}
+        frontier = {t: f.distinct() for t, f in nxt.items()}
         if not frontier:
             break
     res = out[0]

@@ -199,10 +199,10 @@ def graph_catalogue(graph: HeteroGraph) -> DataFrame:
             counted = monopartite_counts(graph.base, p_col, a_col, one)
         else:
             w = F.sum("weight") if e is not None and "weight" in e.columns else F.count(F.lit(1))
-            counted = e.agg(F.count(F.lit(1)).cast("bigint").alias("n_edges"), w.cast("bigint").alias("n_bag"))
+            counted = e.agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n_edges"), w.cast("decimal(38,0)").alias("n_bag"))
         parts.append(counted
                      .select(F.lit(s).alias("src_type"), F.lit(r).alias("relation"), F.lit(d).alias("dst_type"),
-                             "n_edges", F.coalesce("n_bag", F.lit(0)).cast("bigint").alias("n_bag")))
+                             "n_edges", F.coalesce("n_bag", F.lit(0)).cast("decimal(38,0)").alias("n_bag")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -167,13 +167,13 @@ def _sample_temporal(strategy: str) -> str:
             "seeds AS (SELECT s0.node_id, tt.ta AS seed_time FROM s0 LEFT JOIN tt USING (node_id)), "
             "c1 AS (SELECT made.src, made.dst, seeds.seed_time, ct.ta AS nb FROM made JOIN seeds ON made.dst = seeds.node_id "
             "JOIN ct ON made.src = ct.node_id WHERE seeds.seed_time IS NULL OR ct.ta <= seeds.seed_time), "
-            f"h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {o1}) AS rn FROM c1) WHERE rn <= 10), "
-            "f1 AS (SELECT src AS node_id, max(seed_time) AS seed_time FROM h1 GROUP BY src), "
+            f"h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst, seed_time ORDER BY {o1}) AS rn FROM c1) WHERE rn <= 10), "
+            "f1 AS (SELECT DISTINCT src AS node_id, seed_time FROM h1), "
             "c2 AS (SELECT city.src, city.dst, f1.seed_time, ct.ta AS nb FROM city JOIN f1 ON city.dst = f1.node_id "
             "JOIN ct ON city.src = ct.node_id WHERE f1.seed_time IS NULL OR ct.ta <= f1.seed_time), "
-            f"h2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {o2}) AS rn FROM c2) WHERE rn <= 15) "
-            "SELECT DISTINCT 1 AS hop, 'MADE' AS relation, src, dst FROM h1 "
-            "UNION ALL SELECT DISTINCT 2 AS hop, 'HAS_SAME_CITY' AS relation, src, dst FROM h2")
+            f"h2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst, seed_time ORDER BY {o2}) AS rn FROM c2) WHERE rn <= 15) "
+            "SELECT DISTINCT 1 AS hop, 'MADE' AS relation, src, dst, seed_time FROM h1 "
+            "UNION ALL SELECT DISTINCT 2 AS hop, 'HAS_SAME_CITY' AS relation, src, dst, seed_time FROM h2")
 
 
 _NEIGHBOR_AGG = (

@@ -299,12 +299,17 @@ def q_graph_checks(spark, sf):
     return data_checks(g.base, g.definition)
 
 
+def _long_counts(catalogue: DataFrame) -> DataFrame:
+    """Decimal counts as bigint, the type of the DuckDB twins (the library keeps decimals)."""
+    return catalogue.withColumns({c: F.col(c).cast("bigint") for c in ("n_edges", "n_bag")})
+
+
 def q_preset_edge_centric(spark, sf):
-    return graph_catalogue(_full_graph(spark, sf, TX_IDENTITY_EDGE_CENTRIC))
+    return _long_counts(graph_catalogue(_full_graph(spark, sf, TX_IDENTITY_EDGE_CENTRIC)))
 
 
 def q_preset_node_centric(spark, sf):
-    return graph_catalogue(_full_graph(spark, sf, TX_IDENTITY_NODE_CENTRIC))
+    return _long_counts(graph_catalogue(_full_graph(spark, sf, TX_IDENTITY_NODE_CENTRIC)))
 
 
 def q_preset_shared_attributes(spark, sf):
@@ -321,7 +326,7 @@ def q_preset_shared_attributes(spark, sf):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return _long_counts(out)
 
 
 def q_homogeneous_nodes(spark, sf):
@@ -415,13 +420,13 @@ def q_neighbor_sample_2hop(spark, sf):
 def q_neighbor_sample_temporal_last(spark, sf):
     edges, seeds, ta = _sampling_inputs(spark, sf)
     s = sample_neighbors(edges, {"TRANSACTION": seeds}, [10, 15], seed=0, time_attr=ta, strategy="last")
-    return s.select("hop", "relation", "src", "dst").distinct()
+    return s.select("hop", "relation", "src", "dst", "seed_time").distinct()
 
 
 def q_neighbor_sample_temporal_uniform(spark, sf):
     edges, seeds, ta = _sampling_inputs(spark, sf)
     s = sample_neighbors(edges, {"TRANSACTION": seeds}, [10, 15], seed=0, time_attr=ta, strategy="uniform")
-    return s.select("hop", "relation", "src", "dst").distinct()
+    return s.select("hop", "relation", "src", "dst", "seed_time").distinct()
 
 
 def q_neighbor_aggregate(spark, sf):

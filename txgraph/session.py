@@ -44,6 +44,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if d:
         return d.rstrip("/")
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="txgraph-ckpt-")
     sc.setCheckpointDir(conf_dir)
