@@ -42,7 +42,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Lattice:
-    """Arcs of the piece lattice of words."""
+    """Arcs of the piece lattice of words: a prefix tree of the pieces, walked from all characters at once."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -52,47 +52,57 @@ class Lattice:
         pieces = sorted({p for p in (p.lower() for p in pieces) if re.fullmatch(r"▁?[^\W\d_]+|▁", p)})
         self.ids = {p: i + 1 for i, p in enumerate(pieces)}  # 0: a character without a piece
         self.size = len(pieces) + 1
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.lengths = np.array([1] + [len(p) for p in pieces])
+        prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        number = {p: k + 1 for k, p in enumerate(sorted(prefixes))} | {"": 0}
+        steps = sorted((number[p[:-1]] << 21 | ord(p[-1]), number[p]) for p in prefixes)
+        self.keys, self.to = np.array(steps, np.int64).reshape(-1, 2).T.copy()
+        self.piece_at = np.zeros(len(number), np.int64)
+        for p, k in self.ids.items():
+            self.piece_at[number[p]] = k
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end, piece) of every arc as nodes of all words together, ordered by the end's
         place in its word; first and last node of each word."""
-        begin, end, piece, place = [], [], [], []
-        ids, prefixes, node = self.ids.get, self.prefixes, 0
-        first = np.zeros(len(words), np.int64)
-        last = np.zeros(len(words), np.int64)
-        for w, word in enumerate(words):
-            s = "▁" + word
-            n = len(s)
-            first[w], last[w] = node, node + n
-            for i in range(n):
-                single = 0
-                for j in range(i + 1, n + 1):
-                    part = s[i:j]
-                    if part not in prefixes:
-                        break
-                    p = ids(part)
-                    if p:
-                        begin.append(node + i)
-                        end.append(node + j)
-                        piece.append(p)
-                        place.append(j)
-                        single |= j == i + 1
-                if not single:
-                    begin.append(node + i)
-                    end.append(node + i + 1)
-                    piece.append(0)
-                    place.append(i + 1)
-            node += n + 1
-        place = np.array(place, np.int64)
-        by = np.argsort(place, kind="stable")
-        self.steps = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=1)[1:]))) if len(by) else np.zeros(1, np.int64)
-        return np.array(begin, np.int64)[by], np.array(end, np.int64)[by], np.array(piece, np.int64)[by], first, last
-
-
-def lifted(model: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """Arc weights exp(log p + LIFT x length), one column per language."""
-    return np.exp(model[piece] + LIFT * (end - begin)[:, None])
+        chars = np.frombuffer("".join(["▁" + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        last_char = np.cumsum(sizes)  # past the end of each word
+        word = np.repeat(np.arange(len(words)), sizes)
+        stop = last_char[word]
+        # a word of n characters has n + 1 nodes
+        first = last_char - sizes + np.arange(len(words))
+        last = first + sizes
+        at = np.arange(len(chars))
+        state = np.zeros(len(chars), np.int64)
+        single = np.zeros(len(chars), bool)
+        begin, piece = [], []
+        length = 0
+        while len(at):
+            key = state << 21 | chars[at + length]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[k] == key
+            at, state = at[ok], self.to[k[ok]]
+            length += 1
+            p = self.piece_at[state]
+            if length == 1:
+                single[at] = p > 0
+            begin.append(at[p > 0])
+            piece.append(p[p > 0])
+            inside = at + length < stop[at]
+            at, state = at[inside], state[inside]
+        alone = np.flatnonzero(~single)
+        begin, piece = np.concatenate([*begin, alone]), np.concatenate([*piece, np.zeros(len(alone), np.int64)])
+        node = begin + word[begin]
+        end = node + self.lengths[piece]
+        place = end - first[word[begin]]
+        by = np.argsort(place * (len(chars) + len(words) + 1) + end)
+        self.steps = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=1)[1:])))
+        return node[by], end[by], piece[by], first, last
+
+
+def lifted(lattice: Lattice, model: np.ndarray) -> np.ndarray:
+    """Arc weights exp(log p + LIFT x length) of every piece, one column per language."""
+    return np.exp(model + LIFT * lattice.lengths[:, None])
 
 
 def forward(weights: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, n_nodes: int, steps: np.ndarray) -> np.ndarray:
@@ -110,7 +120,7 @@ def forward(weights: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.n
 def word_logs(lattice: Lattice, words: list[str], model: np.ndarray) -> np.ndarray:
     """log P(word | language), summed over all segmentations."""
     begin, end, piece, first, last = lattice.arcs(words)
-    alpha = forward(lifted(model, begin, end, piece), begin, end, first, int(last[-1]) + 1, lattice.steps)
+    alpha = forward(lifted(lattice, model)[piece], begin, end, first, int(last[-1]) + 1, lattice.steps)
     return np.log(alpha[last]) - LIFT * (last - first)[:, None]
 
 
@@ -119,7 +129,7 @@ def expected_counts(lattice: Lattice, words: list[str], lang: np.ndarray, n: np.
     begin, end, piece, first, last = lattice.arcs(words)
     nodes = int(last[-1]) + 1
     word = np.repeat(np.arange(len(words)), last - first + 1)[begin]
-    w = np.exp(model[piece, lang[word]] + LIFT * (end - begin))
+    w = lifted(lattice, model)[piece, lang[word]]
     alpha = forward(w[:, None], begin, end, first, nodes, lattice.steps)[:, 0]
     beta = np.zeros(nodes)
     beta[last] = 1.0
@@ -132,9 +142,7 @@ def expected_counts(lattice: Lattice, words: list[str], lang: np.ndarray, n: np.
         at = np.flatnonzero(np.concatenate(([True], begin[k][1:] != begin[k][:-1])))
         beta[begin[k][at]] += np.add.reduceat(beta[end[k]] * w[k], at)
     share = alpha[begin] * w * beta[end] / alpha[last][word] * n[word]
-    out = np.zeros(model.shape)
-    np.add.at(out, (piece, lang[word]), share)
-    return out
+    return np.bincount(piece * model.shape[1] + lang[word], share, model.size).reshape(model.shape)
 
 
 def text_words(text: str) -> list[str]:
@@ -150,20 +158,20 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id",
     schema = "lang string, word string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: Counter = Counter()
+        have: dict[str, Counter] = {}
 
         def flush():
-            langs, words = zip(*have) if have else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(have.values()), pa.int64())], names=["lang", "word", "n"])
+            langs = [x for x, c in have.items() for _ in range(len(c))]
+            words, counts = [w for c in have.values() for w in c], [n for c in have.values() for n in c.values()]
+            have.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["lang", "word", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if text.is_valid:
-                    for w, n in Counter(text_words(text.as_py())).items():
-                        have[lang, w] += n
-                    if len(have) > DICTIONARY:
+                    have.setdefault(lang, Counter()).update(text_words(text.as_py()))
+                    if sum(map(len, have.values())) > DICTIONARY:
                         yield flush()
-                        have.clear()
         yield flush()
 
     return src.mapInArrow(run, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
