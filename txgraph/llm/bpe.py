@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 from struct import pack
 
 import numpy as np
@@ -56,12 +57,19 @@ def _within_latin1(text: str) -> bool:
     return True
 
 
+def pre_token_starts(e) -> np.ndarray:
+    """Flags of the tokens that begin a pre-token; one outside any is its own."""
+    word = np.array([-1 - i if w is None else w for i, w in enumerate(e.word_ids)], dtype=np.int64)
+    return np.concatenate((np.ones(min(len(word), 1), bool), word[1:] != word[:-1]))
+
+
 class WordCodec:
     """Encodes and decodes whole texts through a bounded dictionary of words."""
 
     def __init__(self, model_file: str, dictionary: int = DICTIONARY):
         self.tok = load(model_file)
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.placed: dict[str, tuple[bytes, bytes, bytes, bytes, int]] = {}
         self.limit = dictionary
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -82,6 +90,33 @@ class WordCodec:
         for w, ids, text in zip(new, lists, self.tok.decode_batch(lists, skip_special_tokens=False)):
             self.known[w] = pack(f"<{len(ids)}I", *ids), text
 
+    def _place(self, new: list[str]) -> None:
+        got = self.tok.encode_batch(new, add_special_tokens=False)
+        size = [len(e.ids) for e in got]
+        cuts = list(accumulate(size, initial=0))
+        ids = np.array([x for e in got for x in e.ids], dtype="<u4").tobytes()
+        spans = np.array([x for e in got for x in e.offsets], dtype="<i4").reshape(-1, 2)
+        start, end = spans[:, 0].tobytes(), spans[:, 1].tobytes()
+        first = b"".join([b"\x01" if n == 1 else pre_token_starts(e).tobytes() for e, n in zip(got, size)])
+        for w, a, b in zip(new, cuts, cuts[1:]):
+            self.placed[w] = ids[4 * a : 4 * b], start[4 * a : 4 * b], end[4 * a : 4 * b], first[a:b], b - a
+
+    def tokens(self, text: str) -> Tokens:
+        """Tokens of a piece with their places: ``Tokens.of`` through a bounded dictionary."""
+        if "<|" not in text and _within_latin1(text):
+            text = text.lower()  # of equal length within Latin-1
+        spans = [m.span() for m in _WORDS.finditer(text)]
+        words = [text[a:b] for a, b in spans]
+        new = list(dict.fromkeys(w for w in words if w not in self.placed))
+        if len(self.placed) + len(new) > self.limit:
+            self.placed.clear()
+            new = list(dict.fromkeys(words))
+        self._place(new)
+        ids, start, end, first, size = zip(*map(self.placed.__getitem__, words)) if words else [()] * 5
+        at = np.repeat(np.array([a for a, _ in spans], dtype=np.int64), np.array(size, dtype=np.int64))
+        ids, start, end, first = (np.frombuffer(b"".join(x), kind) for x, kind in ((ids, "<u4"), (start, "<i4"), (end, "<i4"), (first, bool)))
+        return Tokens(ids, start + at, end + at, first)
+
 
 class Tokens:
     """Tokens of one stretch of a text: ids, character spans in the text, pre-token starts."""
@@ -93,10 +128,27 @@ class Tokens:
 
     @staticmethod
     def of(tok, text: str, at: int) -> Tokens:
-        e = tok.encode(text, add_special_tokens=False)
+        return Tokens.made(tok.encode(text, add_special_tokens=False), at)
+
+    @staticmethod
+    def made(e, at: int) -> Tokens:
+        """From the library's encoding of a text that begins at ``at``."""
         spans = np.array(e.offsets, dtype=np.int64).reshape(-1, 2) + at
-        word = np.array([-1 - i if w is None else w for i, w in enumerate(e.word_ids)], dtype=np.int64)
-        return Tokens(np.array(e.ids, dtype="<u4"), spans[:, 0], spans[:, 1], np.concatenate((np.ones(min(len(word), 1), bool), word[1:] != word[:-1])))
+        return Tokens(np.array(e.ids, dtype="<u4"), spans[:, 0], spans[:, 1], pre_token_starts(e))
+
+    def packed(self) -> list[bytes]:
+        """Ids, gaps before and lengths of tokens as byte planes (the high ones are mostly zeros, which
+        a shuffle compresses away), and the starts of pre-tokens as bits."""
+        gap = self.start - np.concatenate((np.zeros(min(len(self), 1), np.int64), self.end[:-1]))
+        planes = [np.ascontiguousarray(x).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (self.ids, gap, self.end - self.start)]
+        return [*planes, np.packbits(self.first).tobytes()]
+
+    @staticmethod
+    def unpacked(ids: bytes, gap: bytes, length: bytes, first: bytes, at: int) -> Tokens:
+        """The tokens of a piece that begins at ``at``."""
+        number, gap, length = (np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<i4").ravel() for x in (ids, gap, length))
+        end = at + np.cumsum(gap.astype(np.int64) + length)
+        return Tokens(number.astype("<u4"), end - length, end, np.unpackbits(np.frombuffer(first, np.uint8), count=len(number)).astype(bool))
 
     def part(self, a: int | None, b: int | None) -> Tokens:
         return Tokens(self.ids[a:b], self.start[a:b], self.end[a:b], self.first[a:b])
@@ -201,11 +253,10 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
         return f
 
     def encode_pieces(batches):
-        tok = load(path)
+        codec = WordCodec(path)
         for batch in batches:
-            t = [Tokens.of(tok, x, 0) for x in batch.column(3).to_pylist()]
-            cols = [[getattr(x, c).astype("<u4" if c == "ids" else bool if c == "first" else "<i4").tobytes() for x in t] for c in Tokens.__slots__]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.binary()) for c in cols)], names=[*batch.schema.names, "ids", "t_start", "t_end", "first"])
+            cols = zip(*(codec.tokens(x).packed() for x in batch.column(3).to_pylist())) if batch.num_rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.binary()) for c in cols)], names=[*batch.schema.names, "ids", "gap", "length", "first"])
 
     def join_pieces(batches):
         tok = load(path)
@@ -216,7 +267,7 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
             for n in sorted(by_number):
                 r = by_number[n]
                 pieces.append(r["text"])
-                tokens.append(Tokens(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["t_start"], "<i4").astype(np.int64) + at, np.frombuffer(r["t_end"], "<i4").astype(np.int64) + at, np.frombuffer(r["first"], bool)))
+                tokens.append(Tokens.unpacked(r["ids"], r["gap"], r["length"], r["first"], at))
                 at += len(r["text"])
             ids = encode_tree(tok, pieces, tokens).ids
             row = _row(ids.tobytes(), tok.decode(ids.tolist(), skip_special_tokens=False), full)
@@ -230,6 +281,6 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
     is_long = F.coalesce(F.char_length("text") > piece_chars, F.lit(False))
     short = map_texts(src.where(~is_long), schema, one_piece)
     pieces = map_texts(src.where(is_long), f"doc_id {kind}, key string, n int, text string", cut).repartition("key", "n")
-    encoded = pieces.mapInArrow(encode_pieces, f"doc_id {kind}, key string, n int, text string, ids binary, t_start binary, t_end binary, first binary")
+    encoded = pieces.mapInArrow(encode_pieces, f"doc_id {kind}, key string, n int, text string, ids binary, gap binary, length binary, first binary")
     long = encoded.repartition("key").sortWithinPartitions("key", "n").mapInArrow(join_pieces, schema)
     return short.unionByName(long)
