@@ -226,23 +226,23 @@ def predict_language(docs: DataFrame, model_file: str | None = None, rounds: int
         def f(rows, data, offs):
             nonlocal logs
             raw, pred, score = data.tobytes(), [], []
-            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                words = text_words(raw[a:b].decode())
+            texts = [text_words(raw[a:b].decode()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            new = list({w: None for words in texts for w in words if w not in row})
+            if len(row) + len(new) > DICTIONARY:
+                row.clear()
+                new = list({w: None for words in texts for w in words})
+            if new:  # all new words of the slice at once
+                got = np.concatenate([word_logs(lattice, new[i : i + 4096], model) for i in range(0, len(new), 4096)])
+                need = len(row) + len(new)
+                if need > len(logs):
+                    logs = np.concatenate((logs, np.zeros((max(need - len(logs), len(logs)), len(langs)))))
+                logs[len(row) : need] = got
+                row.update(zip(new, range(len(row), need)))
+            for words in texts:
                 if not words:
                     pred.append("und")
                     score.append(0.0)
                     continue
-                new = list(dict.fromkeys(w for w in words if w not in row))
-                if len(row) + len(new) > DICTIONARY:
-                    row.clear()
-                    new = list(dict.fromkeys(words))
-                if new:
-                    got = np.concatenate([word_logs(lattice, new[i : i + 4096], model) for i in range(0, len(new), 4096)])
-                    need = len(row) + len(new)
-                    if need > len(logs):
-                        logs = np.concatenate((logs, np.zeros((max(need - len(logs), len(logs)), len(langs)))))
-                    logs[len(row) : need] = got
-                    row.update(zip(new, range(len(row), need)))
                 total = logs[list(map(row.__getitem__, words))].sum(axis=0)
                 best = int(np.argmax(total))
                 pred.append(langs[best])
