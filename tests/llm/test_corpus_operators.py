@@ -309,3 +309,16 @@ def test_word_slices():
         words = [bytes(data[a:b]).decode() for a, b in zip(starts, ends)]
         got += [words[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     assert got == [SPACE.findall(t or "") for t in texts]
+
+
+def test_possible_pairs_keep_every_link():
+    rng = np.random.default_rng(3)
+    full = [np.unique(rng.integers(0, 60, rng.integers(1, 60))).astype(np.uint32) for _ in range(60)]
+    sets = [None if k % 7 == 0 else x for k, x in enumerate(full)]
+    for i in range(60):
+        others = rng.permutation(60)[: i % 50]
+        got = near_duplicates.possible(sets, i, others, 80)
+        for j, yes in zip(others, got, strict=True):
+            both = len(np.intersect1d(full[i], full[j]))
+            linked = 100 * both >= 80 * (len(full[i]) + len(full[j]) - both)
+            assert yes == (linked or sets[i] is None or sets[j] is None)

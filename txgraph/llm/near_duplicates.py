@@ -16,7 +16,8 @@ within the threshold meets in a bucket. Pairs met are compared over all symbols.
    members, so any bucket size fits a task: in two rounds every node gives its nearest node of
    another component, then all pairs of different components within the threshold are confirmed. No pair
    within the threshold is left unexamined unless its ends are already in one component; pairs
-   inside a component are never made.
+   inside a component are never made. In the last round members of ``SMALL`` shingles at most bring
+   their whole sets, so pairs of two such members that cannot be links end in the task that meets them.
 
 Defined results: null or empty text, or one without words, has no shingles and is its own
 component; rows that repeat an id and text share a component; a null id is linked with nothing
@@ -44,6 +45,7 @@ CHUNKS = 16
 INDEX_DISTANCE = 2 * CHUNKS - 2  # at most one error in some chunk
 DISTANCE = 86
 BLOCK = 2048
+SMALL = 512
 _SIZE = INDEXED // CHUNKS
 _KEEP = [[j for j in range(_SIZE) if j != out] for out in range(_SIZE)]
 _rng = np.random.default_rng(17)
@@ -211,20 +213,61 @@ def _with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(nodes.join(above.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component")), "near-labels")
 
 
-def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, distance: int, block: int, nearest: bool) -> DataFrame:
+def _small_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, small): the sorted low halves of a node's shingle hashes; null where the set is larger
+    than ``SMALL``, two halves are equal or the id has several sets. Equal shingles have equal halves, so
+    an intersection counted on them is never too small."""
+    def make():
+        def f(rows, data, offs):
+            sets, bounds = shingle_sets(data, offs, words)
+            out = []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                half = np.unique(sets[a:b].astype(np.uint32)) if b - a <= SMALL else sets[:0]
+                out.append(half.tobytes() if 0 < len(half) == b - a else None)
+            return [rows.column(0), pa.array(out, pa.binary())]
+
+        return f
+
+    found = map_texts(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text"), "node long, small binary", make)
+    one = (F.count("small") == F.count("*")) & (F.min("small") == F.max("small"))
+    return written(found.groupBy("node").agg(F.when(one, F.max("small")).alias("small")), "near-small")
+
+
+def possible(sets: list[np.ndarray | None], i: int, others: np.ndarray, similarity: int) -> np.ndarray:
+    """Flags of the ``others`` that can reach the similarity with set ``i``; true where either is unknown."""
+    out = np.ones(len(others), dtype=bool)
+    known = np.array([k for k, j in enumerate(others) if sets[j] is not None], dtype=np.int64)
+    if sets[i] is None or not len(known):
+        return out
+    there = [sets[j] for j in others[known]]
+    size = np.array([len(x) for x in there])
+    every = np.concatenate(there)
+    at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+    both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum(size) - size)
+    out[known] = 100 * both >= similarity * (len(sets[i]) + size - both)
+    return out
+
+
+def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, src: DataFrame, words: int, similarity: int, distance: int, block: int, nearest: bool) -> DataFrame:
     """Pairs of different components within the threshold, of the buckets that hold several; with
     ``nearest`` one pair for each member at most."""
     rows = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = written(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "near-mixed")
-    rows = rows.join(mixed, "key").join(classes.select("node", "sig"), "node")
+    rows = rows.join(mixed, "key")
+    if nearest:
+        rows = rows.withColumn("small", F.lit(None).cast("binary"))
+    else:
+        nodes = written(rows.select("node").distinct(), "near-nodes")
+        rows = rows.join(_small_sets(nodes, src, words), "node", "left")
+    rows = rows.join(classes.select("node", "sig"), "node")
     # a bucket of many members is cut into blocks, compared two by two
     cuts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), cuts).cast("int")
-    units = (rows.select("key", "node", "component", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("other"))
-             .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "component", "sig", "own"))
+    units = (rows.select("key", "node", "component", "sig", "small", own.alias("own"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("other"))
+             .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "component", "sig", "own", "small"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, x, y, node, comp, sig, own in _units(batches):
+        for key, x, y, node, comp, sig, own, sets in _units(batches):
             left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
             keys = bucket_keys(sig).reshape(len(node), -1)
             here = np.int64(key).view(np.uint64)
@@ -240,6 +283,8 @@ def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, d
                 elif len(j):  # a pair is given out by the first bucket both are in
                     first = keys[i][np.argmax(keys[j] == keys[i], axis=1)] == here
                     j, d = j[first], d[first]
+                    can = possible(sets, i, j, similarity)
+                    j, d = j[can], d[can]
                 for column, x_ in zip(out, (np.full(len(j), node[i]), node[j], d)):
                     column.append(x_)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in out], names=["a", "b", "d"])
@@ -257,7 +302,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     def out(t: pa.Table) -> tuple:
         c = [x.combine_chunks() for x in t.columns]
         c = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in c]
-        return c[0][0].as_py(), c[1][0].as_py(), c[2][0].as_py(), c[3].to_numpy(), c[4].to_numpy(), _symbols(c[5]), c[6].to_numpy()
+        return c[0][0].as_py(), c[1][0].as_py(), c[2][0].as_py(), c[3].to_numpy(), c[4].to_numpy(), _symbols(c[5]), c[6].to_numpy(), [None if x is None else np.frombuffer(x, np.uint32) for x in c[7].to_pylist()]
 
     for batch in batches:
         if not batch.num_rows:
@@ -288,7 +333,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     buckets = written(keys.join(shared.select("key", "lo", "hi"), "key"), "near-buckets")
     labels = components(_confirmed(_within(_star_pairs(buckets), classes, distance), src, words, similarity))
     for nearest in (True, True, False):
-        more = _confirmed(_residual_pairs(buckets.select("key", "node"), classes, labels, distance, block, nearest), src, words, similarity)
+        more = _confirmed(_residual_pairs(buckets.select("key", "node"), classes, labels, src, words, similarity, distance, block, nearest), src, words, similarity)
         labels = _with_links(labels, more)
     first = classes.select("hi", "lo", "node").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     empty = F.col("hi").isNull() | F.col("doc_id").isNull()
