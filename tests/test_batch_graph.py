@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from txgraph.definitions import (BiEdge, DefinitionError, Feature, GraphDefinition, MonoEdge, Validity, auxiliary,
                                  primary, TX_IDENTITY_EDGE_CENTRIC)
-from txgraph.operators.edges import expand_bag
+from txgraph.operators.edges import expand_bag, merge_distinct
 from txgraph.operators.splits import SplitSettings, resolve_split
 from txgraph.plans.batch_graph import build_graph, graph_catalogue
 from txgraph.session import scratch_path
@@ -69,3 +69,12 @@ def test_standardize_uses_full_training_rows(spark):
     m = train_rows.agg(F.avg("amt"), F.stddev_samp("amt")).first()
     r = full.nodes["T"].join(full.base.select(F.col("T_node_id").alias("node_id"), "amt"), "node_id").first()
     assert abs(r["amt_standardize"] - (r["amt"] - m[0]) / (m[1] + 1e-12)) < 1e-9
+
+
+def test_repeated_bipartite_triple_is_concatenated_and_distinct(spark):
+    """Several definitions of one triple give every edge once."""
+    first = spark.createDataFrame([(1, 10), (2, 20)], "src long, dst long")
+    second = spark.createDataFrame([(2, 20), (3, 30)], "src long, dst long")
+    merged = merge_distinct([first, second])
+    assert sorted(map(tuple, merged.collect())) == [(1, 10), (2, 20), (3, 30)]
+    assert merge_distinct([]) is None

@@ -100,6 +100,12 @@ def union_edges(parts: list[DataFrame]) -> Optional[DataFrame]:
     return out
 
 
+def merge_distinct(parts: list[DataFrame]) -> Optional[DataFrame]:
+    """Several bipartite definitions of one triple: concatenated, each edge once."""
+    u = union_edges(parts)
+    return u if u is None or len(parts) == 1 else u.dropDuplicates(["src", "dst"])
+
+
 def merge_weighted(parts: list[DataFrame]) -> Optional[DataFrame]:
     """Several monopartite definitions of one triple: weights add up."""
     u = union_edges(parts)

@@ -239,11 +239,14 @@ def fit_ordinal(df: DataFrame, columns: Sequence[str]) -> OrdinalEncoder:
     return OrdinalEncoder(tables)
 
 
-def imbalance_ratio(df: DataFrame, label_col: str) -> Optional[float]:
-    """negatives / positives (A13 M3); None when there are no positives."""
+def imbalance_table(df: DataFrame, label_col: str) -> DataFrame:
+    """One row, imbalance_ratio: negatives / positives (A13 M3); null when there are no positives."""
     y = F.col(label_col).cast("double")
-    row = df.agg(F.sum(F.when(y == 0, 1).otherwise(0)).alias("neg"),
-                 F.sum(F.when(y != 0, 1).otherwise(0)).alias("pos")).first()
-    if not row["pos"]:
-        return None
-    return float(row["neg"]) / float(row["pos"])
+    pos = F.sum(F.when(y != 0, 1).otherwise(0)).cast("double")
+    neg = F.sum(F.when(y == 0, 1).otherwise(0)).cast("double")
+    return df.agg(F.when(pos > 0, neg / pos).alias("imbalance_ratio"))
+
+
+def imbalance_ratio(df: DataFrame, label_col: str) -> Optional[float]:
+    """``imbalance_table`` as a number; None when there are no positives."""
+    return imbalance_table(df, label_col).first()[0]

@@ -199,7 +199,12 @@ def row_batches(df: DataFrame, batch_size: int, index_col: str = "row_index", ba
     return df.withColumn(batch_col, F.floor((F.col(index_col) - F.lit(lo)) / F.lit(batch_size)).cast("bigint"))
 
 
+def batch_count(df: DataFrame, batch_size: int, index_col: str = "row_index") -> DataFrame:
+    """One row, n_batches: batches that ``row_batches`` forms, gaps in the index included."""
+    span = F.max(index_col) - F.min(index_col)
+    return df.agg(F.coalesce(F.floor(span / F.lit(batch_size)) + 1, F.lit(0)).cast("bigint").alias("n_batches"))
+
+
 def num_batches(df: DataFrame, batch_size: int, index_col: str = "row_index") -> int:
-    """Batches that ``row_batches`` forms, gaps in the index included."""
-    lo, hi = df.agg(F.min(index_col), F.max(index_col)).first()
-    return 0 if lo is None else (int(hi) - int(lo)) // batch_size + 1
+    """``batch_count`` as a number."""
+    return batch_count(df, batch_size, index_col).first()[0]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from txgraph.definitions import BiEdge, GraphDefinition, MonoEdge
 from txgraph.functions import from_epoch, to_columns
-from txgraph.operators.edges import (bipartite_edges, expand_bag, merge_weighted, monopartite_counts,
+from txgraph.operators.edges import (bipartite_edges, expand_bag, merge_distinct, merge_weighted, monopartite_counts,
                                      monopartite_weighted, reverse_edges, single_valued_map)
 from txgraph.operators.features import DEFAULT_MAX_ONEHOT, encode_node_features
 from txgraph.operators.ids import attach_ids
@@ -168,7 +168,7 @@ def mono_single_valued(base: DataFrame, definition: GraphDefinition) -> dict:
 def build_edges(base: DataFrame, definition: GraphDefinition, mono_form: str = "weighted",
                 single: Optional[dict] = None) -> dict:
     mono: dict = {}
-    edges: dict = {}
+    bi: dict = {}
     single = mono_single_valued(base, definition) if single is None else single
     for e in definition.edges:
         if isinstance(e, MonoEdge):
@@ -177,9 +177,10 @@ def build_edges(base: DataFrame, definition: GraphDefinition, mono_form: str = "
             mono.setdefault((e.primary, e.relation, e.primary), []).append(w)
         elif isinstance(e, BiEdge):
             fwd = bipartite_edges(base, id_col(e.src), id_col(e.dst))
-            edges[(e.src, e.relation, e.dst)] = fwd  # a repeated triple overwrites, as in the original
+            bi.setdefault((e.src, e.relation, e.dst), []).append(fwd)
             if e.reverse_relation is not None:
-                edges[(e.dst, e.reverse_relation, e.src)] = reverse_edges(fwd)
+                bi.setdefault((e.dst, e.reverse_relation, e.src), []).append(reverse_edges(fwd))
+    edges = {triple: merge_distinct(parts) for triple, parts in bi.items()}
     for triple, parts in mono.items():
         merged = merge_weighted(parts)
         edges[triple] = expand_bag(merged) if mono_form == "bag" else merged

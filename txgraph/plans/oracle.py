@@ -228,6 +228,17 @@ _HOMOGENEOUS = (
     "UNION ALL SELECT id + ne + np, 'user', id, 0.0, round(coalesce(v, 0.0), 6), 0.0 FROM usf, cnt"
 )
 
+_HOMOGENEOUS_EDGES = (
+    "WITH " + EV + ", " + E + ", " + _ids("i_ev", "event_id", "e") + ", " + _ids("i_pr", "props", "e")
+    + ", " + _ids("i_us", "user_id", "e")
+    + ", x AS (SELECT e.row_index, i_ev.id AS ev, i_pr.id + (SELECT count(*) FROM i_ev) AS pr, "
+    "i_us.id + (SELECT count(*) FROM i_ev) + (SELECT count(*) FROM i_pr) AS us FROM e LEFT JOIN i_ev USING (event_id) "
+    "LEFT JOIN i_pr USING (props) LEFT JOIN i_us USING (user_id)), "
+    "p AS (SELECT us AS src, ev AS dst, 'sends' AS etype, row_index AS orig_eid FROM x "
+    "UNION ALL SELECT ev, us, 'sent_by', row_index FROM x UNION ALL SELECT ev, pr, 'has', row_index FROM x) "
+    "SELECT * FROM p WHERE src IS NOT NULL AND dst IS NOT NULL"
+)
+
 
 SQL = {
     "transaction_view": (
@@ -330,6 +341,31 @@ SQL = {
     "imbalance_ratio": (
         "WITH " + EV + ", " + E + " SELECT round(CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS DOUBLE) / "
         "sum(CASE WHEN label <> 0 THEN 1 ELSE 0 END), 6) AS imbalance_ratio FROM e WHERE mask = 'train'"),
+    "feat_label_numeric": (
+        "SELECT p_partkey, round(CAST(dense_rank() OVER (ORDER BY coalesce(p_size, 0)) AS DOUBLE), 6) "
+        "AS p_size_label FROM part"),
+    "ordinal_encode_numeric": (
+        "WITH " + EV + ", " + E + ", codes AS (SELECT user_id AS u, dense_rank() OVER (ORDER BY user_id) - 1 AS code FROM "
+        "(SELECT DISTINCT user_id FROM e WHERE mask = 'train' AND user_id IS NOT NULL)) "
+        "SELECT event_id, CAST(coalesce(code, -1) AS BIGINT) AS user_code FROM e LEFT JOIN codes ON e.user_id = codes.u"),
+    "zscore_with_nan": (
+        "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice END AS x, "
+        "row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS idx FROM orders), "
+        "n AS (SELECT count(*) AS n FROM orders), st AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM o, n "
+        "WHERE idx <= CAST(n.n AS DOUBLE) * " + _R_TRAIN + ") SELECT o_orderkey, round((x - m) / s, 6) AS z FROM o, st"),
+    "num_batches": (
+        "WITH " + EV + ", " + E + f", t AS (SELECT row_index AS i FROM e WHERE mask = 'test' AND \"value\" > {SCORE_CENTER}) "
+        f"SELECT CAST(coalesce(floor((max(i) - min(i)) / {BATCH}) + 1, 0) AS BIGINT) AS n_batches FROM t"),
+    "homogeneous_edges": _HOMOGENEOUS_EDGES,
+    "edges_two_definitions": (
+        "WITH " + TX + ", " + B + ", " + _ids("ic", "cc_num", idcol="cid") + ", r AS (SELECT cid, city, "
+        "first_order_merchant AS fom FROM b JOIN ic USING (cc_num)), " + _mono_pairs("m1", "cid", "city", "r") + ", "
+        + _mono_pairs("m2", "cid", "fom", "r") + " SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM "
+        "(SELECT * FROM m1 UNION ALL SELECT * FROM m2) GROUP BY 1, 2"),
+    "graph_written_back": (
+        "SELECT 'nodes' AS kind, node_type AS name, n_nodes AS n_rows FROM (" + _graph_summary() + ") UNION ALL "
+        "SELECT 'edges', src_type || '__' || relation || '__' || dst_type, n_edges FROM (" + _node_centric() + ")"),
+    "score_linear": "WITH " + EV + ", " + E + ", " + _PRED + " SELECT event_id, round(score, 6) AS score FROM p",
     "edges_mono_customer": (
         "WITH " + TX + ", " + B + ", " + _ids("it", "trans_num", idcol="tid") + ", " + _ids("ic", "cc_num", idcol="cid")
         + ", r AS (SELECT it.tid, ic.cid FROM b JOIN it USING (trans_num) JOIN ic USING (cc_num)), "
@@ -414,3 +450,4 @@ SQL = {
         "FROM v LEFT JOIN run ON v.user_id = run.user_id AND v.vis = run.vis WHERE v.mask = 'test'"),
     "csv_round_trip": "SELECT r_regionkey, r_name FROM region",
 }
+SQL["summary_written_back"] = SQL["evaluation_summary"]

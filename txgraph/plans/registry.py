@@ -13,26 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txgraph.definitions import (TX_IDENTITY_EDGE_CENTRIC, TX_IDENTITY_NODE_CENTRIC, TX_NO_FEATURES,
-                                 ColumnGraphDefinition, Feature, GraphDefinition, Validity, primary)
+                                 ColumnGraphDefinition, Feature, GraphDefinition, MonoEdge, Validity, auxiliary, primary)
 from txgraph.functions import from_epoch, round6, signed_log
 from txgraph.operators.edges import bipartite_edges, monopartite_counts, monopartite_weighted, reverse_edges
-from txgraph.operators.features import (encode_node_features, fit_ordinal, fit_scaler, imbalance_ratio,
+from txgraph.operators.features import (encode_node_features, fit_ordinal, fit_scaler, imbalance_ratio, imbalance_table,
                                         label_encoding, onehot_columns, target_encoding)
 from txgraph.operators.metrics import evaluation_summary, pr_curve, precision_recall, weighted_log_loss
-from txgraph.operators.model import logistic_scores, train_logistic
+from txgraph.operators.model import logistic_scores, score_with, train_logistic
 from txgraph.operators.nodes import node_table
 from txgraph.operators.sampling import aggregate_neighbors, sample_neighbors
-from txgraph.operators.splits import (SplitSettings, add_split_codes, apply_filters, date_window_filter,
+from txgraph.operators.splits import (SplitSettings, add_split_codes, apply_filters, batch_count, date_window_filter,
                                       positional_split, resolve_split, row_batches, split_view, tag_inference)
 from txgraph.operators.validity import node_key_table
-from txgraph.plans.batch_graph import (attach_all_ids, build_graph, data_checks, graph_catalogue, id_col, key_tables,
+from txgraph.plans.batch_graph import (attach_all_ids, build_edges, build_graph, data_checks, graph_catalogue, id_col, key_tables,
                                       materialise, mono_single_valued, node_summary, prepare_base)
 from txgraph.plans.dynamic_graph import DynamicGraph, TabularTable
 from txgraph.plans.prequential import prequential_scores
 from txgraph.session import scratch_path
-from txgraph.sources.readers import read_csv, write_csv
+from txgraph.sources.readers import read_csv, write_csv, write_graph, write_summary
 from txgraph.sources.tables import event_view, table, transaction_view
-from txgraph.streaming.native import latest_node_features, run_graph_stream
+from txgraph.streaming.native import latest_node_features, run_graph_stream, write_replay_batches
 
 # Query parameters (shared with the SQL twins).
 TX_SPLIT = SplitSettings(date(1995, 1, 1), date(2001, 8, 1), gap_days=30, eval_days=180)
@@ -235,8 +235,35 @@ def q_ordinal_encode(spark, sf):
 
 def q_imbalance_ratio(spark, sf):
     t = _events_table(spark, sf)
-    r = imbalance_ratio(split_view(t, "train"), "label")
-    return spark.range(1).select(F.round(F.lit(r).cast("double"), 6).alias("imbalance_ratio"))
+    return imbalance_table(split_view(t, "train"), "label").select(round6("imbalance_ratio").alias("imbalance_ratio"))
+
+
+def q_feat_label_numeric(spark, sf):
+    """Numeric categories are ranked as numbers."""
+    out, name = label_encoding(table(spark, sf, "part").select("p_partkey", "p_size"),
+                               Feature("p_size", "categorical", 0, ("label",)), "p_partkey", normalise=False)
+    return out.select("p_partkey", round6(name).alias(name))
+
+
+def q_ordinal_encode_numeric(spark, sf):
+    t = _events_table(spark, sf)
+    enc = fit_ordinal(split_view(t, "train"), ["user_id"])
+    return enc.transform(t).select("event_id", F.col("user_id").cast("bigint").alias("user_code"))
+
+
+def q_zscore_with_nan(spark, sf):
+    """NaN is left out of the fit and stays NaN (shown as null)."""
+    price = F.when(F.col("o_orderpriority") == "5-LOW", F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    orders = table(spark, sf, "orders").select("o_orderdate", "o_orderkey", price.cast("double").alias("x"))
+    t = TabularTable.create(orders, ["o_orderdate", "o_orderkey"], RATIOS, numeric=["x"])
+    z = fit_scaler(t.view("train"), ["x"], ddof=0).transform(t.df)
+    return z.select("o_orderkey", F.when(~F.isnan("x"), round6("x")).alias("z"))
+
+
+def q_num_batches(spark, sf):
+    """Batches over an index with gaps (the rows above the centre value)."""
+    test = split_view(_events_table(spark, sf), "test").filter(F.col("value") > SCORE_CENTER)
+    return batch_count(test, BATCH)
 
 
 # -- edges and graphs ---------------------------------------------------------------------
@@ -299,6 +326,34 @@ def q_graph_checks(spark, sf):
     return data_checks(g.base, g.definition)
 
 
+_TWO_DEFINITIONS = GraphDefinition(
+    identifier="CUSTOMERS_BY_CITY_OR_MERCHANT",
+    nodes={"CUSTOMER": primary(["cc_num"], (), Validity(all_not_null=True)),
+           "CITY": auxiliary(["city"], Validity(all_not_null=True)),
+           "FIRST_ORDER_MERCHANT": auxiliary(["first_order_merchant"], Validity(all_not_null=True))},
+    edges=[MonoEdge("CUSTOMER", "CITY", "LINKED"), MonoEdge("CUSTOMER", "FIRST_ORDER_MERCHANT", "LINKED")],
+    labelled="CUSTOMER",
+)
+
+
+def q_edges_two_definitions(spark, sf):
+    """Two shared-attribute definitions of one triple: weights add up."""
+    d = _TWO_DEFINITIONS
+    base = _with_ids(_tx_base(spark, sf, d), d, list(d.nodes))
+    return build_edges(base, d)[("CUSTOMER", "LINKED", "CUSTOMER")]
+
+
+def q_graph_written_back(spark, sf):
+    """Node tables and edge lists of a full build, written (S5), read back and counted."""
+    path = scratch_path(spark, "graph")
+    write_graph(_full_graph(spark, sf, TX_IDENTITY_NODE_CENTRIC), path)
+    parts = []
+    for kind, col in (("nodes", "ntype"), ("edges", "etype")):
+        rows = spark.read.parquet(f"{path}/{kind}").groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+        parts.append(rows.select(F.lit(kind).alias("kind"), F.col(col).cast("string").alias("name"), "n_rows"))
+    return parts[0].unionByName(parts[1])
+
+
 def _long_counts(catalogue: DataFrame) -> DataFrame:
     """Decimal counts as bigint, the type of the DuckDB twins (the library keeps decimals)."""
     return catalogue.withColumns({c: F.col(c).cast("bigint") for c in ("n_edges", "n_bag")})
@@ -336,6 +391,11 @@ def q_homogeneous_nodes(spark, sf):
                         round6("label").alias("label"))
 
 
+def q_homogeneous_edges(spark, sf):
+    _, edges = DynamicGraph.build(_events_table(spark, sf), ev_definition()).homogeneous()
+    return edges.select("src", "dst", "etype", "orig_eid")
+
+
 def _increment(spark, sf):
     t = _events_table(spark, sf)
     g = DynamicGraph.build(split_view(t, "train"), ev_definition())
@@ -373,9 +433,10 @@ _STREAM_FEATS = {"event": ["value"], "user": ["value"]}
 
 
 def _stream_out(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return run_graph_stream(spark, sf, schema, _STREAM_NODES, _STREAM_EDGES, _STREAM_FEATS, ["ts", "event_id"],
-                            glob="events.parquet")
+    """Events replayed week by week: one file, so one micro-batch, a week."""
+    ev = table(spark, sf, "events").withColumn("week", F.weekofyear("ts"))
+    source = write_replay_batches(ev, "week", scratch_path(spark, "replay"))
+    return run_graph_stream(spark, source, ev.schema, _STREAM_NODES, _STREAM_EDGES, _STREAM_FEATS, ["ts", "event_id"])
 
 
 def q_stream_graph_features(spark, sf):
@@ -478,6 +539,21 @@ def q_evaluation_summary(spark, sf):
                     round6("loss").alias("loss"))
 
 
+def q_summary_written_back(spark, sf):
+    """The evaluation summary through its sink (S6) and back."""
+    summary = q_evaluation_summary(spark, sf)
+    path = scratch_path(spark, "summary")
+    write_summary(summary, path)
+    return spark.read.schema(summary.schema).json(path)
+
+
+def q_score_linear(spark, sf):
+    """A caller's pandas scorer, applied batch-wise (M2)."""
+    test = split_view(_events_table(spark, sf), "test")
+    return score_with(test, lambda x: (x["value"] - SCORE_CENTER) / SCORE_SCALE, ["value"], ["event_id"]) \
+        .select("event_id", round6("score").alias("score"))
+
+
 def q_prequential_scores(spark, sf):
     t = _events_table(spark, sf)
     s = prequential_scores(t, node_col="user_id", item_col="event_id", value_col="value", label_col="label",
@@ -525,6 +601,10 @@ QUERIES = {
     "zscore_train_fit": q_zscore_train_fit,
     "ordinal_encode": q_ordinal_encode,
     "imbalance_ratio": q_imbalance_ratio,
+    "feat_label_numeric": q_feat_label_numeric,
+    "ordinal_encode_numeric": q_ordinal_encode_numeric,
+    "zscore_with_nan": q_zscore_with_nan,
+    "num_batches": q_num_batches,
     "edges_mono_customer": q_edges_mono_customer,
     "edges_mono_weighted_nation": q_edges_mono_weighted_nation,
     "edges_bipartite": q_edges_bipartite,
@@ -536,6 +616,9 @@ QUERIES = {
     "preset_node_centric": q_preset_node_centric,
     "preset_edge_centric": q_preset_edge_centric,
     "homogeneous_nodes": q_homogeneous_nodes,
+    "homogeneous_edges": q_homogeneous_edges,
+    "edges_two_definitions": q_edges_two_definitions,
+    "graph_written_back": q_graph_written_back,
     "increment_new_ids": q_increment_new_ids,
     "increment_features": q_increment_features,
     "increment_edges": q_increment_edges,
@@ -549,6 +632,8 @@ QUERIES = {
     "weighted_log_loss": q_weighted_log_loss,
     "pr_curve": q_pr_curve,
     "evaluation_summary": q_evaluation_summary,
+    "summary_written_back": q_summary_written_back,
+    "score_linear": q_score_linear,
     "prequential_scores": q_prequential_scores,
     "train_score_nodes": q_train_score_nodes,
     "csv_round_trip": q_csv_round_trip,

@@ -29,11 +29,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_increments_stream(spark: SparkSession, directory: str, schema: StructType | str,
-                           max_files_per_trigger: int = 1) -> DataFrame:
-    """Increment source (S4): each file dropped into ``directory`` is one increment."""
-    return (spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(directory))
+                           max_files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
+    """Increment source (S4): each file dropped into ``directory`` (``glob``: whose name matches) is
+    one increment."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.parquet(directory)
 
 
 def write_graph(graph, path: str, mode: str = "overwrite") -> None:

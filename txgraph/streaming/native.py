@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txgraph.session import scratch_path
+from txgraph.sources.readers import read_increments_stream
 
 
 def hashed_id(ntype: str, key_col: str):
@@ -90,10 +91,7 @@ def run_graph_stream(spark: SparkSession, source_dir: str, schema, node_cols: di
                      glob: Optional[str] = None, max_files_per_trigger: int = 1) -> str:
     """Replay a directory of increment files to completion; returns the output folder."""
     out_dir = out_dir or scratch_path(spark, "graph-stream")
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    stream = reader.parquet(source_dir)
+    stream = read_increments_stream(spark, source_dir, schema, max_files_per_trigger, glob)
     for q in start_graph_stream(stream, node_cols, edge_defs, features, order_cols, out_dir):
         q.awaitTermination()
     return out_dir
