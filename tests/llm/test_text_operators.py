@@ -150,6 +150,44 @@ def test_quality_rules_against_brute_force(spark, sample):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def brute_character_repeats(text, least):
+    t, words = re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), SPACE.findall(text or "")
+    inside, longest = set(), 0
+    for a in range(len(t)):
+        n = least
+        while a + n <= len(t) and (t.find(t[a : a + n]) < a or t.find(t[a : a + n], a + 1) >= 0):
+            inside |= set(range(a, a + n))
+            longest, n = max(longest, n), n + 1
+    grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    at = [m.span() for m in re.finditer("[^ ]+", t)]
+    for i in range(len(words) - 7):
+        if grams[tuple(words[i : i + 8])] > 1:
+            inside |= {p for a, b in at[i : i + 8] for p in range(a, b)}
+    return sum(t[p] != " " for p in inside), longest
+
+
+def test_quality_rules_see_short_and_unspaced_repeats(spark, sample):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    fine = " ".join(letters(6) for _ in range(60))
+    stutter = " ".join(" ".join([letters(6)] * 7) for _ in range(8))
+    inside = " ".join(letters(3) + "abcdefghijklmnopqrstuvwxyz" + letters(3) for _ in range(30))
+    sign = lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n))
+    unspaced = fine + " " + sign(300) * 2
+    texts = EDGE_TEXTS[:6] + EDGE_TEXTS[8:] + ["  a  b\tc \n d e f g h  " * 3, fine, stutter, inside, unspaced, fine + " " + sign(300)] + [t for t in sample if len(t) < 800][:15]
+    df, rows = rows_of(spark, texts, extra=True)
+    got = by_id(quality_rules.quality_rules(df, min_chars=quality_rules.MIN_CHARS, max_longest=quality_rules.MAX_LONGEST_CHARS))
+    assert sum(map(len, got.values())) == len(rows)
+    for i, t in rows:
+        want = brute_character_repeats(t, quality_rules.MIN_CHARS)
+        assert all((r["repeat_chars"], r["longest_repeat"]) == want for r in got[i]), t
+    before = by_id(quality_rules.quality_rules(df))
+    n = texts.index(fine)
+    assert [got[n + k][0]["base_failed"] for k in range(5)] == [False] * 5
+    assert [before[n + k][0]["kept"] for k in range(5)] == [True] * 5
+    assert [got[n + k][0]["kept"] for k in range(5)] == [True, False, False, False, True]
+
+
 def brute_hits(text, items):
     w = ALNUM.findall(lower_az(text or ""))
     hit, found = set(), set()

@@ -36,7 +36,7 @@ def op7_benchmark_decontamination(spark, sf_dir):
 
 
 def op8_quality_rules(spark, sf_dir):
-    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"), min_chars=quality_rules.MIN_CHARS, max_longest=quality_rules.MAX_LONGEST_CHARS)
 
 
 def op9_warc(spark, sf_dir):
