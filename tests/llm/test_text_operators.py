@@ -276,6 +276,31 @@ def test_structures_confirm_or_not():
     assert kinds(base64.b64encode(bytes(range(60))).decode()) == []
 
 
+def wrapped(b, width, sep="\n"):
+    return sep.join(re.findall(f".{{1,{width}}}", base64.b64encode(b).decode()))
+
+
+def spans_everywhere(spark, texts):
+    """find_spans of each text; scan_secrets must say the same and redact_secrets must leave none of them."""
+    df, rows = rows_of(spark, texts)
+    want = [secrets.find_spans(t or "") for t in texts]
+    for i, found in by_id(secrets.scan_secrets(df)).items():
+        if i is not None:
+            assert all(r["spans"] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want[i]) for r in found), texts[i]
+    for i, found in by_id(secrets.redact_secrets(df, chars_col=None)).items():
+        if i is not None and want[i]:
+            assert all(f"[{secrets.KINDS[want[i][0][1]]}]" in r["text"] and texts[i][want[i][0][0] : want[i][0][2]] not in r["text"] for r in found), texts[i]
+    return [[secrets.KINDS[k] for _, k, _ in w] for w in want]
+
+
+def test_short_wrapped_armour_is_scanned(spark, sample):
+    key = DER[:1] + bytes([DER[1] + 2]) + DER[2:-13] + bytes([DER[-13] + 2]) + DER[-12:] + b"zz"  # 36 bytes: no padding
+    assert secrets.is_der_key(key) and len(key) % 3 == 0
+    armoured = [f"a -----BEGIN PRIVATE KEY-----\n{wrapped(key, w)}\n-----END PRIVATE KEY----- b" for w in (8, 12, 16, 24)]
+    assert not any(c in t for t in armoured for c in ":=")
+    assert spans_everywhere(spark, EDGE_TEXTS + sample[:40] + armoured)[-4:] == [["der"]] * 4
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdef12 b", "en", 18), (2, None, "en", 0), (3, "clean", None, 5), (4, "", "x", 0)], "doc_id long, text string, lang string, n_chars long")
     got = {r["doc_id"]: r for r in secrets.redact_secrets(df).collect()}

@@ -39,6 +39,7 @@ _SIGNED = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _RUN = K.byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F)])
 _SIGNED_RUN = K.byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2D, 0x2E), (0x5F, 0x5F)])
 _HEX_RUN = K.byte_class([(0x30, 0x39), (0x61, 0x66)])
+_HEAD = b"-----BEGIN "
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
 
@@ -139,11 +140,15 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Documents with a byte run that some pattern needs: ``:`` or ``=``, AKIA, 24 hex digits, 32
-    base64 characters, or a dotted run; the others cannot hold a span."""
+    """Documents with a byte run that some pattern needs: ``:`` or ``=``, AKIA, the head of an armour,
+    24 hex digits, 32 base64 characters, or a dotted run; the others cannot hold a span."""
     flag = K.counts_by(offs, np.flatnonzero((data == 0x3A) | (data == 0x3D))) > 0
     four = np.flatnonzero((data[:-3] == 0x41) & (data[1:-2] == 0x4B) & (data[2:-1] == 0x49) & (data[3:] == 0x41)) if len(data) > 3 else np.zeros(0, int)
     flag |= K.counts_by(offs, four) > 0
+    dash = np.flatnonzero(data == 0x2D)
+    for k, c in enumerate(_HEAD):
+        dash = dash[data[np.minimum(dash + k, len(data) - 1)] == c]
+    flag |= K.counts_by(offs, dash) > 0
     for table, least in ((_HEX_RUN, 24), (_RUN, 32), (_SIGNED_RUN, 12)):
         starts, ends, _ = K.words(data, offs, table)
         long = starts[ends - starts >= least]
