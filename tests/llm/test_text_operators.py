@@ -301,6 +301,30 @@ def test_short_wrapped_armour_is_scanned(spark, sample):
     assert spans_everywhere(spark, EDGE_TEXTS + sample[:40] + armoured)[-4:] == [["der"]] * 4
 
 
+def test_keys_in_strings_headers_and_wrapped_lines(spark):
+    key = b"\x30\x81\xa0" + bytes([2, 1, 0, 0x30, 0x0D, 6, 9]) + b"\x01" * 9 + bytes([5, 0, 4, 0x81, 0x8B]) + bytes(range(139))
+    assert secrets.is_der_key(key)
+    ssh = SSH + bytes(range(200))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    escaped = wrapped(key, 64, "\\n")
+    texts = [
+        json.dumps({"type": "service_account", "private_key": f"{head}\n{wrapped(key, 64)}\n{end}\n", "client": "x"}),
+        json.dumps(json.dumps({"k": f"{head}\r\n{wrapped(key, 64)}\r\n{end}"})).replace("/", "\\/"),
+        "k = (\n" + "\n".join(f'    "{x}\\n" +' for x in [head, *wrapped(key, 64).split(), end]) + "\n)",
+        f"{head}\nComment: mine\n\n{wrapped(key, 64)}\n{end}",
+        f"{head}\n{fields}{wrapped(bytes(range(160)), 64)}\n{end}",
+        f"key: |\n    {wrapped(key, 40, chr(10) + '    ')}\nnext: word\n",
+        f'"data": "\\n{escaped}\\n"', f'a = "{escaped}\\nword"', f"ssh: >\n  {wrapped(ssh, 70, chr(10) + '  ')}\n\nthen more text",
+        f"{head}\n{wrapped(key, 64)}\nno end of it",
+    ]
+    got = spans_everywhere(spark, texts)
+    assert [[k for k in x if k in ("der", "ssh")] for x in got] == [["der"]] * 8 + [["ssh"], ["der"]]
+    no = [f"{head}\n{fields}{wrapped(bytes(range(157)), 64)}\n{end}", f"{head}\nnot: a key at all\n{end}", f"{head} {head} {end}", wrapped(key[:-1], 40), wrapped(key, 40, " x "),
+          "\n".join(["MIIBVQIBADANBgkq"] * 500)]
+    assert [[k for k in x if k in ("der", "ssh")] for x in spans_everywhere(spark, no)] == [[]] * 6
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdef12 b", "en", 18), (2, None, "en", 0), (3, "clean", None, 5), (4, "", "x", 0)], "doc_id long, text string, lang string, n_chars long")
     got = {r["doc_id"]: r for r in secrets.redact_secrets(df).collect()}

@@ -1,9 +1,13 @@
-"""Secret scans (6): pattern candidates, then structural confirmation of encoded candidates.
+r"""Secret scans (6): pattern candidates, then structural confirmation of encoded candidates.
 
 Base patterns report assignments, access key ids and long hex runs. The method adds spans only
 after decoding: base64 and hex runs (also the bodies of armoured blocks) must parse as a nested
 length-prefixed structure to the last byte (``der`` key encodings, ``ssh`` private keys), and
 three dotted base64url parts must begin with a JSON header naming an algorithm (``jwt``).
+Candidates are normalised first: escaped line ends (``\n``, ``\r``), quotes, string joins and comment
+marks between base64 lines go, header lines of an armour are read apart, and wrapped lines of 16 or
+more characters are joined without an armour too. An armoured key that its header lines call
+encrypted counts as ``der`` if it is whole cipher blocks under a named cipher and a hex vector.
 
 Defined results: null text counts as empty and has no spans; repeated rows give repeated results;
 a null id is kept; extra columns are ignored; no rows, no result rows. Very long texts are scanned
@@ -17,6 +21,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +39,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
+_END = re.compile(r"-----END ([A-Z0-9 ]{1,40})-----")
+_ESCAPED = re.compile(r"(?<!\\)\\+([nrt/]|u00[0-9A-Fa-f]{2})")
+_FIELD = re.compile(r"([A-Za-z][A-Za-z0-9-]*):")
+_BARE = re.compile(r"[A-Za-z0-9+/=\s]*")
+_AROUND = " \t\"'`>#*|;,.&()\\"
+_CIPHER = re.compile(r"([A-Z0-9-]+),([0-9A-Fa-f]{16,32})")
+# between two lines of one candidate: line ends, plain or escaped, string quotes and joins, comment marks
+_GAP = re.compile(r"""(?:\\+[nrt/]|[\s"'`]|\\(?=\s)|(?<=["'`\s])[+,.&#*>|](?=[\s"'`]))+""")
+_PIECE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M[A-P][A-Za-z0-9+/]{14}|b3BlbnNzaC1rZXkt)")
 _SIGNED = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _RUN = K.byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F)])
 _SIGNED_RUN = K.byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2D, 0x2E), (0x5F, 0x5F)])
@@ -119,13 +134,90 @@ def _structure(b: bytes | None) -> str | None:
     return "der" if is_der_key(b) else "ssh" if is_ssh_key(b) else None
 
 
+def _armoured(body: str) -> str | None:
+    """Kind of the key in an armour's body: base64 lines after normalisation, header lines apart."""
+    plain = _ESCAPED.sub(lambda m: {"n": "\n", "r": "\n", "t": " ", "/": "/"}.get(m[1]) or chr(int(m[1][3:], 16)), body)
+    lines, fields, more = [], {}, False
+    for line in plain.splitlines():
+        bare = line.strip(_AROUND)
+        if bare[-2:-1] and bare[-1] == "+" and bare[-2] in _AROUND:  # a string join, not base64
+            bare = bare[:-1].rstrip(_AROUND)
+        if bare[1:2] and bare[0] == "+" and bare[1] in _AROUND:
+            bare = bare[1:].lstrip(_AROUND)
+        if m := _FIELD.match(bare):
+            fields[m[1].lower()] = bare[m.end() :].strip()
+        elif not more:
+            if bare != "+" and not _BARE.fullmatch(bare):
+                return None
+            lines.append("" if bare == "+" and len(line) > 1 else bare)
+        more = line.rstrip().endswith("\\") and bool(m or more)
+    got = _decoded("".join(lines))
+    if got and "ENCRYPTED" in fields.get("proc-type", "") and (m := _CIPHER.fullmatch(fields.get("dek-info", ""))):
+        return "der" if len(m[2]) in (16, 32) and len(got) % (len(m[2]) // 2) == 0 else None
+    return _structure(got)
+
+
+def _armours(text: str) -> list[tuple[int, str | None, int]]:
+    """(start, kind, end) of every armour: a head and the next end of the same name before another head."""
+    heads = list(_BEGIN.finditer(text))
+    out, ends = [], list(_END.finditer(text)) if heads else []
+    at = [e.start() for e in ends]
+    for m, after in zip(heads, [*(h.start() for h in heads[1:]), len(text)]):
+        for e in ends[bisect_left(at, m.end()) : bisect_left(at, after)]:
+            if e[1] == m[1]:
+                out.append((m.start(), _armoured(text[m.end() : e.start()]), e.end()))
+                break
+    return out
+
+
+def _der_size(head: str) -> int:
+    """Bytes of the SEQUENCE that begins with these base64 characters, 0 if it has no fitting length."""
+    b = base64.b64decode(head[:8])
+    k = b[1] & 0x7F
+    if not b[1] & 0x80:
+        return 2 + b[1]
+    return 2 + k + int.from_bytes(b[2 : 2 + k], "big") if 1 <= k <= 4 else 0
+
+
+def _wrapped(text: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of keys in runs of base64 lines without an armour. A DER key ends where its
+    outer length says, an SSH container with the first line shorter than the one it begins with."""
+    out, pieces, known, total = [], [], {}, []
+    for m in _START.finditer(text):
+        if m.start() not in known:  # the run of lines from here; each is read once
+            pieces, total, at = [], [0], m.start()
+            while p := _PIECE.match(text, at):
+                pieces.append(p)
+                total.append(total[-1] + len(p[0].rstrip("=")))
+                gap = _GAP.match(text, p.end())
+                if not gap:
+                    break
+                at = gap.end()
+            known = {p.start(): i for i, p in enumerate(pieces)}
+        i = known[m.start()]
+        if m[0][0] == "M":
+            need = -(-_der_size(m[0]) * 4 // 3)
+            j = bisect_left(total, total[i] + need)
+            tries = [j] if need >= 32 and j < len(total) and total[j] == total[i] + need else []
+        else:
+            j = i + 1
+            while j < len(pieces) and len(pieces[j][0]) == len(pieces[i][0]):
+                j += 1
+            tries = [j + 1, j] if j < len(pieces) and len(pieces[j][0]) < len(pieces[i][0]) else [j]
+        for j in tries:
+            if kind := _structure(_decoded("".join(p[0] for p in pieces[i:j]))):
+                out.append((m.start(), kind, pieces[j - 1].end()))
+                break
+    return out
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """All (start, kind index, end), in order of start and then kind."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 24]
-    added = [(m.start(), _structure(_decoded(m[2])), m.end()) for m in _ARMOUR.finditer(text)]
-    added = [a for a in added if a[1]]
+    added = [a for a in _armours(text) if a[1]]
+    added += [w for w in _wrapped(text) if not any(a <= w[0] < b for a, _, b in added)]
     inside = [(a[0], a[2]) for a in added]
     for pattern, decode in ((_BASE64, _decoded), (_ANY_HEX, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
         for m in pattern.finditer(text):
@@ -141,7 +233,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def _suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Documents with a byte run that some pattern needs: ``:`` or ``=``, AKIA, the head of an armour,
-    24 hex digits, 32 base64 characters, or a dotted run; the others cannot hold a span."""
+    24 hex digits, 16 base64 characters, or a dotted run; the others cannot hold a span."""
     flag = K.counts_by(offs, np.flatnonzero((data == 0x3A) | (data == 0x3D))) > 0
     four = np.flatnonzero((data[:-3] == 0x41) & (data[1:-2] == 0x4B) & (data[2:-1] == 0x49) & (data[3:] == 0x41)) if len(data) > 3 else np.zeros(0, int)
     flag |= K.counts_by(offs, four) > 0
@@ -149,7 +241,7 @@ def _suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for k, c in enumerate(_HEAD):
         dash = dash[data[np.minimum(dash + k, len(data) - 1)] == c]
     flag |= K.counts_by(offs, dash) > 0
-    for table, least in ((_HEX_RUN, 24), (_RUN, 32), (_SIGNED_RUN, 12)):
+    for table, least in ((_HEX_RUN, 24), (_RUN, 16), (_SIGNED_RUN, 12)):
         starts, ends, _ = K.words(data, offs, table)
         long = starts[ends - starts >= least]
         if table is _SIGNED_RUN and len(long):
