@@ -211,6 +211,36 @@ def test_forward_sums_all_segmentations():
     assert np.isclose((one[:, 1] * lengths).sum(), 2 * len("▁hello")) and one[:, 0].sum() == 0
 
 
+def test_word_scores_stay_finite_after_a_large_training_total():
+    import public_tokenizers
+
+    lattice = language_id.Lattice(public_tokenizers.path(language_id.MODEL))
+    total = np.zeros((lattice.size, 2))
+    total[lattice.ids["▁the"]] = 1e9
+    model = np.log(total + language_id.SMOOTHING) - np.log((total + language_id.SMOOTHING).sum(axis=0))
+    model[0] = language_id.LOG_UNKNOWN
+    signs = [p for p in lattice.ids if len(p) == 1 and 0x4E00 <= ord(p) < 0xA000]
+    run = "".join(signs[:48])
+
+    def total_log(s, lang):
+        sums = [0.0] + [-np.inf] * len(s)
+        for end in range(1, len(s) + 1):
+            for a in range(end):
+                p = lattice.ids.get(s[a:end], 0)
+                if p or end == a + 1:
+                    sums[end] = np.logaddexp(sums[end], sums[a] + model[p, lang])
+        return sums[-1]
+
+    words = ["the", run, "hello", run[:45]]
+    got = language_id.word_logs(lattice, words, model)
+    assert np.isfinite(got).all()
+    assert np.allclose(got, [[total_log("▁" + w, g) for g in (0, 1)] for w in words])
+    counts = language_id.expected_counts(lattice, words, np.array([0, 1, 0, 1]), np.array([3, 2, 1, 4]), model)
+    lengths = np.array([1] + [len(p) for p in sorted(lattice.ids, key=lattice.ids.get)])
+    assert np.isfinite(counts).all()
+    assert np.allclose((counts * lengths[:, None]).sum(axis=0), [3 * 4 + 6, 2 * 49 + 4 * 46])
+
+
 def test_quality_classifier_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

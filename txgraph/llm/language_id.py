@@ -38,6 +38,7 @@ DICTIONARY = 300_000
 SMOOTHING = 0.1
 LOG_UNKNOWN = -14.0
 LIFT = 4.0  # added to every log-probability per character while summing, against underflow
+SAFE = 1e-200, 1e200  # sums of words outside are made again in logarithms: the lift of a word stays under 1e84, so what underflows on the way to a sum inside is no part of it
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -117,11 +118,33 @@ def forward(weights: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.n
     return alpha
 
 
+def forward_logs(weights: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, n_nodes: int, steps: np.ndarray) -> np.ndarray:
+    """``forward`` with logarithms of the weights and of the sums."""
+    alpha = np.full((n_nodes, weights.shape[1]), -np.inf)
+    alpha[first] = 0.0
+    for a, b in zip(steps[:-1], steps[1:]):
+        e = end[a:b]
+        at = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
+        if len(at):
+            alpha[e[at]] = np.logaddexp.reduceat(alpha[begin[a:b]] + weights[a:b], at, axis=0)
+    return alpha
+
+
+def _unsafe(sums: np.ndarray) -> np.ndarray:
+    return ~((sums >= SAFE[0]) & (sums <= SAFE[1]))
+
+
 def word_logs(lattice: Lattice, words: list[str], model: np.ndarray) -> np.ndarray:
     """log P(word | language), summed over all segmentations."""
     begin, end, piece, first, last = lattice.arcs(words)
-    alpha = forward(lifted(lattice, model)[piece], begin, end, first, int(last[-1]) + 1, lattice.steps)
-    return np.log(alpha[last]) - LIFT * (last - first)[:, None]
+    alpha = forward(lifted(lattice, model)[piece], begin, end, first, int(last[-1]) + 1, lattice.steps)[last]
+    again = np.flatnonzero(_unsafe(alpha).any(axis=1))
+    alpha[again] = 1.0
+    out = np.log(alpha) - LIFT * (last - first)[:, None]
+    if len(again):
+        begin, end, piece, first, last = lattice.arcs([words[i] for i in again])
+        out[again] = forward_logs(model[piece], begin, end, first, int(last[-1]) + 1, lattice.steps)[last]
+    return out
 
 
 def expected_counts(lattice: Lattice, words: list[str], lang: np.ndarray, n: np.ndarray, model: np.ndarray) -> np.ndarray:
@@ -131,17 +154,42 @@ def expected_counts(lattice: Lattice, words: list[str], lang: np.ndarray, n: np.
     word = np.repeat(np.arange(len(words)), last - first + 1)[begin]
     w = lifted(lattice, model)[piece, lang[word]]
     alpha = forward(w[:, None], begin, end, first, nodes, lattice.steps)[:, 0]
+    unsafe = _unsafe(alpha[last])
     beta = np.zeros(nodes)
     beta[last] = 1.0
-    # backwards: the same arcs with places counted from the word's end
-    back = last[word] - begin
+    for k, at in backward_steps(begin, last[word]):
+        beta[begin[k][at]] += np.add.reduceat(beta[end[k]] * w[k], at)
+    alpha[last[unsafe]] = 1.0
+    share = np.where(unsafe[word], 0.0, alpha[begin] * w * beta[end] / alpha[last][word] * n[word])
+    out = np.bincount(piece * model.shape[1] + lang[word], share, model.size).reshape(model.shape)
+    if unsafe.any():
+        again = np.flatnonzero(unsafe)
+        out += expected_counts_logs(lattice, [words[i] for i in again], lang[again], n[again], model)
+    return out
+
+
+def backward_steps(begin: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The arcs with places counted from the word's end, and the first arc of each begin among them."""
+    back = stop - begin
     by = np.lexsort((begin, back))
     cuts = np.concatenate(([0], np.cumsum(np.bincount(back, minlength=1)[1:])))
     for a, b in zip(cuts[:-1], cuts[1:]):
         k = by[a:b]
-        at = np.flatnonzero(np.concatenate(([True], begin[k][1:] != begin[k][:-1])))
-        beta[begin[k][at]] += np.add.reduceat(beta[end[k]] * w[k], at)
-    share = alpha[begin] * w * beta[end] / alpha[last][word] * n[word]
+        yield k, np.flatnonzero(np.concatenate(([True], begin[k][1:] != begin[k][:-1])))
+
+
+def expected_counts_logs(lattice: Lattice, words: list[str], lang: np.ndarray, n: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """``expected_counts`` with logarithms of all sums, for words whose sums leave ``SAFE``."""
+    begin, end, piece, first, last = lattice.arcs(words)
+    nodes = int(last[-1]) + 1
+    word = np.repeat(np.arange(len(words)), last - first + 1)[begin]
+    w = model[piece, lang[word]]
+    alpha = forward_logs(w[:, None], begin, end, first, nodes, lattice.steps)[:, 0]
+    beta = np.full(nodes, -np.inf)
+    beta[last] = 0.0
+    for k, at in backward_steps(begin, last[word]):
+        beta[begin[k][at]] = np.logaddexp.reduceat(beta[end[k]] + w[k], at)
+    share = np.exp(alpha[begin] + w + beta[end] - alpha[last][word]) * n[word]
     return np.bincount(piece * model.shape[1] + lang[word], share, model.size).reshape(model.shape)
 
 
