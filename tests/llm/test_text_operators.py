@@ -362,3 +362,15 @@ def test_license_scan(spark, sample):
     for i, t in rows[n + 6 : len(texts)]:
         want = sorted(k for k, v in lines.items() if v in t)
         assert got[i]["licenses"] == ",".join(want), t
+
+
+def test_every_license_is_told_from_the_others(spark):
+    known = licenses.TEMPLATES
+    names = ["Unlicense", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "GPL-2.0-or-later", "GPL-2.0-only", "GPL-3.0-or-later", "CC-BY-NC-4.0 line"]
+    assert set(names) <= set(known)
+    texts = list(known.values()) + ["Some words. " + t + " And more of them." for t in known.values()]
+    texts += [known["MIT"] + " and " + known["BSD-3-Clause"], known["LGPL-2.1-or-later"].replace("This program", "This library"), known["CC-BY-4.0 line"] + " " + known["CC-BY-NC-4.0 line"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.license_summary(licenses.license_matches(df)).collect()}
+    want = [*known, *known, "BSD-3-Clause,MIT", "LGPL-2.1-or-later", "CC-BY-4.0 line,CC-BY-NC-4.0 line"]
+    assert [got[i] for i in range(len(texts))] == want

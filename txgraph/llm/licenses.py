@@ -10,7 +10,10 @@ present could reach the needed coverage (an exact upper bound, computed for all
 
 Defined results: null or empty text has no words and no match; a template shorter than ``SHORT``
 words must be covered whole, others by ``coverage``; overlapping matches of one template keep the
-one covering most, then the first; repeated rows give repeated results; a null id is kept; extra
+one covering most, then the first; of matches of different templates that align the same words, the
+one aligned best in both directions stays (aligned words times their shares of template and span,
+then the first template), another one only if at most half of its words are aligned by it, or if it is
+found again over the words that are left; repeated rows give repeated results; a null id is kept; extra
 columns are ignored; no rows, no result rows.
 """
 
@@ -57,6 +60,62 @@ TEMPLATES = {
                         "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
                "this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+           "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+           "version.",
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+           "License as published by the Free Software Foundation; version 2 of the License.",
+    "LGPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Library General "
+           "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+           "later version.",
+    "LGPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Library General "
+           "Public License as published by the Free Software Foundation; version 2 of the License.",
+    "LGPL-2.1-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+           "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+           "any later version.",
+    "LGPL-2.1-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+           "Public License as published by the Free Software Foundation; version 2.1 of the License.",
+    "LGPL-3.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+           "Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any "
+           "later version.",
+    "LGPL-3.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+           "Public License as published by the Free Software Foundation; version 3 of the License.",
+    "AGPL-3.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General "
+           "Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any "
+           "later version.",
+    "AGPL-3.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General "
+           "Public License as published by the Free Software Foundation; version 3 of the License.",
+    "GPL-3.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+           "License as published by the Free Software Foundation; version 3 of the License.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+           "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+           "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+           "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+           "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+           "promote products derived from this software without specific prior written permission.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+           "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+           "commercial or non-commercial, and by any means.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to "
+           "this software to the public domain worldwide. This software is distributed without any warranty. You should have "
+           "received a copy of the CC0 Public Domain Dedication along with this software.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+           "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for"
+           " any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+           "restrictions:",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+           "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, "
+           "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+           "Software is furnished to do so, all subject to the following:",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which"
+           " is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC-BY-SA-4.0 line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0 line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0 line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
 
 
@@ -127,6 +186,7 @@ class Templates:
         self.names = list(templates)
         self.words = [lower_words(*_one(t))[0].tolist() for t in templates.values()]
         self.vocabulary = np.unique(np.array([w for t in self.words for w in t], dtype=np.uint64))
+        self.outside = next(x for x in np.arange(len(self.vocabulary) + 1, dtype=np.uint64) if x not in self.vocabulary)
         self.share = np.zeros((len(self.vocabulary), len(self.words)), dtype=np.int64)
         for k, t in enumerate(self.words):
             np.add.at(self.share[:, k], np.searchsorted(self.vocabulary, np.array(t, np.uint64)), 1)
@@ -139,8 +199,8 @@ class Templates:
         np.add.at(have, pair // len(self.vocabulary), self.share[pair % len(self.vocabulary)])
         return have >= np.array(self.need)
 
-    def find(self, h: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(aligned words, first word, end word) of the matches of template k, not overlapping."""
+    def find(self, h: np.ndarray, k: int) -> list[tuple[int, int, int, tuple[int, ...]]]:
+        """(aligned words, first word, end word, places of the aligned words) of the matches of template k, not overlapping."""
         t, n = self.words[k], len(self.words[k])
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         mine = (self.vocabulary[at] == h) & (self.share[at, k] > 0)
@@ -153,13 +213,40 @@ class Templates:
                 continue
             pairs = patience_align(h[a:b].tolist(), t)
             if len(pairs) >= self.need[k]:
-                found.append((len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1))
-        out: list[tuple[int, int, int]] = []
+                p, q = a + pairs[0][0], a + pairs[-1][0] + 1
+                best = [a + i for i, _ in pairs]
+                # words of a neighbouring copy may be aligned: the ends of a wide span are aligned alone
+                for x, y in ((q - n, q), (q - n - n // 4, q), (p, p + n), (p, p + n + n // 4)) if q - p > n else ():
+                    near = [x + i for i, _ in patience_align(h[x:y].tolist(), t)] if p <= x and y <= q else []
+                    if len(near) >= len(best) and near[-1] - near[0] < best[-1] - best[0]:
+                        best = near
+                found.append((len(best), best[0], best[-1] + 1, tuple(best)))
+        out: list[tuple[int, int, int, tuple[int, ...]]] = []
         for m in sorted(set(found), key=lambda m: (-m[0], m[1], m[2])):
             if all(m[2] <= o[1] or m[1] >= o[2] for o in out):
                 out.append(m)
         return sorted(out, key=lambda m: m[1])
 
+    def best(self, h: np.ndarray, ks: list[int]) -> list[tuple[int, int, int, int]]:
+        """(template, aligned words, first word, end word) of the matches that stay of all the templates'."""
+        taken: set[int] = set()
+        out = []
+        while ks:
+            found = [(k, *m) for k in ks for m in self.find(h, k)]
+            found.sort(key=lambda m: (-m[1] * m[1] / len(self.words[m[0]]) * m[1] / (m[3] - m[2]), m[0], m[2]))
+            ks, before = [], len(taken)
+            for k, n, a, b, places in found:
+                if 2 * sum(p in taken for p in places) <= n:
+                    taken.update(places)
+                    out.append((k, n, a, b))
+                elif k not in ks:
+                    ks.append(k)  # again, over the words that are left
+            if len(taken) == before:
+                break
+            h = h.copy()
+            h[list(taken)] = self.outside
+        return sorted(out, key=lambda m: (m[2], m[0]))
+
 
 def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -188,8 +275,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
             at = np.minimum(np.searchsorted(known.vocabulary, h), len(known.vocabulary) - 1)
             hit = known.vocabulary[at] == h
             matches: list[list] = [[] for _ in range(n)]
-            for d, k in np.argwhere(known.could(doc[hit], at[hit], n)).tolist():
-                for got, a, b in known.find(h[bounds[d] : bounds[d + 1]], k):
+            could = known.could(doc[hit], at[hit], n)
+            for d in np.flatnonzero(could.any(axis=1)).tolist():
+                for k, got, a, b in known.best(h[bounds[d] : bounds[d + 1]], np.flatnonzero(could[d]).tolist()):
                     matches[d].append({"license": known.names[k], "covered": got, "coverage": got / len(known.words[k]), "start": a, "words": b - a})
             return [rows.column(0), np.diff(bounds), pa.array(matches, inner)]
 
