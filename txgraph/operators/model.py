@@ -1,8 +1,7 @@
 """Node classification re-aimed as Spark jobs (M1 M2 M3).
 
-M1: propagated neighbour features (k hops of ``aggregate_neighbors``) as columns,
-then MLlib logistic regression with a positive-class weight column
-(the linear-propagation simplification of graph convolutions).
+M1: MLlib logistic regression on given feature columns with a positive-class weight
+column; no k-hop table of propagated neighbour features is built.
 M2: score a feature table with a caller-supplied pandas function through
 ``mapInPandas`` (Arrow batches).
 """
