@@ -211,6 +211,13 @@ def test_forward_sums_all_segmentations():
     assert np.isclose((one[:, 1] * lengths).sum(), 2 * len("▁hello")) and one[:, 0].sum() == 0
 
 
+def test_similarity_under_the_buckets_reach_is_refused(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    for f in (near_duplicates.near_duplicates, near_duplicates.drop_near_duplicates):
+        with pytest.raises(ValueError, match="similarity 50"):
+            f(df, similarity=50)
+
+
 def test_word_scores_stay_finite_after_a_large_training_total():
     import public_tokenizers
 

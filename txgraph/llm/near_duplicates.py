@@ -324,6 +324,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, distance: int = DISTANCE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over
     links of at least ``similarity`` percent), kept (doc_id = component_id)."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"similarity {similarity}: signature distance and buckets find links from {SIMILARITY} percent on only")
     src = ids_and_texts(docs, id_col, text_col)
     src = src.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = written(sketches(src, words), "near-sketches")
