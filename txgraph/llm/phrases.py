@@ -45,26 +45,32 @@ DEEPER = 4            # each further one lies so many times deeper
 DROP = (80, 100)      # dropped inside a longer candidate with 80/100 of the occurrences
 SCALE = 2_000_000
 FILTER_BITS = 1 << 26
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _WINDOW = 1 << 20     # words counted at once
 _BLOCK = 1 << 20      # bytes hashed at once
+_OUT_ROWS = 1 << 16   # rows handed to Spark at once
 _BREAK = K.byte_class([(ord(c), ord(c)) for c in ".,;:!?"] + [(0x0A, 0x0D)])
 _WORD = ~(_BREAK | K.byte_class([(0x20, 0x20), (0x09, 0x09)]))
 _INVERSE = np.uint64(pow(int(K._BASE), -1, 1 << 64))
 
 
-def _falling(n: int) -> np.ndarray:
+_falling: dict[int, np.ndarray] = {}
+
+
+def _inverse_powers(n: int) -> np.ndarray:
     """Inverse powers of the hash base."""
-    out = np.full(n, _INVERSE, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    if n not in _falling:
+        out = np.full(n, _INVERSE, np.uint64)
+        out[:1] = 1
+        _falling[n] = np.multiply.accumulate(out)
+    return _falling[n]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word, from one running sum over each block of bytes."""
     n, at = len(starts), 0
     out = np.zeros(n, np.uint64)
-    rising, falling = K._power_table(2 * _BLOCK + 1), _falling(2 * _BLOCK + 1)
+    rising, falling = K._power_table(_BLOCK + 1), _inverse_powers(_BLOCK + 1)
     long_ones = np.flatnonzero(ends - starts > _BLOCK)
     while at < n:
         end = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, side="right")))
@@ -167,13 +173,14 @@ def _counted(docs: DataFrame, wanted: Callable[[Slice, list[np.ndarray]], list[t
                     order, new = K.dense_order(keys)
                     first = np.flatnonzero(new)
                     n, rep = np.diff(np.append(first, len(at))), at[order[first]]
-                    h = pa.array(keys[order[first]].view(np.int64))
-                    if texts:
-                        lang = pa.DictionaryArray.from_arrays(pa.array(s.lang[rep].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
-                        cols = [lang, s.texts(rep, k), pa.array(np.full(len(rep), k, np.int32)), h, pa.array(n)]
-                    else:
-                        cols = [pa.nulls(len(rep), pa.string()), h, pa.array(n)]
-                    if len(rep):
+                    h = keys[order[first]].view(np.int64)
+                    for a in range(0, len(rep), _OUT_ROWS):
+                        some = slice(a, a + _OUT_ROWS)
+                        if texts:
+                            lang = pa.DictionaryArray.from_arrays(pa.array(s.lang[rep[some]].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+                            cols = [lang, s.texts(rep[some], k), pa.array(np.full(len(rep[some]), k, np.int32)), pa.array(h[some]), pa.array(n[some])]
+                        else:
+                            cols = [pa.nulls(len(rep[some]), pa.string()), pa.array(h[some]), pa.array(n[some])]
                         yield pa.RecordBatch.from_arrays(cols, schema=schema)
                 if not texts:
                     n = np.bincount(s.lang[: s.own], minlength=len(names))
