@@ -142,3 +142,60 @@ def test_tabular_roles_and_preprocess(spark, minimal):
     assert [r["test_category"] for r in pre.df.orderBy("test_id").collect()] == [0, 1, 2, 3, 4]
     sub = TabularTable.create(minimal, ["test_id"], (0.5, 0.25, 0.25), required_columns=["test_id"])
     assert len(sub.df.columns) == 3
+
+
+def _bytes(g):
+    import glob
+    import os
+
+    return sum(os.path.getsize(f) for t in g.tables for p, _ in t.parts for f in glob.glob(p.removeprefix("file:") + "/*.parquet"))
+
+
+def test_increments_write_only_their_rows(spark):
+    """Three increments of 20 rows on a state of 20,000: the state's folders stay, what is written follows the increment;
+    merging folders changes no answer."""
+    df = spark.range(20_060).selectExpr("id AS test_id", "concat('c', id % 5000 + id DIV 20020) AS test_customer", "concat('p', id % 300) AS test_counterparty",
+                                        "id % 13 AS test_amount", "CAST(id % 2 AS DOUBLE) AS label", "id AS row_index")
+    d = ColumnGraphDefinition({"test_id": ["test_amount"], "test_customer": ["test_amount"], "test_counterparty": []}, "test_id", "label", EDGES2)
+    g = first = DynamicGraph.build(df.where("row_index < 20000"), d)
+    for i in range(3):
+        before = g
+        g = g.update(df.where(f"row_index >= {20000 + 20 * i} AND row_index < {20020 + 20 * i}"))
+        assert all(t.parts[: len(b.parts)] == b.parts for t, b in zip(g.tables, before.tables))
+        assert sum(t.last_rows for t in g.tables) <= 20 * len(g.tables)
+    assert _bytes(g) - _bytes(first) < _bytes(first) / 5
+    whole = DynamicGraph.build(df, d)
+    small = g.compact()
+    assert all(len(t.parts) == 1 for t in small.tables) and all(len(t.compact(3).parts) == 2 for t in g.tables)  # the large first folder stays
+    for a in (g, small):
+        assert a.num_nodes == whole.num_nodes
+        for t in whole.keys:
+            key = d.column_of_type[t]
+            assert sorted(a.keys[t].select(key).collect()) == sorted(whole.keys[t].select(key).collect())
+            assert a.keys[t].select("node_id").distinct().count() == whole.num_nodes[t]
+        assert all(sorted(a.edges[e].collect()) == sorted(g.edges[e].collect()) and a.edges[e].count() == 20_060 for e in whole.edges)
+        assert a.labels.count() == 20_060 and sorted(a.features["customer"].collect()) == sorted(g.features["customer"].collect())
+    newest = df.where("row_index >= 20000 AND test_customer = 'c1'").orderBy("row_index").first()
+    got = g.features["customer"].join(g.keys["customer"], "node_id").where("test_customer = 'c1'").first()
+    assert got["test_amount"] == newest["test_amount"]
+
+
+def test_fused_fitting_runs_one_job_for_any_number_of_features(spark):
+    from txgraph.definitions import Feature, primary
+    from txgraph.operators.features import encode_node_features
+
+    cols = {f"n{i}": F.col("id") * (i + 1) for i in range(6)} | {f"c{i}": F.concat(F.lit("v"), F.col("id") % (i + 2)) for i in range(6)}
+    df = spark.range(60).withColumns(cols).withColumns({"split_full": F.lit(0), "label": F.lit(1), "timestamp": F.col("id")}).cache()
+    df.count()
+
+    def jobs(k):
+        feats = [Feature(f"n{i}", "numeric", 0.0, ("log", "standardize")) for i in range(k)] + [Feature(f"c{i}", "categorical", "N/A", ("onehot",)) for i in range(k)]
+        tracker, group = spark.sparkContext.statusTracker(), f"fit-{k}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = encode_node_features(df, primary(["id"], feats), "id")
+        n = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("", "")
+        return n, out.feature_cols
+
+    (one, _), (six, names) = jobs(1), jobs(6)
+    assert one == six and names[:2] == ["n0_log_standardize", "n1_log_standardize"] and names[6:8] == ["c0_v1", "c1_v1"]

@@ -95,4 +95,5 @@ def test_no_sampled_neighbour_is_later_than_its_seed(spark):
              "C": spark.createDataFrame([(1, 10), (2, 50), (3, 150)], "node_id long, time_attr long")}
     edges = {("C", "MADE", "T"): made, ("C", "CITY", "C"): city}
     got = sample_neighbors(edges, {"T": times["T"].select("node_id")}, [5, 5], time_attr=times, strategy="last").collect()
-    assert {(r["src"], r["seed_time"]) for r in got if r["hop"] == 2} == {(2, 100), (2, 200), (3, 200)}
+    assert {(r["src"], r["seed_time"]) for r in got if r["hop"] == 2 and r["relation"] == "CITY"} == {(2, 100), (2, 200), (3, 200)}
+    assert {(r["src"], r["seed_time"]) for r in got if r["hop"] == 2 and r["relation"] == "MADE"} == {(1, 100), (1, 200)}  # the seeds stay

@@ -7,6 +7,5 @@ from txgraph.functions.exprs import (  # noqa: F401
     from_epoch,
     round6,
     signed_log,
-    text_length,
     to_columns,
 )

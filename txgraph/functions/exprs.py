@@ -57,12 +57,6 @@ def epoch_seconds(c: ColumnLike) -> Column:
     ).cast("bigint")
 
 
-def text_length(c: ColumnLike) -> Column:
-    """Length in characters."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.length(c)
-
-
 def round6(c: ColumnLike) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), 6)

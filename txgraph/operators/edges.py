@@ -4,10 +4,9 @@ Monopartite edges (primaries sharing an auxiliary value) are quadratic per
 value. They are built from the pre-aggregated (aux, primary, rows) table, so the
 self-join sees one row per distinct primary instead of one per transaction; the
 pair multiplicity of the row-level join becomes a ``weight`` (rows_a * rows_b,
-summed over shared values). Hot auxiliary values are salted: the left side is
-split into ``s`` buckets by primary hash and the right side replicated ``s``
-times, with ``s`` chosen per value from its degree, so no single task owns the
-whole square of a hot value.
+summed over shared values). The square of a hot value is a grid: its primaries are cut
+into ``s`` blocks (``s`` from its degree), and each pair of blocks is a join key of its own, so
+both sides are copied ``s`` times and no task owns more than one cell.
 """
 
 from __future__ import annotations
@@ -54,7 +53,7 @@ def monopartite_weighted(
     df: DataFrame,
     primary_id: str,
     aux_id: str,
-    salt_target: int = 256,
+    block_rows: int = 4096,
     one_value_per_primary: Optional[bool] = None,
 ) -> DataFrame:
     """(src, dst, weight): ordered pairs of distinct primaries sharing an aux value.
@@ -68,15 +67,12 @@ def monopartite_weighted(
     if one_value_per_primary is None:
         one_value_per_primary = single_valued(counts)
     degree = counts.groupBy("aux").agg(F.count(F.lit(1)).alias("deg"))
-    salts = degree.select(
-        "aux",
-        F.greatest(F.lit(1), F.ceil(F.col("deg") / F.lit(salt_target))).cast("bigint").alias("s"))
-    with_s = counts.join(salts, "aux")
-    left = with_s.select(F.col("aux"), F.col("p").alias("src"), F.col("c").alias("ca"),
-                         F.pmod(F.xxhash64("p"), F.col("s")).alias("salt"))
-    right = with_s.select(F.col("aux"), F.col("p").alias("dst"), F.col("c").alias("cb"),
-                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1)).alias("salt"))
-    pairs = (left.join(right, ["aux", "salt"])
+    blocks = degree.select("aux", F.greatest(F.lit(1), F.ceil(F.col("deg") / F.lit(block_rows))).cast("bigint").alias("s"))
+    cut = counts.join(blocks, "aux").withColumn("own", F.pmod(F.xxhash64("p"), F.col("s")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1))
+    left = cut.select("aux", F.col("p").alias("src"), F.col("c").alias("ca"), F.col("own").alias("row"), every.alias("col"))
+    right = cut.select("aux", F.col("p").alias("dst"), F.col("c").alias("cb"), F.col("own").alias("col"), every.alias("row"))
+    pairs = (left.join(right, ["aux", "row", "col"])
              .filter(F.col("src") != F.col("dst"))
              .select("src", "dst", (F.col("ca") * F.col("cb")).cast("bigint").alias("weight")))
     if one_value_per_primary:
@@ -129,10 +125,12 @@ def monopartite_counts(df: DataFrame, primary_id: str, aux_id: str,
                        one_value_per_primary: Optional[bool] = None) -> DataFrame:
     """Exact (n_edges, n_bag) of a monopartite edge type without materialising pairs
     when every primary has at most one auxiliary value (the common case: a
-    transaction has one city). Otherwise the weighted pairs are built and counted.
+    transaction has one city). Otherwise pairs that share several values are counted once: only
+    primaries with several values can be in such a pair, so only their pairs are built.
 
     n_bag  = sum over values g of (rows_g^2 - sum_p rows_pg^2)
-    n_edges = sum over g of (d_g^2 - d_g), d_g = distinct primaries with value g
+    n_edges = sum over g of (d_g^2 - d_g), d_g = distinct primaries with value g, less
+              (m - 1) for each pair that shares m > 1 values
     Both are decimal(38,0): a value shared by 10^10 rows has more pairs than a bigint holds.
     """
     counts = _pair_counts(df, primary_id, aux_id)
@@ -143,6 +141,8 @@ def monopartite_counts(df: DataFrame, primary_id: str, aux_id: str,
         F.coalesce(F.sum(F.col("d") * F.col("d") - F.col("d")), F.lit(0)).cast(_SUM).alias("n_edges"),
         F.coalesce(F.sum(F.col("s") * F.col("s") - F.col("s2")), F.lit(0)).cast(_SUM).alias("n_bag"))
     if many:
-        n = monopartite_weighted(df, primary_id, aux_id).count()
-        sums = sums.withColumn("n_edges", F.lit(n).cast(_SUM))
+        several = counts.join(counts.groupBy("p").count().filter("count > 1").select("p"), "p", "left_semi")
+        shared = monopartite_weighted(several.select("p", "aux"), "p", "aux", one_value_per_primary=True)  # a row per shared value
+        again = shared.groupBy("src", "dst").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast(_SUM).alias("again"))
+        sums = sums.crossJoin(F.broadcast(again)).select((F.col("n_edges") - F.col("again")).cast(_SUM).alias("n_edges"), "n_bag")  # one row each
     return sums

@@ -8,16 +8,16 @@ and inlined as literals, so the row-level plan stays one codegen stage.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from typing import Optional, Sequence
+from dataclasses import dataclass, replace
+from typing import Optional, Sequence, Union
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from txgraph.definitions import Feature, NodeDef
 from txgraph.functions import fill_null_nan, signed_log
-from txgraph.operators.ids import attach_ids, dense_ids, running_totals
+from txgraph.operators.ids import StackedKeys, attach_ids, dense_ids, running_totals
 
 # Fixed values shared with the original pipeline.
 RARE_VALUE = "RARE_VALUE"
@@ -36,11 +36,13 @@ def _clean(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
-def train_mean_std(df: DataFrame, expr: Column, split_col: str, fit_split: int = 0) -> tuple:
-    """Mean and sample std over training rows, nulls/NaN removed."""
-    x = F.when(F.col(split_col) == fit_split, _clean(expr))
-    row = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
-    return row["m"], row["s"]
+def train_mean_std(df: DataFrame, exprs: Sequence[Column], split_col: str, fit_split: int = 0) -> list[tuple]:
+    """Mean and sample std of each expression over training rows, nulls/NaN removed (A10 F14): one aggregate."""
+    xs = [F.when(F.col(split_col) == fit_split, _clean(e)) for e in exprs]
+    if not xs:
+        return []
+    row = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)], *[F.stddev_samp(x).alias(f"s{i}") for i, x in enumerate(xs)]).first()
+    return [(row[f"m{i}"], row[f"s{i}"]) for i in range(len(xs))]
 
 
 def standardize(expr: Column, mean: Optional[float], std: Optional[float]) -> Column:
@@ -48,18 +50,24 @@ def standardize(expr: Column, mean: Optional[float], std: Optional[float]) -> Co
     return (expr - _lit_double(mean)) / (_lit_double(std) + F.lit(STD_EPSILON))
 
 
-def numeric_feature(df: DataFrame, f: Feature, split_col: str, fit_split: int = 0) -> Column:
-    """Steps in list order, then fill null/NaN and cast to double."""
-    expr = F.col(f.source).cast("double")
-    for step in f.steps or ():
-        if step == "log":
-            expr = signed_log(expr)
-        elif step == "standardize":
-            m, s = train_mean_std(df, expr, split_col, fit_split)
-            expr = standardize(expr, m, s)
-        else:  # pragma: no cover - checked in Feature
-            raise ValueError(step)
-    return fill_null_nan(expr, float(f.fill_value)).alias(f.output_name)
+def numeric_features(df: DataFrame, features: Sequence[Feature], split_col: str, fit_split: int = 0) -> dict:
+    """output name -> column: steps in list order, then fill null/NaN and cast to double (X1 X2 X3 X4). The statistics
+    of all features that wait for one are fitted together, so there are as many aggregates as the longest
+    chain of standardise steps (one, as a rule), however many features."""
+    exprs = {f.output_name: F.col(f.source).cast("double") for f in features}
+    todo = {f.output_name: list(f.steps or ()) for f in features}
+    while any(todo.values()):
+        for name, steps in todo.items():
+            while steps and steps[0] != "standardize":
+                step = steps.pop(0)
+                if step != "log":  # pragma: no cover - checked in Feature
+                    raise ValueError(step)
+                exprs[name] = signed_log(exprs[name])
+        waiting = [name for name, steps in todo.items() if steps]
+        for name, (m, s) in zip(waiting, train_mean_std(df, [exprs[n] for n in waiting], split_col, fit_split)):
+            exprs[name] = standardize(exprs[name], m, s)
+            todo[name].pop(0)
+    return {f.output_name: fill_null_nan(exprs[f.output_name], float(f.fill_value)).alias(f.output_name) for f in features}
 
 
 def filled_category(f: Feature) -> Column:
@@ -75,53 +83,75 @@ def ranked_category(df: DataFrame, f: Feature) -> Column:
     return filled_category(f)
 
 
-def category_counts(df: DataFrame, cat: Column) -> DataFrame:
-    """Category frequencies over all rows of the node type."""
-    return df.groupBy(cat.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def top_categories(df: DataFrame, cat: Column, k: int) -> tuple[list[str], bool]:
-    """The k most frequent categories, ties by value (O2), and whether any are left out.
-
-    TakeOrdered keeps k rows per task: only k + 1 names ever reach the driver.
-    """
-    rows = category_counts(df, cat).orderBy(F.desc("n"), F.asc("value")).limit(k + 1).collect()
-    return [r["value"] for r in rows[:k]], len(rows) > k
+def head_categories(df: DataFrame, cats: dict, k: int) -> dict:
+    """name -> (its k most frequent categories, ties by value (O2); whether any are left out), for all
+    columns of ``cats`` together: one count of (column, category), of which each task hands on at most k + 1 rows a
+    column (A12). At most k + 1 names a column reach the driver."""
+    if not cats:
+        return {}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in cats.items()])).alias("x")
+    counts = df.select(each).groupBy("x.name", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("name").orderBy(F.desc("n"), F.asc("value"))
+    rows = counts.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).collect()
+    found: dict = {n: [] for n in cats}
+    for r in sorted(rows, key=lambda r: r["i"]):
+        found[r["name"]].append(r["value"])
+    return {n: (v[:k], len(v) > k) for n, v in found.items()}
+
+
+def onehot_by_source(df: DataFrame, features: Sequence[Feature], k: int = DEFAULT_MAX_ONEHOT) -> dict:
+    """source column -> its (name, column) list: rare collapse + one-hot with the smallest surviving
+    category dropped (X6 X7), the heads of all features from one count."""
+    cats = {f.source: filled_category(f) for f in features}
+    out: dict = {}
+    for source, (top, has_rare) in head_categories(df, cats, k).items():
+        cat = cats[source]
+        collapsed = F.when(cat.isin(top), cat).otherwise(F.lit(RARE_VALUE)) if has_rare else cat
+        values = sorted(set(top) | ({RARE_VALUE} if has_rare else set()))
+        out[source] = [(f"{source}_{v}", (collapsed == F.lit(v)).cast("double")) for v in values[1:]]
+    return out
 
 
 def onehot_columns(df: DataFrame, f: Feature, k: int = DEFAULT_MAX_ONEHOT) -> list[tuple[str, Column]]:
-    """Rare collapse + one-hot with the smallest surviving category dropped."""
-    cat = filled_category(f)
-    top, has_rare = top_categories(df, cat, k)
-    collapsed = F.when(cat.isin(top), cat).otherwise(F.lit(RARE_VALUE)) if has_rare else cat
-    values = sorted(set(top) | ({RARE_VALUE} if has_rare else set()))
-    return [(f"{f.source}_{v}", (collapsed == F.lit(v)).cast("double")) for v in values[1:]]
+    """``onehot_by_source`` of one feature."""
+    return onehot_by_source(df, [f], k)[f.source]
+
+
+def label_encodings(df: DataFrame, features: Sequence[Feature]) -> tuple[DataFrame, list[str]]:
+    """1-based dense rank of each feature's category (X8 W7); with the step ``label_norm`` divided by the
+    number of categories (X9 W8). The categories of all features are ranked in one pass."""
+    cats = {f.output_name: ranked_category(df, f) for f in features}
+    with_cats = df.withColumns({f"_cat_{n}": c for n, c in cats.items()})
+    stacked = StackedKeys(with_cats, {n: [f"_cat_{n}"] for n in cats})
+    ranks, how_many = stacked.number(stacked.rows.distinct())
+    out = with_cats
+    for f in features:
+        n = f.output_name
+        table = ranks[n].toDF(f"_cat_{n}", "_rank")
+        value = (F.col("_rank") + 1).cast("double")
+        if "label_norm" in (f.steps or ()):
+            value = value / F.lit(float(max(how_many[n], 1)))
+        out = attach_ids(out, table, [f"_cat_{n}"], "_rank", null_safe=False).withColumn(n, value).drop("_rank", f"_cat_{n}")
+    return out, list(cats)
 
 
 def label_encoding(df: DataFrame, f: Feature, id_col: str, normalise: bool) -> tuple[DataFrame, str]:
-    """1-based dense rank of the category (X8 W7); divided by the max rank."""
-    cat_col = f"_cat_{f.source}"
-    with_cat = df.withColumn(cat_col, ranked_category(df, f))
-    ranks = dense_ids(with_cat.select(cat_col), [cat_col], "_rank", offset=1)
-    out = attach_ids(with_cat, ranks, [cat_col], "_rank", null_safe=False)
-    name = f.output_name
-    value = F.col("_rank").cast("double")
-    if normalise:
-        n_cats = with_cat.select(cat_col).distinct().count()
-        value = value / F.lit(float(max(n_cats, 1)))
-    return out.withColumn(name, value).drop("_rank", cat_col), name
+    """``label_encodings`` of one feature, normalised or not."""
+    out, names = label_encodings(df, [replace(f, steps=("label_norm" if normalise else "label",))])
+    return out, names[0]
 
 
 def target_encoding(df: DataFrame, f: Feature, label_col: str, split_col: str,
-                    order_cols: Sequence[str], fit_split: int = 0) -> tuple[DataFrame, str]:
+                    order_cols: Sequence[str], fit_split: int = 0, train_mean: Optional[tuple] = None) -> tuple[DataFrame, str]:
     """Mean training label of strictly earlier rows of the same category.
 
-    Falls back to the training label mean, then 0.05. Later labels never leak.
+    Falls back to the training label mean (``train_mean``: a one-tuple with it, if known), then 0.05. Later
+    labels never leak.
     """
     cat_col = f"_cat_{f.source}"
     y = _clean(F.col(label_col))
     is_fit = F.col(split_col) == fit_split
-    train_mean = df.agg(F.avg(F.when(is_fit, y))).first()[0]
+    train_mean = df.agg(F.avg(F.when(is_fit, y))).first()[0] if train_mean is None else train_mean[0]
     with_cat = df.withColumn(cat_col, filled_category(f))
     run = running_totals(
         with_cat, [cat_col], list(order_cols),
@@ -152,34 +182,29 @@ def encode_node_features(
     max_onehot: int = DEFAULT_MAX_ONEHOT,
     fit_split: int = 0,
 ) -> EncodedRows:
-    """Per-feature dispatch (X14): rows of one node type -> row-level feature columns."""
+    """Per-feature dispatch (X14): rows of one node type -> row-level feature columns, in the order of the
+    features. What is fitted is fitted for all features of a kind together: one aggregate for means and deviations, one for
+    category heads, one ranking for labels, one mean label; only target encodings run on their own."""
     df = rows
-    plain: dict = {}
-    names: list[str] = []
+    kinds: dict = {"numeric": [], "onehot": [], "label": [], "target": [], None: []}
     for f in node.features:
-        if f.kind == "numeric":
-            plain[f.output_name] = numeric_feature(df, f, split_col, fit_split)
-            names.append(f.output_name)
-        elif f.kind == "categorical":
-            step = (f.steps or (None,))[0]
-            if step is None:
-                plain[f.output_name] = filled_category(f)
-                names.append(f.output_name)
-            elif step == "onehot":
-                for name, col in onehot_columns(df, f, max_onehot):
-                    plain[name] = col
-                    names.append(name)
-            elif step in ("label", "label_norm"):
-                df, name = label_encoding(df, f, id_col, normalise=(step == "label_norm"))
-                names.append(name)
-            elif step == "target":
-                df, name = target_encoding(df, f, label_col, split_col, order_cols, fit_split)
-                names.append(name)
-        else:  # pragma: no cover - rejected by Feature
+        if f.kind not in ("numeric", "categorical"):  # pragma: no cover - rejected by Feature
             raise ValueError(f.kind)
-    if plain:
-        df = df.withColumns(plain)
-    return EncodedRows(df, names)
+        step = (f.steps or (None,))[0]
+        kinds["numeric" if f.kind == "numeric" else "label" if step in ("label", "label_norm") else step].append(f)
+    plain = numeric_features(df, kinds["numeric"], split_col, fit_split) | {f.output_name: filled_category(f) for f in kinds[None]}
+    hot = onehot_by_source(df, kinds["onehot"], max_onehot)
+    if kinds["label"]:
+        df, _ = label_encodings(df, kinds["label"])
+    if kinds["target"]:
+        mean = (df.agg(F.avg(F.when(F.col(split_col) == fit_split, _clean(F.col(label_col))))).first()[0],)
+        for f in kinds["target"]:
+            df, _ = target_encoding(df, f, label_col, split_col, order_cols, fit_split, mean)
+    names: list[str] = []
+    for f in node.features:
+        names += [n for n, _ in hot[f.source]] if f in kinds["onehot"] else [f.output_name]
+    plain |= {n: c for cols in hot.values() for n, c in cols}
+    return EncodedRows(df.withColumns(plain) if plain else df, names)
 
 
 # ---------------------------------------------------------------------------

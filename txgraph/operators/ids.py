@@ -1,6 +1,7 @@
 """Order-based operators that must not funnel through one partition.
 
 * ``dense_ids``      (W3 W4 W5 A15): 0-based dense rank of distinct key tuples.
+* ``row_index``      (P6): 0-based row position in a total order, one exchange of rows.
 * ``running_totals`` (P6 W6 E6): running sums per group in a global order.
 * ``top_k_per_group`` (G10 G11 O2): exact top-k per group, skew-safe.
 * ``attach_ids`` / ``known_and_new`` (J2 J3 J4 F13).
@@ -14,25 +15,77 @@ the partition count, not by the data).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
-from typing import Iterable, Optional, Sequence, Union
+from typing import Iterable, Iterator, Optional, Sequence, Union
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txgraph.session import shuffle_partitions
+from txgraph.session import scratch_path, shuffle_partitions
 
+GROUP_LIMIT = 1000  # Spark's own threshold for limits inside a window's groups
 _PID = "_txg_pid"
 _MID = "_txg_mid"
+_SALT = "_txg_salt"
+NULL_SALTS = 16  # join keys that rows with a null key are dealt over
+
+
+_pinned: ContextVar[Optional[list]] = ContextVar("pinned", default=None)
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Caches made by operators inside the block are dropped at its end: for callers that write their
+    results before it ends."""
+    token = _pinned.set([])
+    try:
+        yield
+    finally:
+        for df in _pinned.get():
+            df.unpersist()
+        _pinned.reset(token)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Cache an intermediate that is read several times (see ``releasing``)."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _pinned.get() is not None:
+        _pinned.get().append(df)
+    return df
 
 
 def _asc(cols: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in cols]
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+def _in_place(df: DataFrame, order: Sequence[Column], n: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Range partitions of ``df`` sorted in place, the number of rows before each partition, and the
+    position inside it: one exchange, no window."""
+    ranged = (
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .withColumn(_PID, F.spark_partition_id())
+        .withColumn(_MID, F.monotonically_increasing_id())
+    )
+    # Both passes (partition sizes, then numbering) must see the same range
+    # partitioning: pin it. A lost block is recomputed from the same shuffle
+    # output (the range bounds live in the shuffle dependency), so ids stay stable.
+    ranged = pin(ranged)
+    sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(_PID, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return ranged, offsets, F.col("_off") + F.col(_MID) - F.col(_PID).cast("bigint") * F.lit(1 << 33)
+
+
+def row_index(df: DataFrame, order_cols: Sequence[str], col: str = "row_index", num_partitions: Optional[int] = None) -> DataFrame:
+    """0-based position of each row in a total order (P6): range partitions numbered in place and shifted
+    by the sizes of those before them. The rows are shuffled once."""
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    ranged, offsets, at = _in_place(df, _asc(list(order_cols)), n)
+    return ranged.join(F.broadcast(offsets), _PID).select(*df.columns, at.cast("bigint").alias(col))
 
 
 def dense_ids(
@@ -52,25 +105,47 @@ def dense_ids(
     distinct = keys.select(*key_cols)
     if not assume_distinct:
         distinct = distinct.dropDuplicates()
-    ranged = (
-        distinct.repartitionByRange(n, *_asc(key_cols))
-        .sortWithinPartitions(*_asc(key_cols))
-        .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
-    )
-    # Both passes (partition sizes, then numbering) must see the same range
-    # partitioning: pin it. A lost block is recomputed from the same shuffle
-    # output (the range bounds live in the shuffle dependency), so ids stay stable.
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_PID, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranged, offsets, at = _in_place(distinct, _asc(key_cols), n)
     off = offset if isinstance(offset, Column) else F.lit(int(offset))
-    local = F.col(_MID) - F.col(_PID).cast("bigint") * F.lit(1 << 33)
-    return (
-        ranged.join(F.broadcast(offsets), _PID)
-        .select(*key_cols, (off + F.col("_off") + local).cast("bigint").alias(id_col))
-    )
+    return ranged.join(F.broadcast(offsets), _PID).select(*key_cols, (off + at).cast("bigint").alias(id_col))
+
+
+class StackedKeys:
+    """Keys of several kinds (node types, category columns) in one table, numbered in one pass.
+
+    ``keys`` names the key columns of each kind. A row holds its kind and its key in columns of their
+    own type, one for each (position, type), so keys sort as what they are; the other columns are null. The number of
+    jobs does not grow with the kinds.
+    """
+
+    def __init__(self, df: DataFrame, keys: dict, extra: Sequence[Column] = ()):
+        self.spark = df.sparkSession
+        typed = {k: [(i, df.select(c).schema[0].dataType.simpleString()) for i, c in enumerate(cols)] for k, cols in keys.items()}
+        self.slots = {s: f"_k{n}" for n, s in enumerate(sorted({s for t in typed.values() for s in t}))}
+        self.columns = {k: [self.slots[s] for s in t] for k, t in typed.items()}
+
+        def entry(kind: str) -> Column:
+            of = dict(zip(typed[kind], keys[kind]))
+            own = [(c if isinstance(c, Column) else F.col(c)) if (c := of.get(s)) is not None else F.lit(None) for s in self.slots]
+            return F.struct(F.lit(kind).alias("kind"), *[c.cast(s[1]).alias(n) for c, (s, n) in zip(own, self.slots.items())])
+
+        self.rows = df.select(F.explode(F.array(*[entry(k) for k in keys])).alias("_key"), *extra).select("_key.*", *[F.col(f"_extra{i}") for i in range(len(extra))])
+        self.names = ["kind", *self.slots.values()]
+
+    def number(self, distinct: DataFrame, num_partitions: Optional[int] = None) -> tuple[dict, dict]:
+        """(kind -> DataFrame(key columns, id), kind -> how many): 0-based dense rank of the distinct keys within
+        their kind. The numbered keys are written once, a folder per kind."""
+        n = num_partitions or shuffle_partitions(self.spark)
+        ranged, offsets, at = _in_place(distinct.select(*self.names), _asc(self.names), n)
+        placed = pin(ranged.join(F.broadcast(offsets), _PID).select(*self.names, at.cast("bigint").alias("_at")))
+        sizes = {r["kind"]: (r["first"], r["n"]) for r in placed.groupBy("kind").agg(F.min("_at").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
+        first = F.coalesce(*[F.when(F.col("kind") == k, F.lit(f)) for k, (f, _) in sizes.items()], F.lit(0).cast("bigint"))
+        path = scratch_path(self.spark, "stacked-ids")
+        ids = placed.select(*self.names, (F.col("_at") - first).cast("bigint").alias("id"))
+        ids.write.partitionBy("kind").parquet(path)
+        read = self.spark.read.schema(ids.schema).parquet(path)
+        return ({k: read.where(F.col("kind") == k).select(*cols, "id") for k, cols in self.columns.items()},
+                {k: sizes.get(k, (0, 0))[1] for k in self.columns})
 
 
 def attach_ids(rows: DataFrame, key_table: DataFrame, key_cols: Sequence[str], id_col: str,
@@ -78,12 +153,18 @@ def attach_ids(rows: DataFrame, key_table: DataFrame, key_cols: Sequence[str], i
     """Left lookup of ids by key (J2 J3); unknown keys get a null id."""
     key_cols = list(key_cols)
     kt = key_table.select(*[F.col(c).alias(f"_k_{c}") for c in key_cols], F.col(id_col))
-    if null_safe:
-        cond = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(kt[f"_k_{c}"]) for c in key_cols])
-    else:
+    if not null_safe:
         cond = reduce(lambda a, b: a & b, [rows[c] == kt[f"_k_{c}"] for c in key_cols])
-    out = rows.join(kt, cond, "left")
-    return out.drop(*[f"_k_{c}" for c in key_cols])
+        return rows.join(kt, cond, "left").drop(*[f"_k_{c}" for c in key_cols])
+    # rows with a null in their key are dealt over NULL_SALTS join keys instead of one
+    def has_null(names):
+        return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])
+
+    left = rows.withColumn(_SALT, F.when(has_null(key_cols), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(has_null([f"_k_{c}" for c in key_cols]), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    kt = kt.withColumn(f"_k{_SALT}", F.explode(salts))
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(kt[f"_k_{c}"]) for c in key_cols], left[_SALT] == kt[f"_k{_SALT}"])
+    return left.join(kt, cond, "left").drop(*[f"_k_{c}" for c in key_cols], _SALT, f"_k{_SALT}")
 
 
 def known_and_new(rows: DataFrame, key_table: DataFrame, key_cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -117,9 +198,7 @@ def running_totals(
     n = num_partitions or shuffle_partitions(df.sparkSession)
     names = list(values)
     base = df.select("*", *[values[k].alias(f"_v_{k}") for k in names])
-    ranged = (base.repartitionByRange(n, *_asc(group_cols), *order)
-              .withColumn(_PID, F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    ranged = pin(base.repartitionByRange(n, *_asc(group_cols), *order).withColumn(_PID, F.spark_partition_id()))
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
     w_in = Window.partitionBy(_PID, *group_cols).orderBy(*order).rowsBetween(*frame)
     inner = ranged.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(w_in), F.lit(0)).alias(f"_in_{k}")
@@ -153,11 +232,16 @@ def top_k_per_group(
 ) -> DataFrame:
     """Exact top-k rows per group by a total order, without one task per hot group.
 
-    Stage 1 keeps the top k inside (group, salt) buckets, salt = hash of the row
-    identity, so a hot group is spread over ``num_salts`` tasks; stage 2 picks the
-    top k among at most k * num_salts survivors per group.
+    Up to ``GROUP_LIMIT`` rows Spark keeps a group's first k in each task before the shuffle (its window
+    group limit), so a hot group sends k rows a task. Beyond, stage 1 keeps the top k inside (group, salt)
+    buckets, salt = hash of the row identity, and stage 2 picks the top k among at most k * num_salts rows.
     """
     group_cols = list(group_cols)
+    if k <= GROUP_LIMIT and num_salts is None:
+        rank = rank_col or "_r"
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        out = df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+        return out if rank_col else out.drop(rank)
     s = num_salts or shuffle_partitions(df.sparkSession)
     salt_src = [F.col(c) for c in (salt_cols or df.columns)]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_src), F.lit(s)))

@@ -41,14 +41,10 @@ def node_table(
     return out.select(*cols)
 
 
-def num_nodes(key_table: DataFrame, id_col: str = "node_id") -> int:
-    """Highest id + 1; 0 for an empty node type (A4)."""
-    v = key_table.agg(F.max(id_col)).first()[0]
-    return 0 if v is None else int(v) + 1
-
-
 def first_row_features(rows: DataFrame, id_col: str, feature_cols: Sequence[str], order_col: str) -> DataFrame:
-    """Features of the first row per node in row order."""
+    """Features of the first row per node in row order (A8); the nodes alone without features."""
+    if not feature_cols:
+        return rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("node_id")).distinct()
     agg = F.min_by(F.struct(*[F.col(c) for c in feature_cols]), F.col(order_col)).alias("_first")
     return (rows.filter(F.col(id_col).isNotNull())
             .groupBy(F.col(id_col).alias("node_id")).agg(agg)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.functions import all_true, to_columns
-from txgraph.operators.ids import running_totals
+from txgraph.operators.ids import row_index
 
 TRAIN, VALIDATION, TEST, NONE = 0, 1, 2, 3
 MASK_VALUES = ("train", "val", "test")
@@ -144,10 +144,17 @@ def add_split_codes(df: DataFrame, s: DateSplit, datetime_col: str,
     return df.withColumns({hpo_col: split_code_hpo(datetime_col, s), full_col: split_code_full(datetime_col, s)})
 
 
-def split_summary(df: DataFrame, split_col: str, label_col: str, datetime_col: str) -> DataFrame:
-    """Per split code: rows, positives, first and last datetime (P10)."""
-    return df.groupBy(split_col).agg(
-        F.count(F.lit(1)).alias("n_rows"),
+def epoch_window_filter(df: DataFrame, split: DateSplit, epoch_col: str) -> DataFrame:
+    """``date_window_filter`` on a column of epoch seconds: the same rows through integer bounds, which reach
+    the Parquet reader where a comparison of the derived datetime cannot (F1 P3)."""
+    seconds = lambda d: (d - date(1970, 1, 1)).days * 86400
+    return df.filter(F.col(epoch_col).between(F.lit(seconds(split.from_date)), F.lit(seconds(split.to_test))))
+
+
+def split_summary(df: DataFrame, split_cols: Sequence[str], label_col: str, datetime_col: str) -> DataFrame:
+    """Per split code (or codes): rows, positives, first and last datetime (P10)."""
+    return df.groupBy(*split_cols).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_rows"),
         F.sum(F.coalesce(F.col(label_col), F.lit(0))).cast("bigint").alias("n_pos"),
         F.min(datetime_col).alias("first_ts"),
         F.max(datetime_col).alias("last_ts"),
@@ -156,8 +163,7 @@ def split_summary(df: DataFrame, split_col: str, label_col: str, datetime_col: s
 
 def with_row_index(df: DataFrame, order_cols: Sequence[str], col: str = "row_index") -> DataFrame:
     """0-based row index in a declared total order (P6), without a global window."""
-    out = running_totals(df, [], list(order_cols), {col: F.lit(1).cast("bigint")}, inclusive=False)
-    return out.withColumn(col, F.col(col).cast("bigint"))
+    return row_index(df, order_cols, col)
 
 
 def check_ratios(ratios: Sequence[float]) -> None:

@@ -68,11 +68,3 @@ def node_key_table(df: DataFrame, node: NodeDef, id_col: str = "node_id",
 def assign_node_ids(df: DataFrame, node: NodeDef, id_col: str, cust_col: Optional[str] = None) -> DataFrame:
     """Rows keep coming through; invalid keys get a null id for this type only."""
     return attach_ids(df, node_key_table(df, node, id_col, cust_col), list(node.keys), id_col)
-
-
-def row_validity(df: DataFrame, node: NodeDef, cust_col: Optional[str] = None, col: str = "valid_node") -> DataFrame:
-    """Row-level validity flag (the rules joined back to rows), for reporting."""
-    keys = list(node.keys)
-    vk = valid_keys(df, node, cust_col).withColumn(col, F.lit(True))
-    out = attach_ids(df, vk, keys, col)
-    return out.withColumn(col, F.coalesce(F.col(col), F.lit(False)))

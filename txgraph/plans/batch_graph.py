@@ -1,14 +1,15 @@
 """Batch heterogeneous graph build.
 
-scan -> date window + user filters -> split codes -> [materialise] -> per node
-type: validity + dense ids (looked up by key) -> [materialise] -> node tables
-(one groupBy each) and edge lists. Everything stays a lazy DataFrame; the driver
-only sees scalar statistics, partition offsets and at most k+1 category names.
+scan -> date window + user filters -> split codes -> [materialise] -> validity + dense ids
+of all node types in one pass over stacked keys (looked up by key) -> [materialise] -> node tables
+(one groupBy each) and edge lists. Only the columns of the asked node types are read. Everything stays a lazy
+DataFrame; the driver only sees scalar statistics, partition offsets and at most k+1 category names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Iterable, Optional, Sequence
 
 from pyspark import StorageLevel
@@ -16,15 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.definitions import BiEdge, GraphDefinition, MonoEdge
-from txgraph.functions import from_epoch, to_columns
+from txgraph.functions import all_true, from_epoch, to_columns
 from txgraph.operators.edges import (bipartite_edges, expand_bag, merge_distinct, merge_weighted, monopartite_counts,
                                      monopartite_weighted, reverse_edges, single_valued_map)
 from txgraph.operators.features import DEFAULT_MAX_ONEHOT, encode_node_features
-from txgraph.operators.ids import attach_ids
+from txgraph.operators.ids import StackedKeys, attach_ids, pin, releasing
 from txgraph.operators.nodes import node_table
 from txgraph.operators.splits import (DateSplit, add_split_codes, apply_filters, date_window_filter,
-                                      tag_inference)
-from txgraph.operators.validity import node_key_table
+                                      epoch_window_filter, tag_inference)
+from txgraph.operators.validity import key_rules
 from txgraph.session import scratch_path
 
 DATETIME = "DATETIME"
@@ -58,6 +59,13 @@ def materialise(df: DataFrame, how: str = "persist") -> DataFrame:
     raise ValueError(how)
 
 
+def base_columns(definition: GraphDefinition, types: Optional[Sequence[str]] = None, tie_cols: Sequence[str] = (),
+                 cust_col: Optional[str] = None) -> list[str]:
+    """Input columns that the node types (default: all) of a definition need, besides time and label."""
+    needed = {c for t in (types or definition.nodes) for c in definition.nodes[t].required_columns}
+    return sorted((needed | set(tie_cols) | ({cust_col} if cust_col else set())) - {"ONES"})
+
+
 def prepare_base(
     df: DataFrame,
     definition: GraphDefinition,
@@ -70,19 +78,21 @@ def prepare_base(
     filters: Optional[Iterable] = None,
     inference_filters: Optional[Iterable] = None,
     cust_col: Optional[str] = None,
+    types: Optional[Sequence[str]] = None,
 ) -> DataFrame:
-    """Rows in the date window with split codes, label, ONES and only the needed columns."""
+    """Rows in the date window with split codes, label, ONES and only the columns that the node types
+    (default: all) need. Without a datetime column the window is put on the raw epoch seconds."""
     if datetime_col is None:
         datetime_col = DATETIME
-        df = df.withColumn(DATETIME, from_epoch(timestamp_col))
-    df = apply_filters(date_window_filter(df, split, datetime_col), filters)
+        df = epoch_window_filter(df, split, timestamp_col).withColumn(DATETIME, from_epoch(timestamp_col))
+    else:
+        df = date_window_filter(df, split, datetime_col)
+    df = apply_filters(df, filters)
     label_c = to_columns([label])[0] if isinstance(label, str) else label
     df = add_split_codes(df, split, datetime_col)
     df = df.withColumns({"ONES": F.lit(1), "_label": label_c.cast("int")})
     df = tag_inference(df, inference_filters)
-    needed = set(definition.required_columns) | set(tie_cols) | ({cust_col} if cust_col else set())
-    needed -= {"ONES"}
-    keep = sorted(needed) + [timestamp_col, datetime_col, "_label", "split_hpo", "split_full", "ONES", "is_inference"]
+    keep = base_columns(definition, types, tie_cols, cust_col) + [timestamp_col, datetime_col, "_label", "split_hpo", "split_full", "ONES", "is_inference"]
     seen, cols = set(), []
     for c in keep:
         if c not in seen:
@@ -112,12 +122,13 @@ def build_graph(
     base = prepare_base(df, definition, split, label=label, timestamp_col=timestamp_col,
                         datetime_col=datetime_col, tie_cols=tie_cols, filters=filters,
                         inference_filters=inference_filters, cust_col=cust_col)
-    base = materialise(base, materialise_as)
     g = HeteroGraph(definition=definition, split=split)
-    g.key_tables = key_tables(base, definition, cust_col)
-    # rows with all node ids: written once to the shared folder, so every node table,
-    # edge list and count below starts from a flat scan instead of the id-assignment lineage
-    base = materialise(attach_all_ids(base, definition, g.key_tables), materialise_ids_as)
+    with releasing():
+        base = pin(base) if materialise_as == "persist" else materialise(base, materialise_as)
+        g.key_tables = key_tables(base, definition, cust_col)
+        # rows with all node ids: written once to the shared folder, so every node table,
+        # edge list and count below starts from a flat scan instead of the id-assignment lineage
+        base = materialise(attach_all_ids(base, definition, g.key_tables), materialise_ids_as)
     g.base = base
     order_cols = [timestamp_col, *tie_cols]
     for ntype in definition.primary_types:
@@ -138,10 +149,22 @@ def build_graph(
 
 def key_tables(base: DataFrame, definition: GraphDefinition, cust_col: Optional[str] = None,
                types: Optional[Sequence[str]] = None) -> dict:
-    """ntype -> (keys..., node_id), every one derived from the same pinned base so the
-    plan grows linearly with the number of node types."""
-    return {t: node_key_table(base, definition.nodes[t], "node_id", cust_col)
-            for t in (types or list(definition.nodes))}
+    """ntype -> (keys..., node_id). The keys of all types are counted, checked by their rules and numbered
+    in one pass; the id tables are written to the shared folder."""
+    types = list(types or definition.nodes)
+    nodes = {t: definition.nodes[t] for t in types}
+    by_customer = [t for t in types if nodes[t].validity.needs_unique_customers]
+    if by_customer and cust_col is None:
+        raise ValueError("unique-customer rules need the customer column")
+    stacked = StackedKeys(base, {t: list(nodes[t].keys) for t in types}, [F.col(cust_col).alias("_extra0")] if by_customer else [])
+    aggs = [F.count(F.lit(1)).alias("_n_tx")]
+    if by_customer:
+        asks = F.col("kind").isin(by_customer)
+        aggs.append((F.countDistinct(F.when(asks, F.col("_extra0"))) + F.max(F.when(asks & F.col("_extra0").isNull(), 1).otherwise(0))).alias("_n_cust"))
+    stats = stacked.rows.groupBy(*stacked.names).agg(*aggs)
+    rules = [(F.col("kind") == t) & all_true(key_rules(stacked.columns[t], nodes[t].validity)) for t in types]
+    ids, _ = stacked.number(stats.where(reduce(lambda a, b: a | b, rules)))
+    return {t: ids[t].toDF(*nodes[t].keys, "node_id") for t in types}
 
 
 def attach_all_ids(base: DataFrame, definition: GraphDefinition, tables: dict) -> DataFrame:

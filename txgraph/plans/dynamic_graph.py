@@ -1,9 +1,9 @@
 """Row-wise graph with positional splits and increments.
 
-State is a set of DataFrames keyed by node id (never by arrival order):
-``keys[ntype]`` (key, node_id), ``features[ntype]`` (node_id, feats...),
-``edges[triple]`` (src, dst, row_index), ``labels`` (node_id, label).
-``update`` is a pure function (state, increment) -> state.
+State is a set of append-only tables keyed by node id (never by arrival order): ``keys[ntype]``
+(key, node_id), ``features[ntype]`` (node_id, feats...), ``edges[triple]`` (src, dst, row_index), ``labels``
+(node_id, label). ``update`` is a pure function (state, increment) -> state that writes the increment's
+rows and shares all older folders; state keys are scanned for the increment's keys, not shuffled or rewritten.
 """
 
 from __future__ import annotations
@@ -11,15 +11,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Optional, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.definitions import ColumnGraphDefinition, DefinitionError
+from txgraph.operators.deltas import DeltaTable
 from txgraph.operators.features import fit_ordinal, fit_scaler, imbalance_ratio
-from txgraph.operators.ids import attach_ids, dense_ids, known_and_new
+from txgraph.operators.ids import attach_ids, dense_ids, releasing
 from txgraph.operators.nodes import first_row_features
 from txgraph.operators.splits import positional_split, split_view
+from txgraph.session import scratch_path
+
+MAX_PARTS = 16  # folders of a table before ``update`` merges the small ones
 
 
 @dataclass
@@ -55,66 +58,90 @@ class TabularTable:
         return replace(self, df=encoder.transform(scaler.transform(self.df)))
 
 
-@dataclass
+@dataclass(frozen=True)
 class DynamicGraph:
     definition: ColumnGraphDefinition
-    keys: dict = field(default_factory=dict)
-    features: dict = field(default_factory=dict)
-    edges: dict = field(default_factory=dict)
-    labels: Optional[DataFrame] = None
+    key_table: dict = field(default_factory=dict)      # ntype -> DeltaTable(key, node_id)
+    feature_table: dict = field(default_factory=dict)  # ntype -> DeltaTable(node_id, feats...), newest row of a node
+    edge_table: dict = field(default_factory=dict)     # triple -> DeltaTable(src, dst, row_index)
+    label_table: Optional[DeltaTable] = None           # DeltaTable(node_id, label), first label of a node
     num_nodes: dict = field(default_factory=dict)
+    version: int = 0
+
+    @property
+    def keys(self) -> dict:
+        return {t: d.read() for t, d in self.key_table.items()}
+
+    @property
+    def features(self) -> dict:
+        return {t: d.read() for t, d in self.feature_table.items()}
+
+    @property
+    def edges(self) -> dict:
+        return {et: d.read() for et, d in self.edge_table.items()}
+
+    @property
+    def labels(self) -> Optional[DataFrame]:
+        return None if self.label_table is None else self.label_table.read()
 
     # -- build (G7) -------------------------------------------------------
     @classmethod
     def build(cls, rows: DataFrame, definition: ColumnGraphDefinition, order_col: str = "row_index") -> "DynamicGraph":
-        g = cls(definition)
-        for ntype, col in definition.column_of_type.items():
-            kt = dense_ids(rows.select(col).filter(F.col(col).isNotNull()), [col], "node_id")
-            g.keys[ntype] = kt.persist(StorageLevel.MEMORY_AND_DISK)
-            g.num_nodes[ntype] = g.keys[ntype].count()
-        with_ids = g._attach(rows)
-        g.edges = {et: _edges(with_ids, definition, et, order_col) for et in definition.edges}
-        g.features = {definition.node_type(c): first_row_features(with_ids, f"{c}__id", feats, order_col)
-                      for c, feats in definition.node_features.items()}
-        if definition.label_col is not None:
-            g.labels = _labels(with_ids, definition, order_col)
-        return g
-
-    def _attach(self, rows: DataFrame, keys: Optional[dict] = None) -> DataFrame:
-        keys = keys or self.keys
-        out = rows
-        for ntype, col in self.definition.column_of_type.items():
-            kt = keys[ntype].withColumnRenamed("node_id", f"{col}__id")
-            out = attach_ids(out, kt, [col], f"{col}__id", null_safe=False)
-        return out
+        with releasing():
+            keys = {t: DeltaTable.create(dense_ids(rows.select(col).filter(F.col(col).isNotNull()), [col], "node_id"), f"keys-{t}")
+                    for t, col in definition.column_of_type.items()}
+            g = cls(definition, keys, num_nodes={t: k.rows for t, k in keys.items()})
+            parts = g._parts(rows, g.keys, order_col)
+        return cls(definition, keys, {t: DeltaTable.create(df, f"features-{t}", ["node_id"]) for t, df in parts["features"].items()},
+                   {et: DeltaTable.create(df, "edges-" + et[1]) for et, df in parts["edges"].items()},
+                   None if parts["labels"] is None else DeltaTable.create(parts["labels"], "labels", ["node_id"], "oldest"), g.num_nodes)
+
+    def _parts(self, rows: DataFrame, keys: dict, order_col: str) -> dict:
+        """What the rows add to each table. The rows with their ids are written once and read by all of them."""
+        d = self.definition
+        for t, col in d.column_of_type.items():
+            rows = attach_ids(rows, keys[t].withColumnRenamed("node_id", f"{col}__id"), [col], f"{col}__id", null_safe=False)
+        read = [f"{c}__id" for c in d.column_of_type.values()] + [c for f in d.node_features.values() for c in f] + [order_col] + ([d.label_col] if d.label_col else [])
+        path = scratch_path(rows.sparkSession, "rows-with-ids")
+        rows = rows.select(*dict.fromkeys(read))
+        rows.write.parquet(path)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+        return {"features": {d.node_type(c): first_row_features(rows, f"{c}__id", feats, order_col) for c, feats in d.node_features.items()},
+                "edges": {et: _edges(rows, d, et, order_col) for et in d.edges},
+                "labels": _labels(rows, d, order_col) if d.label_col is not None else None}
 
     # -- increments (G8) ----------------------------------------------------
-    def update(self, incr: DataFrame, order_col: str = "row_index") -> "DynamicGraph":
-        d = self.definition
-        keys, num = dict(self.keys), dict(self.num_nodes)
-        for ntype, col in d.column_of_type.items():
-            incoming = incr.select(col).filter(F.col(col).isNotNull()).distinct()
-            _, new = known_and_new(incoming, self.keys[ntype], [col])
-            new_ids = dense_ids(new, [col], "node_id", offset=num[ntype], assume_distinct=True)
-            # the new state refers to the old one twice (union + anti-join): cut the lineage
-            # so the plan stays flat however many increments are folded in
-            keys[ntype] = self.keys[ntype].unionByName(new_ids).checkpoint(eager=True)
-            num[ntype] = keys[ntype].count()
-        with_ids = self._attach(incr, keys)
-        edges = {et: self.edges[et].unionByName(_edges(with_ids, d, et, order_col)).checkpoint(eager=True)
-                 for et in d.edges}
-        features = {}
-        for c, feats in d.node_features.items():
-            t = d.node_type(c)
-            fresh = first_row_features(with_ids, f"{c}__id", feats, order_col)
-            old = self.features[t]
-            # known nodes take the increment's first row; new nodes are appended
-            features[t] = old.join(fresh, "node_id", "left_anti").unionByName(fresh).checkpoint(eager=True)
-        labels = self.labels
-        if d.label_col is not None:
-            fresh = _labels(with_ids, d, order_col)
-            labels = self.labels.unionByName(fresh.join(self.labels, "node_id", "left_anti")).checkpoint(eager=True)
-        return DynamicGraph(d, keys, features, edges, labels, num)
+    def update(self, incr: DataFrame, order_col: str = "row_index", max_parts: int = MAX_PARTS) -> "DynamicGraph":
+        """With one increment folded in: unseen keys get the next ids in key order, known nodes take the increment's
+        first row (J6 U2), edges and labels of new nodes are added. Written are the increment's rows; tables with
+        more than ``max_parts`` folders merge their small ones."""
+        v, num, keys, ids = self.version + 1, dict(self.num_nodes), {}, {}
+        with releasing():
+            for t, col in self.definition.column_of_type.items():
+                table = self.key_table[t]
+                incoming = incr.select(col).filter(F.col(col).isNotNull()).distinct()
+                path = scratch_path(incr.sparkSession, f"known-{t}")
+                table.read().join(incoming, col).select(col, "node_id").write.parquet(path)  # of the state only the increment's keys
+                known = incr.sparkSession.read.schema(table.schema).parquet(path)
+                new = incoming.join(known, col, "left_anti")
+                keys[t] = table.append(dense_ids(new, [col], "node_id", offset=num[t], assume_distinct=True), v)
+                num[t] += keys[t].last_rows
+                ids[t] = known.select(col, "node_id").unionByName(keys[t].raw(keys[t].parts[-1:]).select(col, "node_id"))
+            parts = self._parts(incr, ids, order_col)
+        add = lambda tables, new: {k: d.append(new[k], v) for k, d in tables.items()}
+        labels = None if self.label_table is None else self.label_table.append(parts["labels"], v)
+        return replace(self, key_table=keys, feature_table=add(self.feature_table, parts["features"]), edge_table=add(self.edge_table, parts["edges"]),
+                       label_table=labels, num_nodes=num, version=v).compact(max_parts)
+
+    def compact(self, max_parts: int = 1) -> "DynamicGraph":
+        """The same graph in fewer folders (all tables with more than ``max_parts``)."""
+        small = lambda tables: {k: d.compact(max_parts) for k, d in tables.items()}
+        return replace(self, key_table=small(self.key_table), feature_table=small(self.feature_table), edge_table=small(self.edge_table),
+                       label_table=self.label_table and self.label_table.compact(max_parts))
+
+    @property
+    def tables(self) -> list[DeltaTable]:
+        return [*self.key_table.values(), *self.feature_table.values(), *self.edge_table.values(), *([self.label_table] if self.label_table else [])]
 
     # -- views (G9 G17) -----------------------------------------------------
     def homogeneous(self) -> tuple[DataFrame, DataFrame]:

@@ -101,14 +101,20 @@ def _node_centric() -> str:
 
 
 def _shared_attributes() -> str:
+    """Real pairs where they are few; for attributes with few values (over 10^7 pairs at sf0.01) the pairs of their
+    (value, other value) classes, counted per transaction against all others of the value."""
     attrs = [("CUSTOMER", "cc_num", "MADE_BY_SAME_CUSTOMER")] + [(t, c, f"CUSTOMER_HAS_SAME_{t}") for t, c in _ATTRS]
+    sparse = {"cc_num", "dob", "first_order_date", "first_order_merchant", '"last"'}
     sel = []
     for _, col, rel in attrs:
-        sel.append(
-            f"SELECT 'TRANSACTION' AS src_type, '{rel}' AS relation, 'TRANSACTION' AS dst_type, "
-            "CAST(coalesce(sum(d * d - d), 0) AS BIGINT) AS n_edges, CAST(coalesce(sum(s * s - s2), 0) AS BIGINT) AS n_bag "
-            f"FROM (SELECT aux, count(*) AS d, sum(c) AS s, sum(c * c) AS s2 FROM (SELECT {col} AS aux, trans_num AS p, "
-            f"count(*) AS c FROM b WHERE {col} IS NOT NULL AND trans_num IS NOT NULL GROUP BY 1, 2) GROUP BY aux)")
+        if col in sparse:
+            src = (f"SELECT x.trans_num AS s, y.trans_num AS t, count(*) AS w FROM b x JOIN b y ON x.{col} = y.{col} AND x.trans_num <> y.trans_num GROUP BY 1, 2")
+            sel.append(f"SELECT 'TRANSACTION' AS src_type, '{rel}' AS relation, 'TRANSACTION' AS dst_type, CAST(count(*) AS BIGINT) AS n_edges, "
+                       f"CAST(coalesce(sum(w), 0) AS BIGINT) AS n_bag FROM ({src})")
+        else:
+            sel.append(f"SELECT 'TRANSACTION' AS src_type, '{rel}' AS relation, 'TRANSACTION' AS dst_type, CAST(coalesce(sum(others), 0) AS BIGINT) AS n_edges, "
+                       f"CAST(coalesce(sum(others), 0) AS BIGINT) AS n_bag FROM (SELECT count(*) OVER (PARTITION BY {col}) - 1 AS others FROM b "
+                       f"WHERE {col} IS NOT NULL AND trans_num IS NOT NULL)")
     return "WITH " + TX + ", " + B + " " + " UNION ALL ".join(sel)
 
 
@@ -145,35 +151,39 @@ _SAMPLING = (
 )
 
 
-def _md5(hop: int) -> str:
-    return f"md5(concat_ws(':', '{hop}', CAST(src AS VARCHAR), CAST(dst AS VARCHAR)))"
+def _draw(name: str, edges: str, frontier: str, hop: int, k: int, strategy: str = "", src_time: str = "") -> str:
+    """Up to k in-neighbours of every frontier row over all pairs: the smallest md5(hop:src), or the most recent ones."""
+    order = "nb DESC, src" if strategy == "last" else f"md5('{hop}:' || CAST(src AS VARCHAR)), src"
+    if not strategy:
+        return (f"{name} AS (SELECT src, dst FROM (SELECT e.src, e.dst, row_number() OVER (PARTITION BY e.dst ORDER BY {order}) AS rn "
+                f"FROM {edges} e JOIN {frontier} f ON e.dst = f.node_id) WHERE rn <= {k})")
+    return (f"{name} AS (SELECT src, dst, seed_time FROM (SELECT e.src, e.dst, f.seed_time, row_number() OVER (PARTITION BY e.dst, f.seed_time "
+            f"ORDER BY {order.replace('nb', 't.ta').replace('src', 'e.src')}) AS rn FROM {edges} e JOIN {frontier} f ON e.dst = f.node_id "
+            f"JOIN {src_time} t ON e.src = t.node_id WHERE f.seed_time IS NULL OR t.ta <= f.seed_time) WHERE rn <= {k})")
+
+
+# fan-outs [10, 15]: the first hop from the seeds draws 15, the next 10; the nodes of a hop stay in the next frontier
+_RELATIONS = (", made_by AS (SELECT dst AS src, src AS dst FROM made), "
+              "tc AS (SELECT DISTINCT xid AS aux, tid AS p FROM r WHERE xid IS NOT NULL AND tid IS NOT NULL), "
+              "in_city AS (SELECT x.p AS src, y.p AS dst FROM tc x JOIN tc y ON x.aux = y.aux AND x.p <> y.p)")
 
 
 def _sample_uniform() -> str:
-    return (_SAMPLING + ", "
-            "h1 AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY "
-            + _md5(1) + ", src) AS rn FROM made JOIN s0 ON made.dst = s0.node_id) WHERE rn <= 10), "
-            "f1 AS (SELECT DISTINCT src AS node_id FROM h1), "
-            "h2 AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY "
-            + _md5(2) + ", src) AS rn FROM city JOIN f1 ON city.dst = f1.node_id) WHERE rn <= 15) "
-            "SELECT DISTINCT 1 AS hop, 'MADE' AS relation, src, dst FROM h1 "
-            "UNION ALL SELECT DISTINCT 2 AS hop, 'HAS_SAME_CITY' AS relation, src, dst FROM h2")
+    parts = [("MADE", "a1", 1), ("IN_SAME_CITY", "b1", 1), ("MADE", "a2", 2), ("IN_SAME_CITY", "b2", 2), ("MADE_BY", "c2", 2), ("HAS_SAME_CITY", "d2", 2)]
+    return (_SAMPLING + _RELATIONS + ", " + ", ".join([
+        _draw("a1", "made", "s0", 1, 15), _draw("b1", "in_city", "s0", 1, 15),
+        "t1 AS (SELECT node_id FROM s0 UNION SELECT src FROM b1)", "c1 AS (SELECT DISTINCT src AS node_id FROM a1)",
+        _draw("a2", "made", "t1", 2, 10), _draw("b2", "in_city", "t1", 2, 10), _draw("c2", "made_by", "c1", 2, 10), _draw("d2", "city", "c1", 2, 10)])
+        + " " + " UNION ALL ".join(f"SELECT {hop} AS hop, '{rel}' AS relation, src, dst FROM {cte}" for rel, cte, hop in parts))
 
 
 def _sample_temporal(strategy: str) -> str:
-    o1 = "nb DESC, src" if strategy == "last" else _md5(1) + ", src"
-    o2 = "nb DESC, src" if strategy == "last" else _md5(2) + ", src"
-    return (_SAMPLING + ", "
-            "seeds AS (SELECT s0.node_id, tt.ta AS seed_time FROM s0 LEFT JOIN tt USING (node_id)), "
-            "c1 AS (SELECT made.src, made.dst, seeds.seed_time, ct.ta AS nb FROM made JOIN seeds ON made.dst = seeds.node_id "
-            "JOIN ct ON made.src = ct.node_id WHERE seeds.seed_time IS NULL OR ct.ta <= seeds.seed_time), "
-            f"h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst, seed_time ORDER BY {o1}) AS rn FROM c1) WHERE rn <= 10), "
-            "f1 AS (SELECT DISTINCT src AS node_id, seed_time FROM h1), "
-            "c2 AS (SELECT city.src, city.dst, f1.seed_time, ct.ta AS nb FROM city JOIN f1 ON city.dst = f1.node_id "
-            "JOIN ct ON city.src = ct.node_id WHERE f1.seed_time IS NULL OR ct.ta <= f1.seed_time), "
-            f"h2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst, seed_time ORDER BY {o2}) AS rn FROM c2) WHERE rn <= 15) "
-            "SELECT DISTINCT 1 AS hop, 'MADE' AS relation, src, dst, seed_time FROM h1 "
-            "UNION ALL SELECT DISTINCT 2 AS hop, 'HAS_SAME_CITY' AS relation, src, dst, seed_time FROM h2")
+    parts = [("MADE", "a1", 1), ("MADE", "a2", 2), ("MADE_BY", "c2", 2), ("HAS_SAME_CITY", "d2", 2)]
+    return (_SAMPLING + ", made_by AS (SELECT dst AS src, src AS dst FROM made), " + ", ".join([
+        "seeds AS (SELECT s0.node_id, tt.ta AS seed_time FROM s0 LEFT JOIN tt USING (node_id))",
+        _draw("a1", "made", "seeds", 1, 15, strategy, "ct"), "c1 AS (SELECT DISTINCT src AS node_id, seed_time FROM a1)",
+        _draw("a2", "made", "seeds", 2, 10, strategy, "ct"), _draw("c2", "made_by", "c1", 2, 10, strategy, "tt"), _draw("d2", "city", "c1", 2, 10, strategy, "ct")])
+        + " " + " UNION ALL ".join(f"SELECT {hop} AS hop, '{rel}' AS relation, src, dst, seed_time FROM {cte}" for rel, cte, hop in parts))
 
 
 _NEIGHBOR_AGG = (
@@ -190,6 +200,51 @@ _NEIGHBOR_AGG = (
     "AS city_pop_log FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY node_id"
 )
 
+def _mean_over(name: str, edges: str, x: str, cols: str) -> str:
+    return (f"{name} AS (SELECT e.dst AS node_id, " + ", ".join(f"sum(coalesce(x.{c}, 0.0)) / count(*) AS {c}" for c in cols.split())
+            + f" FROM {edges} e JOIN {x} x ON e.src = x.node_id GROUP BY e.dst)")
+
+
+# two hops of means over the explicit pairs of every relation
+_PROPAGATED = (
+    _NEIGHBOR_AGG[: _NEIGHBOR_AGG.index("p1 AS (")] + ", ".join([
+        _mean_over("tu1", "made_by", "tx_x", "amt_log"), _mean_over("cc1", "city", "cu_x", "city_pop_log"), _mean_over("ct1", "made", "cu_x", "city_pop_log"),
+        "c_1 AS (SELECT cu_x.node_id, cu_x.city_pop_log AS own, coalesce(tu1.amt_log, 0.0) AS amt_log, coalesce(cc1.city_pop_log, 0.0) AS city_pop_log "
+        "FROM cu_x LEFT JOIN tu1 USING (node_id) LEFT JOIN cc1 USING (node_id))",
+        "t_1 AS (SELECT tx_x.node_id, tx_x.amt_log AS own, coalesce(ct1.city_pop_log, 0.0) AS city_pop_log FROM tx_x LEFT JOIN ct1 USING (node_id))",
+        _mean_over("tu2", "made_by", "t_1", "city_pop_log"), _mean_over("cc2", "city", "c_1", "amt_log city_pop_log"), _mean_over("ct2", "made", "c_1", "amt_log city_pop_log")])
+    + " SELECT 'CUSTOMER' AS ntype, node_id, round(own, 6) AS own, round(c_1.amt_log, 6) AS amt_log_h1, round(c_1.city_pop_log, 6) AS city_pop_log_h1, "
+    "round(coalesce(cc2.amt_log, 0.0), 6) AS amt_log_h2, round(coalesce(tu2.city_pop_log, 0.0) + coalesce(cc2.city_pop_log, 0.0), 6) AS city_pop_log_h2 "
+    "FROM c_1 LEFT JOIN tu2 USING (node_id) LEFT JOIN cc2 USING (node_id) UNION ALL "
+    "SELECT 'TRANSACTION', node_id, round(own, 6), 0.0, round(t_1.city_pop_log, 6), round(coalesce(ct2.amt_log, 0.0), 6), round(coalesce(ct2.city_pop_log, 0.0), 6) "
+    "FROM t_1 LEFT JOIN ct2 USING (node_id)"
+)
+
+
+def _newton(steps: int) -> str:
+    """Chained CTEs b0..b<steps>: Newton's method for a weighted logistic regression on x1, x2 of table ``z`` (y, w),
+    each with the 3 x 3 system solved by its adjugate."""
+    out = ["b0 AS (SELECT CAST(0 AS DOUBLE) AS p0, CAST(0 AS DOUBLE) AS p1, CAST(0 AS DOUBLE) AS p2)"]
+    for i in range(steps):
+        out.append(
+            f"b{i + 1} AS (SELECT p0 + ((d * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * d) * g2) / det AS p0, "
+            "p1 + ((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2) / det AS p1, "
+            "p2 + ((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / det AS p2 FROM (SELECT *, "
+            "a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM (SELECT any_value(p0) AS p0, any_value(p1) AS p1, any_value(p2) AS p2, "
+            "sum(h) AS a, sum(h * x1) AS b, sum(h * x2) AS c, sum(h * x1 * x1) AS d, sum(h * x1 * x2) AS e, sum(h * x2 * x2) AS f, "
+            "sum(w * (y - q)) AS g0, sum(w * (y - q) * x1) AS g1, sum(w * (y - q) * x2) AS g2 FROM "
+            f"(SELECT *, w * q * (1 - q) AS h FROM (SELECT *, 1 / (1 + exp(-(p0 + p1 * x1 + p2 * x2))) AS q FROM z, b{i})))))")
+    return ", ".join(out)
+
+
+_TRAIN_SCORE = (
+    "WITH " + EV + ", " + E + ", um AS (SELECT user_id, avg(\"value\") AS m FROM e WHERE mask = 'train' GROUP BY user_id), "
+    "r AS (SELECT (SELECT CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS DOUBLE) / sum(CASE WHEN label <> 0 THEN 1 ELSE 0 END) FROM e WHERE mask = 'train') AS ratio), "
+    "x AS (SELECT e.event_id, e.mask, e.label, \"value\" AS x1, coalesce(um.m, 0.0) AS x2 FROM e LEFT JOIN um USING (user_id)), "
+    "z AS (SELECT x1, x2, CAST(label AS DOUBLE) AS y, CASE WHEN label = 1 THEN r.ratio ELSE 1.0 END AS w FROM x, r WHERE mask = 'train'), "
+    + _newton(9) + " SELECT event_id, round(p0 + p1 * x1 + p2 * x2, 6) AS score, label FROM x, b9 WHERE mask = 'test'"
+)
+
 _PRED = (f"p AS (SELECT event_id, (\"value\" - {SCORE_CENTER}) / {SCORE_SCALE} AS score, label FROM e "
          "WHERE mask = 'test'), "
          "w AS (SELECT CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS DOUBLE) / "
@@ -215,6 +270,20 @@ _INC = ("WITH " + EV + ", " + E + ", tr AS (SELECT * FROM e WHERE mask = 'train'
         "va AS (SELECT * FROM e WHERE mask = 'val'), tv AS (SELECT * FROM e WHERE mask IN ('train', 'val')), "
         + _inc_keys("user", "user_id") + ", " + _inc_keys("event", "event_id") + ", " + _inc_keys("property", "props"))
 
+def _inc3_keys(t: str, col: str) -> str:
+    """Ids after a first state and three increments: new keys of an increment go behind all earlier ones."""
+    out = [f"q_{t}_0 AS (SELECT {col} AS k, dense_rank() OVER (ORDER BY {col}) - 1 AS node_id FROM (SELECT DISTINCT {col} FROM tr WHERE {col} IS NOT NULL))"]
+    for i in (1, 2, 3):
+        out.append(f"q_{t}_{i} AS (SELECT * FROM q_{t}_{i - 1} UNION ALL SELECT k, dense_rank() OVER (ORDER BY k) - 1 + (SELECT count(*) FROM q_{t}_{i - 1}) "
+                   f"FROM (SELECT DISTINCT {col} AS k FROM va WHERE part = {i} AND {col} IS NOT NULL AND {col} NOT IN (SELECT k FROM q_{t}_{i - 1})))")
+    return ", ".join(out) + f", k_{t} AS (SELECT * FROM q_{t}_3)"
+
+
+_INC3 = ("WITH " + EV + ", " + E + ", tr AS (SELECT * FROM e WHERE mask = 'train'), "
+         "lim AS (SELECT min(row_index) AS lo, (max(row_index) - min(row_index) + 3) // 3 AS third FROM e WHERE mask = 'val'), "
+         "va AS (SELECT e.*, (row_index - lo) // third + 1 AS part FROM e, lim WHERE mask = 'val'), tv AS (SELECT * FROM e WHERE mask IN ('train', 'val')), "
+         + _inc3_keys("user", "user_id") + ", " + _inc3_keys("event", "event_id") + ", " + _inc3_keys("property", "props"))
+
 _HOMOGENEOUS = (
     "WITH " + EV + ", " + E + ", " + _ids("i_ev", "event_id", "e") + ", " + _ids("i_pr", "props", "e")
     + ", " + _ids("i_us", "user_id", "e")
@@ -405,6 +474,23 @@ SQL = {
         "JOIN k_user ku ON tv.user_id = ku.k JOIN k_event ke ON tv.event_id = ke.k "
         "UNION ALL SELECT 'has', ke.node_id, kp.node_id, tv.row_index FROM tv "
         "JOIN k_event ke ON tv.event_id = ke.k JOIN k_property kp ON tv.props = kp.k"),
+    "increments_features": (
+        _INC3 + ", every AS (SELECT user_id, 0 AS part, \"value\", row_index FROM tr UNION ALL SELECT user_id, part, \"value\", row_index FROM va), "
+        "first_rows AS (SELECT user_id, part, arg_min(\"value\", row_index) AS v FROM every GROUP BY 1, 2) "
+        "SELECT user_id, round(arg_max(v, part), 6) AS \"value\" FROM first_rows WHERE user_id IS NOT NULL GROUP BY user_id"),
+    "propagated_features": _PROPAGATED,
+    "train_score_nodes": _TRAIN_SCORE,
+    "prequential_custom_scorer": (
+        "WITH " + EV + ", " + E + ", lo AS (SELECT min(row_index) AS lo FROM e WHERE mask = 'test'), "
+        "v AS (SELECT e.*, CASE WHEN mask = 'test' THEN CAST(floor((row_index - lo.lo) / " + str(BATCH) + ") AS BIGINT) ELSE -1 END AS vis FROM e, lo), "
+        "u AS (SELECT user_id, vis, arg_min(\"value\", row_index) AS state, sum(\"value\") AS s, count(\"value\") AS c, count(*) AS n FROM v WHERE user_id IS NOT NULL GROUP BY 1, 2), "
+        "uu AS (SELECT user_id, vis, state, sum(s) OVER o / sum(c) OVER o AS m, sum(n) OVER o AS n FROM u WINDOW o AS (PARTITION BY user_id ORDER BY vis)), "
+        "p AS (SELECT props, vis, sum(\"value\") AS s, count(\"value\") AS c, count(*) AS n FROM v WHERE props IS NOT NULL GROUP BY 1, 2), "
+        "pp AS (SELECT props, vis, sum(s) OVER o / sum(c) OVER o AS m, sum(n) OVER o AS n FROM p WINDOW o AS (PARTITION BY props ORDER BY vis)) "
+        f"SELECT v.vis AS batch_id, event_id, round((0.8 * (\"value\" - {SCORE_CENTER}) + 0.5 * (coalesce(uu.state, {SCORE_CENTER}) - {SCORE_CENTER}) "
+        f"+ 0.3 * (coalesce(uu.m, {SCORE_CENTER}) - {SCORE_CENTER}) - 0.2 * (coalesce(pp.m, {SCORE_CENTER}) - {SCORE_CENTER})) / {SCORE_SCALE} "
+        "+ 0.1 * ln(1 + coalesce(uu.n, 0)) - 0.05 * ln(1 + coalesce(pp.n, 0)), 6) AS score, CAST(label AS INTEGER) AS label "
+        "FROM v LEFT JOIN uu ON uu.user_id = v.user_id AND uu.vis = v.vis LEFT JOIN pp ON pp.props = v.props AND pp.vis = v.vis WHERE mask = 'test'"),
     "stream_graph_features": (
         "SELECT 'event' AS ntype, CAST(event_id AS VARCHAR) AS key, round(arg_max(\"value\", (ts, event_id)), 6) AS \"value\", "
         "CAST(count(*) AS BIGINT) AS n_obs FROM events WHERE event_id IS NOT NULL GROUP BY event_id "
@@ -451,3 +537,5 @@ SQL = {
     "csv_round_trip": "SELECT r_regionkey, r_name FROM region",
 }
 SQL["summary_written_back"] = SQL["evaluation_summary"]
+for _name in ("new_ids", "edges"):  # the same question after three increments
+    SQL[f"increments_{_name}"] = SQL[f"increment_{_name}"].replace(_INC, _INC3)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +19,23 @@ from txgraph.functions import from_epoch, round6, signed_log
 from txgraph.operators.edges import bipartite_edges, monopartite_counts, monopartite_weighted, reverse_edges
 from txgraph.operators.features import (encode_node_features, fit_ordinal, fit_scaler, imbalance_ratio, imbalance_table,
                                         label_encoding, onehot_columns, target_encoding)
+from txgraph.operators.ids import pin, releasing
 from txgraph.operators.metrics import evaluation_summary, pr_curve, precision_recall, weighted_log_loss
-from txgraph.operators.model import logistic_scores, score_with, train_logistic
+from txgraph.operators.model import fit_logistic, logit_column, score_with
 from txgraph.operators.nodes import node_table
-from txgraph.operators.sampling import aggregate_neighbors, sample_neighbors
+from txgraph.operators.propagation import EdgeList, clique, pass_messages, propagate
+from txgraph.operators.sampling import sample_neighbors
 from txgraph.operators.splits import (SplitSettings, add_split_codes, apply_filters, batch_count, date_window_filter,
-                                      positional_split, resolve_split, row_batches, split_view, tag_inference)
+                                      positional_split, resolve_split, row_batches, split_summary, split_view, tag_inference)
 from txgraph.operators.validity import node_key_table
-from txgraph.plans.batch_graph import (attach_all_ids, build_edges, build_graph, data_checks, graph_catalogue, id_col, key_tables,
+from txgraph.plans.batch_graph import (attach_all_ids, base_columns, build_edges, build_graph, data_checks, graph_catalogue, id_col, key_tables,
                                       materialise, mono_single_valued, node_summary, prepare_base)
 from txgraph.plans.dynamic_graph import DynamicGraph, TabularTable
-from txgraph.plans.prequential import prequential_scores
+from txgraph.plans.prequential import prequential_score, prequential_scores
 from txgraph.session import scratch_path
 from txgraph.sources.readers import read_csv, write_csv, write_graph, write_summary
 from txgraph.sources.tables import event_view, table, transaction_view
-from txgraph.streaming.native import latest_node_features, run_graph_stream, write_replay_batches
+from txgraph.streaming.native import compact_stream, edges, node_state, read_log, run_graph_stream, write_replay_batches
 
 # Query parameters (shared with the SQL twins).
 TX_SPLIT = SplitSettings(date(1995, 1, 1), date(2001, 8, 1), gap_days=30, eval_days=180)
@@ -45,15 +48,17 @@ BATCH = 250
 SCORE_CENTER, SCORE_SCALE = 50.0, 25.0
 
 
-def _tx_base(spark, sf, definition: GraphDefinition, cust_col=None) -> DataFrame:
-    tx = transaction_view(spark, sf)
-    split = resolve_split(TX_SPLIT)
-    return prepare_base(tx, definition, split, tie_cols=TX_TIE, datetime_col="ts", cust_col=cust_col)
+def _tx_base(spark, sf, definition: GraphDefinition, types, cust_col=None) -> DataFrame:
+    """Base rows with the columns that the node types need; only the tables behind these are read."""
+    needed = base_columns(definition, types, TX_TIE, cust_col)
+    tx = transaction_view(spark, sf, [*needed, "ts", "timestamp", "label"])
+    return prepare_base(tx, definition, resolve_split(TX_SPLIT), tie_cols=TX_TIE, datetime_col="ts", cust_col=cust_col, types=types)
 
 
-def _with_ids(base: DataFrame, definition: GraphDefinition, types) -> DataFrame:
-    base = materialise(base)
-    return materialise(attach_all_ids(base, definition, key_tables(base, definition, types=types)), "checkpoint")
+def _with_ids(spark, sf, definition: GraphDefinition, types) -> DataFrame:
+    with releasing():
+        base = pin(_tx_base(spark, sf, definition, types))
+        return materialise(attach_all_ids(base, definition, key_tables(base, definition, types=types)), "checkpoint")
 
 
 def _events_table(spark, sf) -> DataFrame:
@@ -72,17 +77,14 @@ def q_transaction_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_date_split_counts(spark, sf):
-    tx = transaction_view(spark, sf).withColumn("DATETIME", from_epoch("timestamp"))
     split = resolve_split(TX_SPLIT)
-    df = add_split_codes(date_window_filter(tx, split, "DATETIME"), split, "DATETIME")
-    return df.groupBy("split_hpo", "split_full").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-        F.sum(F.coalesce("label", F.lit(0))).cast("bigint").alias("n_pos"),
-        F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+    tx = date_window_filter(transaction_view(spark, sf, ["ts", "timestamp", "label"]), split, "ts")  # bounds on the stored column
+    df = add_split_codes(tx.withColumn("DATETIME", from_epoch("timestamp")), split, "DATETIME")
+    return split_summary(df, ["split_hpo", "split_full"], "label", "timestamp")
 
 
 def q_filtered_dataset(spark, sf):
-    tx = transaction_view(spark, sf)
+    tx = transaction_view(spark, sf, ["trans_num", "ts", "amt", "category", "label"])
     split = resolve_split(TX_SPLIT)
     df = apply_filters(date_window_filter(tx, split, "ts"), ["amt > 100000", F.col("category") != "5-LOW"])
     df = tag_inference(df, ["label IS NOT NULL"])
@@ -104,13 +106,13 @@ def q_row_batches(spark, sf):
 
 
 def q_node_ids_customer(spark, sf):
-    tx = transaction_view(spark, sf)
+    tx = transaction_view(spark, sf, ["cc_num"])
     nd = primary(["cc_num"], (), Validity(all_not_null=True))
     return node_key_table(tx, nd)
 
 
 def q_node_ids_composite(spark, sf):
-    tx = transaction_view(spark, sf)
+    tx = transaction_view(spark, sf, ["merchant", "category"])
     nd = primary(["merchant", "category"], (), Validity())
     return node_key_table(tx, nd)
 
@@ -122,14 +124,14 @@ def q_validity_max_txs(spark, sf):
 
 
 def q_validity_unique_customers(spark, sf):
-    tx = transaction_view(spark, sf)
+    tx = transaction_view(spark, sf, ["city", "cc_num"])
     nd = primary(["city"], (), Validity(all_not_null=True, min_n_unique_cids=55, max_n_unique_cids=66))
     return node_key_table(tx, nd, cust_col="cc_num")
 
 
 def q_validity_unique_customers_nulls(spark, sf):
     """Unique-value rule over a nullable column: null counts as one value."""
-    tx = transaction_view(spark, sf)
+    tx = transaction_view(spark, sf, ["job", "city", "first_order_merchant"])
     nd = primary(["job"], (), Validity(all_not_null=True, min_n_unique_cids=1, max_n_unique_cids=0))
     keys = node_key_table(tx, nd, cust_col="first_order_merchant")
     nd2 = primary(["city"], (), Validity(all_not_null=True, max_n_unique_cids=40))
@@ -139,7 +141,7 @@ def q_validity_unique_customers_nulls(spark, sf):
 
 
 def q_validity_min_length(spark, sf):
-    tx = transaction_view(spark, sf)
+    tx = transaction_view(spark, sf, ["city", "job"])
     nd = primary(["city", "job"], (), Validity(all_not_null=True, min_length=(6, 8)))
     return node_key_table(tx, nd)
 
@@ -149,7 +151,7 @@ def q_validity_min_length(spark, sf):
 
 def q_customer_nodes(spark, sf):
     d = TX_IDENTITY_EDGE_CENTRIC
-    base = _with_ids(_tx_base(spark, sf, d), d, ["CUSTOMER"])
+    base = _with_ids(spark, sf, d, ["CUSTOMER"])
     rows = base.filter(F.col(id_col("CUSTOMER")).isNotNull())
     enc = encode_node_features(rows, d.nodes["CUSTOMER"], id_col("CUSTOMER"), order_cols=["timestamp", *TX_TIE])
     nt = node_table(enc.df, id_col("CUSTOMER"), enc.feature_cols, ["timestamp", *TX_TIE])
@@ -158,7 +160,7 @@ def q_customer_nodes(spark, sf):
 
 def q_transaction_nodes(spark, sf):
     d = TX_IDENTITY_NODE_CENTRIC
-    base = _with_ids(_tx_base(spark, sf, d), d, ["TRANSACTION"])
+    base = _with_ids(spark, sf, d, ["TRANSACTION"])
     rows = base.filter(F.col(id_col("TRANSACTION")).isNotNull())
     enc = encode_node_features(rows, d.nodes["TRANSACTION"], id_col("TRANSACTION"),
                                order_cols=["timestamp", *TX_TIE])
@@ -168,14 +170,14 @@ def q_transaction_nodes(spark, sf):
 
 
 def q_feat_signed_log(spark, sf):
-    tx = transaction_view(spark, sf)
+    tx = transaction_view(spark, sf, ["trans_num", "amt", "city_pop"])
     return tx.select("trans_num", round6(signed_log("amt")).alias("amt_log"),
                      round6(signed_log("city_pop")).alias("city_pop_log"))
 
 
 def q_feat_standardize(spark, sf):
     d = TX_IDENTITY_EDGE_CENTRIC
-    base = _with_ids(_tx_base(spark, sf, d), d, ["CUSTOMER"])
+    base = _with_ids(spark, sf, d, ["CUSTOMER"])
     rows = base.filter(F.col(id_col("CUSTOMER")).isNotNull())
     enc = encode_node_features(rows, d.nodes["CUSTOMER"], id_col("CUSTOMER"), order_cols=["timestamp", *TX_TIE])
     return enc.df.select("trans_num", round6("city_pop_log_standardize").alias("city_pop_log_standardize"))
@@ -183,7 +185,7 @@ def q_feat_standardize(spark, sf):
 
 def q_feat_onehot_rare(spark, sf):
     d = TX_IDENTITY_NODE_CENTRIC
-    base = _with_ids(_tx_base(spark, sf, d), d, ["TRANSACTION"])
+    base = _with_ids(spark, sf, d, ["TRANSACTION"])
     rows = base.filter(F.col(id_col("TRANSACTION")).isNotNull())
     cols = onehot_columns(rows, Feature("category", "categorical", "N/A", ("onehot",)), k=3)
     hot = F.coalesce(*[F.when(c == 1.0, F.lit(name)) for name, c in cols]) if cols else F.lit(None)
@@ -271,25 +273,25 @@ def q_num_batches(spark, sf):
 
 def q_edges_mono_customer(spark, sf):
     d = TX_NO_FEATURES
-    base = _with_ids(_tx_base(spark, sf, d), d, ["TRANSACTION", "CUSTOMER"])
+    base = _with_ids(spark, sf, d, ["TRANSACTION", "CUSTOMER"])
     return monopartite_weighted(base, id_col("TRANSACTION"), id_col("CUSTOMER"))
 
 
 def q_edges_mono_weighted_nation(spark, sf):
     d = TX_IDENTITY_EDGE_CENTRIC
-    base = _with_ids(_tx_base(spark, sf, d), d, ["CUSTOMER", "CITY"])
+    base = _with_ids(spark, sf, d, ["CUSTOMER", "CITY"])
     return monopartite_weighted(base, id_col("CUSTOMER"), id_col("CITY"))
 
 
 def q_edges_bipartite(spark, sf):
     d = TX_IDENTITY_NODE_CENTRIC
-    base = _with_ids(_tx_base(spark, sf, d), d, ["TRANSACTION", "MERCHANT"])
+    base = _with_ids(spark, sf, d, ["TRANSACTION", "MERCHANT"])
     return bipartite_edges(base, id_col("TRANSACTION"), id_col("MERCHANT"))
 
 
 def q_edges_reverse(spark, sf):
     d = TX_IDENTITY_NODE_CENTRIC
-    base = _with_ids(_tx_base(spark, sf, d), d, ["TRANSACTION", "CUSTOMER"])
+    base = _with_ids(spark, sf, d, ["TRANSACTION", "CUSTOMER"])
     return reverse_edges(bipartite_edges(base, id_col("TRANSACTION"), id_col("CUSTOMER")))
 
 
@@ -339,7 +341,7 @@ _TWO_DEFINITIONS = GraphDefinition(
 def q_edges_two_definitions(spark, sf):
     """Two shared-attribute definitions of one triple: weights add up."""
     d = _TWO_DEFINITIONS
-    base = _with_ids(_tx_base(spark, sf, d), d, list(d.nodes))
+    base = _with_ids(spark, sf, d, list(d.nodes))
     return build_edges(base, d)[("CUSTOMER", "LINKED", "CUSTOMER")]
 
 
@@ -371,7 +373,7 @@ def q_preset_shared_attributes(spark, sf):
     """Edge counts of the transaction-level shared-attribute graph, computed exactly
     from per-value counts (the city / segment squares are never materialised)."""
     d = TX_NO_FEATURES
-    base = _with_ids(_tx_base(spark, sf, d), d, list(d.nodes))
+    base = _with_ids(spark, sf, d, list(d.nodes))
     single = mono_single_valued(base, d)  # one aggregate for all attribute types
     parts = []
     for e in d.edges:
@@ -426,6 +428,36 @@ def q_increment_edges(spark, sf):
     return out
 
 
+def _three_increments(spark, sf):
+    """Train rows as the first state, the validation rows as three increments, folders merged after the second."""
+    t = _events_table(spark, sf)
+    g = DynamicGraph.build(split_view(t, "train"), ev_definition())
+    val = split_view(t, "val")
+    lo, hi = val.agg(F.min("row_index"), F.max("row_index")).first()
+    third = (hi - lo + 3) // 3
+    for i in range(3):
+        g = g.update(val.where(F.col("row_index").between(lo + i * third, lo + (i + 1) * third - 1)), max_parts=2)
+    return g
+
+
+def q_increments_new_ids(spark, sf):
+    g = _three_increments(spark, sf)
+    parts = [g.keys[t].select(F.lit(t).alias("ntype"), F.col(c).cast("string").alias("key"), "node_id")
+             for t, c in g.definition.column_of_type.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q_increments_features(spark, sf):
+    g = _three_increments(spark, sf)
+    return g.features["user"].join(g.keys["user"], "node_id").select(F.col("user_id"), round6("value").alias("value"))
+
+
+def q_increments_edges(spark, sf):
+    g = _three_increments(spark, sf)
+    parts = [e.select(F.lit(r).alias("etype"), "src", "dst", "row_index") for (s, r, d), e in g.edges.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _STREAM_NODES = {"event": "event_id", "user": "user_id", "property": "props"}
 _STREAM_EDGES = {("user", "sends", "event"): ("user_id", "event_id"),
                  ("event", "has", "property"): ("event_id", "props")}
@@ -433,22 +465,26 @@ _STREAM_FEATS = {"event": ["value"], "user": ["value"]}
 
 
 def _stream_out(spark, sf):
-    """Events replayed week by week: one file, so one micro-batch, a week."""
-    ev = table(spark, sf, "events").withColumn("week", F.weekofyear("ts"))
-    source = write_replay_batches(ev, "week", scratch_path(spark, "replay"))
-    return run_graph_stream(spark, source, ev.schema, _STREAM_NODES, _STREAM_EDGES, _STREAM_FEATS, ["ts", "event_id"])
+    """Events replayed in time order, one file, so one micro-batch, a week; the state is compacted half way, and the stream
+    goes on behind the snapshot."""
+    ev = table(spark, sf, "events").withColumn("week", F.floor(F.unix_date(F.to_date("ts")) / 7).cast("int"))
+    lo, hi = ev.agg(F.min("week"), F.max("week")).first()
+    source, out = scratch_path(spark, "replay"), None
+    for part in (ev.where(F.col("week") <= (lo + hi) // 2), ev.where(F.col("week") > (lo + hi) // 2)):
+        if out is not None:
+            compact_stream(spark, out)
+        write_replay_batches(part, "week", source)
+        out = run_graph_stream(spark, source, ev.schema, _STREAM_NODES, _STREAM_EDGES, _STREAM_FEATS, ["ts", "event_id"], out)
+    return out
 
 
 def q_stream_graph_features(spark, sf):
-    out = _stream_out(spark, sf)
-    obs = spark.read.parquet(f"{out}/observations")
-    st = latest_node_features(obs)
+    st = node_state(spark, _stream_out(spark, sf))
     return st.select("ntype", "key", round6("value").alias("value"), F.col("n_obs").cast("bigint").alias("n_obs"))
 
 
 def q_stream_edges(spark, sf):
-    out = _stream_out(spark, sf)
-    e = spark.read.parquet(f"{out}/edges")
+    e = edges(read_log(spark, _stream_out(spark, sf)))
     return e.groupBy("etype").agg(F.count(F.lit(1)).cast("bigint").alias("n_edges"),
                                   F.countDistinct("src", "dst").cast("bigint").alias("n_distinct"))
 
@@ -458,54 +494,73 @@ def q_stream_edges(spark, sf):
 
 def _sampling_inputs(spark, sf):
     d = TX_IDENTITY_EDGE_CENTRIC
-    base = _with_ids(_tx_base(spark, sf, d), d, ["TRANSACTION", "CUSTOMER", "CITY"])
-    made = reverse_edges(bipartite_edges(base, id_col("TRANSACTION"), id_col("CUSTOMER")))
-    same_city = monopartite_weighted(base, id_col("CUSTOMER"), id_col("CITY"))
-    edges = {("CUSTOMER", "MADE", "TRANSACTION"): made,
-             ("CUSTOMER", "HAS_SAME_CITY", "CUSTOMER"): same_city.select("src", "dst")}
-    tx_time = (base.filter(F.col(id_col("TRANSACTION")).isNotNull())
-               .groupBy(F.col(id_col("TRANSACTION")).alias("node_id")).agg(F.max("timestamp").alias("time_attr")))
-    cu_time = (base.filter(F.col(id_col("CUSTOMER")).isNotNull())
-               .groupBy(F.col(id_col("CUSTOMER")).alias("node_id")).agg(F.min("timestamp").alias("time_attr")))
-    seeds = (base.filter((F.col("split_full") == 2) & F.col(id_col("TRANSACTION")).isNotNull())
-             .select(F.col(id_col("TRANSACTION")).alias("node_id")).distinct())
-    return edges, seeds, {"TRANSACTION": tx_time, "CUSTOMER": cu_time}
+    tid, cid, city = id_col("TRANSACTION"), id_col("CUSTOMER"), id_col("CITY")
+    base = _with_ids(spark, sf, d, ["TRANSACTION", "CUSTOMER", "CITY"])
+    made_by = bipartite_edges(base, tid, cid)
+    relations = {("CUSTOMER", "MADE", "TRANSACTION"): reverse_edges(made_by),
+                 ("TRANSACTION", "MADE_BY", "CUSTOMER"): made_by,
+                 ("CUSTOMER", "HAS_SAME_CITY", "CUSTOMER"): clique(base, "CUSTOMER", "HAS_SAME_CITY", cid, city)}
+    times = {"TRANSACTION": base.filter(F.col(tid).isNotNull()).groupBy(F.col(tid).alias("node_id")).agg(F.max("timestamp").alias("time_attr")),
+             "CUSTOMER": base.filter(F.col(cid).isNotNull()).groupBy(F.col(cid).alias("node_id")).agg(F.min("timestamp").alias("time_attr"))}
+    seeds = base.filter((F.col("split_full") == 2) & F.col(tid).isNotNull()).select(F.col(tid).alias("node_id")).distinct()
+    in_city = {("TRANSACTION", "IN_SAME_CITY", "TRANSACTION"): clique(base, "TRANSACTION", "IN_SAME_CITY", tid, city)}
+    return relations, in_city, seeds, times
+
+
+FANOUTS = [10, 15]
 
 
 def q_neighbor_sample_2hop(spark, sf):
-    edges, seeds, _ = _sampling_inputs(spark, sf)
-    s = sample_neighbors(edges, {"TRANSACTION": seeds}, [10, 15], seed=0)
+    """Hop 1 draws 15 (the last fan-out) per relation, hop 2 10; transactions of one city bind in both."""
+    relations, in_city, seeds, _ = _sampling_inputs(spark, sf)
+    s = sample_neighbors(relations | in_city, {"TRANSACTION": seeds}, FANOUTS, seed=0)
     return s.select("hop", "relation", "src", "dst").distinct()
 
 
 def q_neighbor_sample_temporal_last(spark, sf):
-    edges, seeds, ta = _sampling_inputs(spark, sf)
-    s = sample_neighbors(edges, {"TRANSACTION": seeds}, [10, 15], seed=0, time_attr=ta, strategy="last")
+    relations, _, seeds, ta = _sampling_inputs(spark, sf)
+    s = sample_neighbors(relations, {"TRANSACTION": seeds}, FANOUTS, seed=0, time_attr=ta, strategy="last")
     return s.select("hop", "relation", "src", "dst", "seed_time").distinct()
 
 
 def q_neighbor_sample_temporal_uniform(spark, sf):
-    edges, seeds, ta = _sampling_inputs(spark, sf)
-    s = sample_neighbors(edges, {"TRANSACTION": seeds}, [10, 15], seed=0, time_attr=ta, strategy="uniform")
+    relations, _, seeds, ta = _sampling_inputs(spark, sf)
+    s = sample_neighbors(relations, {"TRANSACTION": seeds}, FANOUTS, seed=0, time_attr=ta, strategy="uniform")
     return s.select("hop", "relation", "src", "dst", "seed_time").distinct()
 
 
-def q_neighbor_aggregate(spark, sf):
+def _linear_graph(spark, sf):
+    """Relations and features of transactions and customers; customers of one city as a clique."""
     d = TX_IDENTITY_EDGE_CENTRIC
-    base = _with_ids(_tx_base(spark, sf, d), d, ["TRANSACTION", "CUSTOMER", "CITY"])
-    made_by = bipartite_edges(base, id_col("TRANSACTION"), id_col("CUSTOMER"))
-    same_city = monopartite_weighted(base, id_col("CUSTOMER"), id_col("CITY")).select("src", "dst")
-    tx_x = (base.filter(F.col(id_col("TRANSACTION")).isNotNull())
-            .groupBy(F.col(id_col("TRANSACTION")).alias("node_id")).agg(F.max(signed_log("amt")).alias("amt_log")))
-    cu_x = (base.filter(F.col(id_col("CUSTOMER")).isNotNull())
-            .groupBy(F.col(id_col("CUSTOMER")).alias("node_id"))
+    tid, cid = id_col("TRANSACTION"), id_col("CUSTOMER")
+    base = _with_ids(spark, sf, d, ["TRANSACTION", "CUSTOMER", "CITY"])
+    made_by = bipartite_edges(base, tid, cid)
+    tx_x = (base.filter(F.col(tid).isNotNull()).groupBy(F.col(tid).alias("node_id")).agg(F.max(signed_log("amt")).alias("amt_log")))
+    cu_x = (base.filter(F.col(cid).isNotNull()).groupBy(F.col(cid).alias("node_id"))
             .agg(F.max_by(signed_log("city_pop"), F.struct("timestamp", *TX_TIE)).alias("city_pop_log")))
-    out = aggregate_neighbors({("TRANSACTION", "MADE_BY", "CUSTOMER"): made_by,
-                               ("CUSTOMER", "HAS_SAME_CITY", "CUSTOMER"): same_city},
-                              {"TRANSACTION": tx_x, "CUSTOMER": cu_x}, how="sum")["CUSTOMER"]
+    same_city = clique(base, "CUSTOMER", "HAS_SAME_CITY", cid, id_col("CITY"))
+    return EdgeList("TRANSACTION", "MADE_BY", "CUSTOMER", made_by), same_city, EdgeList("CUSTOMER", "MADE", "TRANSACTION", reverse_edges(made_by)), {"TRANSACTION": tx_x, "CUSTOMER": cu_x}
+
+
+def q_neighbor_aggregate(spark, sf):
+    made_by, same_city, _, x = _linear_graph(spark, sf)
+    out = pass_messages([made_by, same_city], x, how="sum")["CUSTOMER"]
     return out.select("node_id", round6("amt_log").alias("amt_log"), round6("city_pop_log").alias("city_pop_log"))
 
 
+def q_propagated_features(spark, sf):
+    """Two hops of mean messages over transactions, customers and the city clique: the k-hop feature table."""
+    made_by, same_city, made, x = _linear_graph(spark, sf)
+    out = propagate(x, [made_by, same_city, made], hops=2)
+    cols = ["amt_log_h1", "city_pop_log_h1", "amt_log_h2", "city_pop_log_h2"]
+    parts = []
+    for t, own in (("CUSTOMER", "city_pop_log"), ("TRANSACTION", "amt_log")):
+        have = out[t].columns
+        parts.append(out[t].select(F.lit(t).alias("ntype"), "node_id", round6(own).alias("own"),
+                                   *[round6(F.col(c) if c in have else F.lit(0.0)).alias(c) for c in cols]))
+    return parts[0].unionByName(parts[1])
+
+
 def _predictions(spark, sf) -> DataFrame:
     t = _events_table(spark, sf)
     return split_view(t, "test").select(
@@ -562,14 +617,34 @@ def q_prequential_scores(spark, sf):
     return s.select("batch_id", "event_id", F.round("score", 9).alias("score"), "label")
 
 
+def _custom_scorer(x):
+    """A caller's model over the as-of table: own value, state and history of the user, history of the property."""
+    z = (0.8 * (x["value"] - SCORE_CENTER) + 0.5 * (x["user__value"].fillna(SCORE_CENTER) - SCORE_CENTER)
+         + 0.3 * (x["user__mean_value"].fillna(SCORE_CENTER) - SCORE_CENTER) - 0.2 * (x["property__mean_value"].fillna(SCORE_CENTER) - SCORE_CENTER)) / SCORE_SCALE
+    return z + 0.1 * np.log1p(x["user__n_items"].fillna(0.0)) - 0.05 * np.log1p(x["property__n_items"].fillna(0.0))
+
+
+def q_prequential_custom_scorer(spark, sf):
+    """Every test batch scored by a caller's pandas model on the graph as of its batch, in one plan."""
+    s = prequential_score(_events_table(spark, sf), _custom_scorer, item_col="event_id", item_features=["value"],
+                          entities={"user": ("user_id", ["value"]), "property": ("props", [])}, label_col="label", batch_size=BATCH)
+    return s.select("batch_id", "event_id", round6("score").alias("score"), "label")
+
+
+TRAIN_FEATURES = ["value", "user_mean"]
+
+
 def q_train_score_nodes(spark, sf):
-    """M1 M2: 1-hop neighbour mean as a feature, weighted logistic regression, scores on test."""
+    """M1 M2: mean of the user's training events as a feature, weighted logistic regression fitted until its gradient
+    vanishes, logits of the test rows."""
     t = _events_table(spark, sf)
     user_mean = (split_view(t, "train").groupBy("user_id").agg(F.avg("value").alias("user_mean")))
     x = t.join(user_mean, "user_id", "left").withColumn("user_mean", F.coalesce("user_mean", F.lit(0.0)))
     w = imbalance_ratio(split_view(t, "train"), "label")
-    model = train_logistic(split_view(x, "train"), ["value", "user_mean"], "label", pos_weight=w, max_iter=20)
-    return logistic_scores(model, split_view(x, "test"), ["value", "user_mean"]).select("event_id", "score", "label")
+    fit = fit_logistic(split_view(x, "train"), TRAIN_FEATURES, "label", pos_weight=w)
+    if not fit.converged:
+        raise RuntimeError(f"no optimum after {fit.iterations} steps: {fit}")
+    return split_view(x, "test").select("event_id", round6(logit_column(fit.features, fit.coefficients, fit.intercept)).alias("score"), "label")
 
 
 def q_csv_round_trip(spark, sf):
@@ -622,12 +697,16 @@ QUERIES = {
     "increment_new_ids": q_increment_new_ids,
     "increment_features": q_increment_features,
     "increment_edges": q_increment_edges,
+    "increments_new_ids": q_increments_new_ids,
+    "increments_features": q_increments_features,
+    "increments_edges": q_increments_edges,
     "stream_graph_features": q_stream_graph_features,
     "stream_edges": q_stream_edges,
     "neighbor_sample_2hop": q_neighbor_sample_2hop,
     "neighbor_sample_temporal_last": q_neighbor_sample_temporal_last,
     "neighbor_sample_temporal_uniform": q_neighbor_sample_temporal_uniform,
     "neighbor_aggregate": q_neighbor_aggregate,
+    "propagated_features": q_propagated_features,
     "precision_recall": q_precision_recall,
     "weighted_log_loss": q_weighted_log_loss,
     "pr_curve": q_pr_curve,
@@ -635,6 +714,7 @@ QUERIES = {
     "summary_written_back": q_summary_written_back,
     "score_linear": q_score_linear,
     "prequential_scores": q_prequential_scores,
+    "prequential_custom_scorer": q_prequential_custom_scorer,
     "train_score_nodes": q_train_score_nodes,
     "csv_round_trip": q_csv_round_trip,
 }
