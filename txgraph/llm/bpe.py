@@ -9,8 +9,12 @@ tokenizer's own pre-tokenizer must cut and no special token can lie: at spaces a
 between Latin letters, ASCII digits and ASCII signs other than ``'<>|``. Texts within Latin-1
 without ``<|`` are lower-cased first, which the tokenizer's normaliser would do with equal result.
 
+A window begins and ends where the tokenizer's normaliser cannot look across: before a character that
+starts anew (no mark, no later part of a syllable), so marks are never put in order without those they belong to.
+
 Defined results: null text counts as empty; an empty text has no ids and decodes to ''; repeated
-rows give repeated results; a null id is kept; extra columns are ignored; no rows, no result rows.
+rows give repeated results (equal rows with a long text are counted where they are read and encoded once); a
+null id is kept; texts of any length are encoded whole; extra columns are ignored; no rows, no result rows.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import accumulate
 from struct import pack
@@ -163,19 +168,36 @@ class Tokens:
         return int(self.ids[i]), int(self.start[i]), int(self.end[i]), bool(self.first[i])
 
 
+def starts_anew(c: str) -> bool:
+    """True if canonical composition and ordering never reach from this character to those before it: not a
+    mark, nor a later letter of a syllable that composes (Hangul vowels and finals, Kirat Rai vowel signs)."""
+    if c < "\u0300":
+        return True
+    return not (unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff" or "\ud7b0" <= c <= "\ud7ff" or "\U00016d63" <= c <= "\U00016d6a")
+
+
 def join(tok, text: str, left: Tokens, right: Tokens, begin: int, cut: int, end: int) -> Tokens:
     """Tokens of text[begin:end] from those of text[begin:cut] and text[cut:end]."""
+    anew = cut  # from here on the right side is normalised as in the whole text
+    while anew < end and not starts_anew(text[anew - begin]):
+        anew += 1
     reach = 64
     while True:
-        # left edge: a token start at least ``reach`` before the cut, at a pre-token start if one is near
+        # left edge: a token start at least ``reach`` before the cut where the text starts anew, at a pre-token
+        # start if one is near; the tokens before it end there
         i = int(np.searchsorted(left.start, cut - reach, side="right")) - 1 if len(left) else 0
         near = np.flatnonzero(left.first[max(i - 32, 0) : i + 1]) if i > 0 else np.zeros(0, int)
         i = max(i - 32, 0) + int(near[-1]) if len(near) else max(i, 0)
+        while i > 0 and not (starts_anew(text[int(left.start[i]) - begin]) and left.end[i - 1] <= left.start[i] < cut):
+            i -= 1
         from_start = i == 0 or cut - reach <= begin
         i = 0 if from_start else i
         lo = begin if from_start else int(left.start[i])
-        to_end = cut + 2 * reach >= end
-        hi = end if to_end else cut + 2 * reach
+        hi = max(cut + 2 * reach, anew)
+        while hi < end and not starts_anew(text[hi - begin]):
+            hi += 1
+        to_end = hi >= end
+        hi = min(hi, end)
         window = Tokens.of(tok, text[lo - begin : hi - begin], lo)
         agree_left = from_start or (len(window) > 0 and window.key(0)[:3] == left.key(i)[:3])
         if agree_left and to_end:
@@ -183,7 +205,7 @@ def join(tok, text: str, left: Tokens, right: Tokens, begin: int, cut: int, end:
         if agree_left:
             there = {right.key(m): m for m in range(int(np.searchsorted(right.start, hi - MARGIN)))}
             for b in range(len(window) - 1, -1, -1):
-                if window.end[b] <= hi - MARGIN and window.start[b] >= cut + MARGIN and (m := there.get(window.key(b))) is not None:
+                if window.end[b] <= hi - MARGIN and window.start[b] >= max(cut + MARGIN, anew) and (m := there.get(window.key(b))) is not None:
                     return left.part(0, i) + window.part(0, b + 1) + right.part(m + 1, None)
         reach *= 2
 
@@ -208,17 +230,20 @@ def _row(ids: bytes, decoded: str, full: bool) -> list:
     return out + ([ids, decoded] if full else [])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Rows of each run of equal keys in sorted batches."""
-    have: list[dict] = []
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[int, dict], int]]:
+    """Pieces by number, and how many rows have them, of each run of equal keys in sorted batches. Pieces of
+    equal rows are held once."""
+    now, have, copies = None, {}, 0
     for batch in batches:
         for row in batch.to_pylist():
-            if have and have[0][key] != row[key]:
-                yield have
-                have = []
-            have.append(row)
+            if row[key] != now:
+                if have:
+                    yield have, copies
+                now, have, copies = row[key], {}, 0
+            have.setdefault(row["n"], row)
+            copies += row["copies"] if row["n"] == 0 else 0
     if have:
-        yield have
+        yield have, copies
 
 
 def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars: int = PIECE_CHARS, full: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,14 +266,18 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
 
     def cut():
         def f(rows, data, offs):
-            raw, out, take = data.tobytes(), [], []
+            raw, first, copies = data.tobytes(), {}, {}
             for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+                key = f"{rows.column(0)[k].as_py()!r}:{hashlib.sha256(raw[a:b]).hexdigest()}"
+                first.setdefault(key, (k, a, b))
+                copies[key] = copies.get(key, 0) + 1
+            out, take = [], []
+            for key, (k, a, b) in first.items():
                 text = raw[a:b].decode()
-                digest = hashlib.sha256(raw[a:b]).hexdigest()
                 for n, at in enumerate(range(0, len(text), piece_chars)):
-                    out.append((f"{rows.column(0)[k].as_py()}:{digest}", n, text[at : at + piece_chars]))
+                    out.append((key, n, text[at : at + piece_chars], copies[key]))
                     take.append(k)
-            return [rows.column(0).take(pa.array(take, pa.int64())), *(zip(*out) if out else [[], [], []])]
+            return [rows.column(0).take(pa.array(take, pa.int64())), *(zip(*out) if out else [[], [], [], []])]
 
         return f
 
@@ -260,9 +289,9 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
 
     def join_pieces(batches):
         tok = load(path)
-        for group in _groups(batches, "key"):
-            by_number = {r["n"]: r for r in group}
-            copies = sum(r["n"] == 0 for r in group)  # repeated rows have equal pieces
+        types = [doc_type, pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 4 + 2 * full]
+        for by_number, copies in _groups(batches, "key"):
             pieces, tokens, at = [], [], 0
             for n in sorted(by_number):
                 r = by_number[n]
@@ -270,17 +299,17 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
                 tokens.append(Tokens.unpacked(r["ids"], r["gap"], r["length"], r["first"], at))
                 at += len(r["text"])
             ids = encode_tree(tok, pieces, tokens).ids
-            row = _row(ids.tobytes(), tok.decode(ids.tolist(), skip_special_tokens=False), full)
-            cols = [pa.array([r["doc_id"] for r in group[:1]] * copies, doc_type), *([x] * copies for x in row)]
-            types = [doc_type, pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
+            row = [by_number[0]["doc_id"], *_row(ids.tobytes(), tok.decode(ids.tolist(), skip_special_tokens=False), full)]
+            for a in range(0, copies, 10_000 if not full else 1):
+                k = min(copies - a, 10_000 if not full else 1)
+                yield pa.RecordBatch.from_arrays([pa.array([x] * k, t) for x, t in zip(row, types)], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     doc_type = to_arrow_type(src.schema["doc_id"].dataType)
     is_long = F.coalesce(F.char_length("text") > piece_chars, F.lit(False))
     short = map_texts(src.where(~is_long), schema, one_piece)
-    pieces = map_texts(src.where(is_long), f"doc_id {kind}, key string, n int, text string", cut).repartition("key", "n")
-    encoded = pieces.mapInArrow(encode_pieces, f"doc_id {kind}, key string, n int, text string, ids binary, gap binary, length binary, first binary")
+    pieces = map_texts(src.where(is_long), f"doc_id {kind}, key string, n int, text string, copies long", cut).repartition("key", "n")
+    encoded = pieces.mapInArrow(encode_pieces, f"doc_id {kind}, key string, n int, text string, copies long, ids binary, gap binary, length binary, first binary")
     long = encoded.repartition("key").sortWithinPartitions("key", "n").mapInArrow(join_pieces, schema)
     return short.unionByName(long)
