@@ -6,14 +6,16 @@ a text's is the product over its words. Training counts words per language over
 then runs expectation-maximisation rounds with forward-backward passes on the distinct words. What
 reaches the driver is bounded by the vocabulary times the number of languages.
 
-Words are runs of letters, lower-cased, with the vocabulary's word mark; runs of more than
-``WORD_CHARS`` letters are cut into words of that length. A character without a piece has the same
-small probability in every language.
+Words are whole runs of letters, lower-cased, with the vocabulary's word mark. Runs of more than
+``WORD_CHARS`` letters are summed in logarithms, and those of more than ``STRETCH`` in stretches that carry the sums
+of their last nodes over to the next, so a run of any length is one word and takes bounded memory. A
+character without a piece has the same small probability in every language.
 
 Defined results: null text, or one without a letter: ``und`` with score 0; no training rows: ``und``
 with score 0 for all; rows without a language are predicted but not learned from; ties go to the
 first language in order; repeated rows give repeated results; a null id is predicted, not learned
-from; extra columns are ignored; no rows, no result rows.
+from; texts and runs of any length are read whole; more than ``MAX_LANGS`` languages are an error (the
+model, pieces x languages, is broadcast); extra columns are ignored; no rows, no result rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +36,9 @@ from txgraph.llm.common import fold, held_out, id_type, map_texts, written
 
 MODEL = "piece_bpe_32k.model"
 ROUNDS = 2
-WORD_CHARS = 48
+WORD_CHARS = 48     # longer words are summed in logarithms
+STRETCH = 4096      # characters of a long word whose arcs are held at once
+MAX_LANGS = 512
 DICTIONARY = 300_000
 SMOOTHING = 0.1
 LOG_UNKNOWN = -14.0
@@ -62,11 +67,11 @@ class Lattice:
         for p, k in self.ids.items():
             self.piece_at[number[p]] = k
 
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def arcs(self, words: list[str], mark: str = "▁") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end, piece) of every arc as nodes of all words together, ordered by the end's
         place in its word; first and last node of each word."""
-        chars = np.frombuffer("".join(["▁" + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        chars = np.frombuffer("".join([mark + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(w) + len(mark) for w in words], np.int64)
         last_char = np.cumsum(sizes)  # past the end of each word
         word = np.repeat(np.arange(len(words)), sizes)
         stop = last_char[word]
@@ -134,21 +139,99 @@ def _unsafe(sums: np.ndarray) -> np.ndarray:
     return ~((sums >= SAFE[0]) & (sums <= SAFE[1]))
 
 
+def _by_size(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Places of the short words, of those summed in logarithms (in groups of a bounded number of
+    characters) and of those walked in stretches."""
+    size = np.array([len(w) for w in words], np.int64)
+    middle = np.flatnonzero((size > WORD_CHARS) & (size <= STRETCH))
+    cuts = np.flatnonzero(np.diff(np.cumsum(size[middle]) // (64 * STRETCH))) + 1
+    return np.flatnonzero(size <= WORD_CHARS), [g for g in np.split(middle, cuts) if len(g)], np.flatnonzero(size > STRETCH)
+
+
 def word_logs(lattice: Lattice, words: list[str], model: np.ndarray) -> np.ndarray:
     """log P(word | language), summed over all segmentations."""
-    begin, end, piece, first, last = lattice.arcs(words)
-    alpha = forward(lifted(lattice, model)[piece], begin, end, first, int(last[-1]) + 1, lattice.steps)[last]
-    again = np.flatnonzero(_unsafe(alpha).any(axis=1))
-    alpha[again] = 1.0
-    out = np.log(alpha) - LIFT * (last - first)[:, None]
-    if len(again):
-        begin, end, piece, first, last = lattice.arcs([words[i] for i in again])
-        out[again] = forward_logs(model[piece], begin, end, first, int(last[-1]) + 1, lattice.steps)[last]
+    out = np.zeros((len(words), model.shape[1]))
+    short, middle, long = _by_size(words)
+    if len(short):
+        some = [words[i] for i in short]
+        begin, end, piece, first, last = lattice.arcs(some)
+        alpha = forward(lifted(lattice, model)[piece], begin, end, first, int(last[-1]) + 1, lattice.steps)[last]
+        unsafe = _unsafe(alpha).any(axis=1)
+        alpha[unsafe] = 1.0
+        out[short] = np.log(alpha) - LIFT * (last - first)[:, None]
+        middle = [*middle, short[unsafe]] if unsafe.any() else middle
+    for group in middle:
+        begin, end, piece, first, last = lattice.arcs([words[i] for i in group])
+        out[group] = forward_logs(model[piece], begin, end, first, int(last[-1]) + 1, lattice.steps)[last]
+    for i in long:
+        out[i] = stretched_logs(lattice, words[i], model)
+    return out
+
+
+def _stretches(lattice: Lattice, word: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first node, nodes of its own, begin, end, piece, ends' steps) of each stretch of a marked word: all arcs that begin
+    in it, as nodes counted from its first one."""
+    text, reach = "▁" + word, int(lattice.lengths.max())
+    for at in range(0, len(text), STRETCH):
+        own = min(STRETCH, len(text) - at)
+        begin, end, piece, _, _ = lattice.arcs([text[at : at + own + reach]], "")
+        mine = begin < own
+        begin, end, piece = begin[mine], end[mine], piece[mine]
+        yield at, own, begin, end, piece, np.concatenate(([0], np.flatnonzero(np.diff(end)) + 1, [len(end)]))
+
+
+def stretched_logs(lattice: Lattice, word: str, model: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
+    """``forward_logs`` at the last node of one word. ``nodes`` (one language): filled with the sums at all nodes."""
+    reach = int(lattice.lengths.max())
+    carry = np.full((reach + 1, model.shape[1]), -np.inf)
+    carry[0] = 0.0
+    for at, own, begin, end, piece, steps in _stretches(lattice, word):
+        alpha = np.full((own + reach + 1, model.shape[1]), -np.inf)
+        alpha[: reach + 1] = carry
+        for a, b in zip(steps[:-1], steps[1:]):  # all arcs to one node
+            alpha[end[a]] = np.logaddexp(alpha[end[a]], np.logaddexp.reduce(alpha[begin[a:b]] + model[piece[a:b]], axis=0))
+        carry = alpha[own:].copy()
+        if nodes is not None:
+            nodes[at : at + own + 1] = alpha[: own + 1, 0]
+    return carry[0]
+
+
+def stretched_counts(lattice: Lattice, word: str, n: float, model: np.ndarray) -> np.ndarray:
+    """Expected piece counts of n occurrences of one word in one language (model: one column)."""
+    alpha = np.zeros(len(word) + 2)
+    total = stretched_logs(lattice, word, model, alpha)[0]
+    reach = int(lattice.lengths.max())
+    out, carry = np.zeros(len(model)), np.full(reach + 1, -np.inf)
+    carry[0] = 0.0  # beta from the last node on
+    starts = range(0, len(word) + 1, STRETCH)
+    text = "▁" + word
+    for at in reversed(starts):
+        own = min(STRETCH, len(text) - at)
+        begin, end, piece, _, _ = lattice.arcs([text[at : at + own + reach]], "")
+        mine = np.flatnonzero(begin < own)
+        mine = mine[np.argsort(-begin[mine], kind="stable")]
+        begin, end, w = begin[mine], end[mine], model[piece[mine], 0]
+        piece = piece[mine]
+        beta = np.full(own + reach + 1, -np.inf)
+        beta[own:] = carry
+        steps = np.concatenate(([0], np.flatnonzero(np.diff(begin)) + 1, [len(begin)]))
+        for a, b in zip(steps[:-1], steps[1:]):
+            beta[begin[a]] = np.logaddexp.reduce(beta[end[a:b]] + w[a:b])
+        np.add.at(out, piece, np.exp(alpha[at + begin] + w + beta[end] - total) * n)
+        carry = beta[: reach + 1].copy()
     return out
 
 
 def expected_counts(lattice: Lattice, words: list[str], lang: np.ndarray, n: np.ndarray, model: np.ndarray) -> np.ndarray:
     """Expected piece counts (pieces x languages) of n occurrences of each word in its language."""
+    short, middle, long = _by_size(words)
+    if len(short) < len(words):
+        out = np.zeros(model.shape)
+        for group in [*middle, *([short] if len(short) else [])]:
+            out += (expected_counts if group is short else expected_counts_logs)(lattice, [words[i] for i in group], lang[group], n[group], model)
+        for i in long:
+            out[:, lang[i]] += stretched_counts(lattice, words[i], float(n[i]), model[:, lang[i] : lang[i] + 1])
+        return out
     begin, end, piece, first, last = lattice.arcs(words)
     nodes = int(last[-1]) + 1
     word = np.repeat(np.arange(len(words)), last - first + 1)[begin]
@@ -194,9 +277,10 @@ def expected_counts_logs(lattice: Lattice, words: list[str], lang: np.ndarray, n
 
 
 def text_words(text: str) -> list[str]:
-    out = _LETTERS.findall(text.lower())
-    if any(len(w) > WORD_CHARS for w in out):
-        out = [w[i : i + WORD_CHARS] for w in out for i in range(0, len(w), WORD_CHARS)]
+    """Runs of letters; number signs that ``str.isalpha`` does not take for letters part them."""
+    out = []
+    for w in _LETTERS.findall(text.lower()):
+        out += [w] if w.isalpha() else ["".join(g) for letter, g in groupby(w, str.isalpha) if letter]
     return out
 
 
@@ -228,7 +312,9 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id",
 def train(docs: DataFrame, model_file: str, rounds: int = ROUNDS, lang_col: str = "lang") -> tuple[list[str], np.ndarray | None]:
     """Languages in order, and log-probabilities (pieces x languages)."""
     counts = written(word_counts(docs, lang_col), "language-words")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: the model of pieces x languages is broadcast")
     if not langs:
         return [], None
     size = Lattice(model_file).size
@@ -275,10 +361,10 @@ def predict_language(docs: DataFrame, model_file: str | None = None, rounds: int
             nonlocal logs
             raw, pred, score = data.tobytes(), [], []
             texts = [text_words(raw[a:b].decode()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            new = list({w: None for words in texts for w in words if w not in row})
+            new = list({w: None for words in texts for w in words if w not in row and len(w) <= STRETCH})
             if len(row) + len(new) > DICTIONARY:
                 row.clear()
-                new = list({w: None for words in texts for w in words})
+                new = list({w: None for words in texts for w in words if len(w) <= STRETCH})
             if new:  # all new words of the slice at once
                 got = np.concatenate([word_logs(lattice, new[i : i + 4096], model) for i in range(0, len(new), 4096)])
                 need = len(row) + len(new)
@@ -291,7 +377,10 @@ def predict_language(docs: DataFrame, model_file: str | None = None, rounds: int
                     pred.append("und")
                     score.append(0.0)
                     continue
-                total = logs[list(map(row.__getitem__, words))].sum(axis=0)
+                total = logs[[row[w] for w in words if len(w) <= STRETCH]].sum(axis=0)
+                for w in words:
+                    if len(w) > STRETCH:  # not kept
+                        total = total + stretched_logs(lattice, w, model)
                 best = int(np.argmax(total))
                 pred.append(langs[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))
