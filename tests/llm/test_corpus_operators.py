@@ -359,3 +359,50 @@ def test_possible_pairs_keep_every_link():
             both = len(np.intersect1d(full[i], full[j]))
             linked = 100 * both >= 80 * (len(full[i]) + len(full[j]) - both)
             assert yes == (linked or sets[i] is None or sets[j] is None)
+
+
+def brute_log(lattice, word, model):
+    """Sum over all segmentations, one character after another."""
+    text = "▁" + word
+    alpha = [np.zeros(model.shape[1])] + [None] * len(text)
+    for j in range(1, len(text) + 1):
+        terms = []
+        for i in range(max(0, j - 40), j):
+            k = lattice.ids.get(text[i:j], 0 if j - i == 1 else None)
+            if k is not None:
+                terms.append(alpha[i] + model[k])
+        alpha[j] = np.logaddexp.reduce(terms, axis=0)
+    return alpha[-1]
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """A run of 5,000 letters equals the brute-force sum, in one stretch or many, and so do its expected counts."""
+    import public_tokenizers
+
+    lattice = language_id.Lattice(public_tokenizers.path(language_id.MODEL))
+    rng = np.random.default_rng(8)
+    model = np.log(rng.dirichlet(np.full(lattice.size, 0.5), 2).T + 1e-9)
+    model[0] = language_id.LOG_UNKNOWN
+    letters = list("aeinrstdühß好слово")
+    words = ["".join(rng.choice(letters, n)) for n in (5, 47, 48, 49, 81, 300, 5000)]
+    want = np.array([brute_log(lattice, w, model) for w in words])
+    assert np.allclose(language_id.word_logs(lattice, words, model), want, rtol=1e-9)
+    lang, n = np.arange(len(words)) % 2, np.arange(1, len(words) + 1)
+    counts = language_id.expected_counts(lattice, words, lang, n, model)
+    chars = [sum(k * (len(w) + 1) for w, g, k in zip(words, lang, n) if g == x) for x in (0, 1)]
+    assert np.allclose(lattice.lengths @ counts, chars)
+    for stretch in (50, 64, 1000):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        assert np.allclose(language_id.word_logs(lattice, words, model), want, rtol=1e-9)
+        assert np.allclose(language_id.expected_counts(lattice, words, lang, n, model), counts, atol=1e-9)
+
+
+def test_only_letters_make_words(spark, monkeypatch):
+    assert language_id.text_words("½ ² Ⅷ 12 _ x²y Straße") == ["x", "y", "straße"]
+    rows = [(i, "the cat sat" if i % 2 else "der hund lief", "en" if i % 2 else "de") for i in range(1, 21)] + [(100, "½ ²", "en"), (101, "Ⅷ", None)]
+    got = {r["doc_id"]: r for r in language_id.predict_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100]["lang_pred"] == got[101]["lang_pred"] == "und" and got[100]["score"] == 0
+    assert all(got[i]["lang_pred"] == ("en" if i % 2 else "de") for i in range(1, 21))
+    monkeypatch.setattr(language_id, "MAX_LANGS", 1)
+    with pytest.raises(ValueError):
+        language_id.predict_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
