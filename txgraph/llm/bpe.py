@@ -102,7 +102,11 @@ class WordCodec:
         ids = np.array([x for e in got for x in e.ids], dtype="<u4").tobytes()
         spans = np.array([x for e in got for x in e.offsets], dtype="<i4").reshape(-1, 2)
         start, end = spans[:, 0].tobytes(), spans[:, 1].tobytes()
-        first = b"".join([b"\x01" if n == 1 else pre_token_starts(e).tobytes() for e, n in zip(got, size)])
+        word = np.array([-1 if x is None else x for e in got for x in e.word_ids], dtype=np.int64)
+        first = word < 0  # outside any pre-token: its own
+        first[1:] |= word[1:] != word[:-1]
+        first[[a for a, n in zip(cuts, size) if n]] = True
+        first = first.tobytes()
         for w, a, b in zip(new, cuts, cuts[1:]):
             self.placed[w] = ids[4 * a : 4 * b], start[4 * a : 4 * b], end[4 * a : 4 * b], first[a:b], b - a
 
@@ -123,6 +127,14 @@ class WordCodec:
         return Tokens(ids, start + at, end + at, first)
 
 
+def decoder_of(tok):
+    """ids -> the library's decoded text: without a decoder of its own a tokenizer joins its tokens by spaces."""
+    if tok.decoder is not None:
+        return lambda ids: tok.decode(ids, skip_special_tokens=False)
+    names = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
+    return lambda ids: " ".join(map(names.__getitem__, ids))
+
+
 class Tokens:
     """Tokens of one stretch of a text: ids, character spans in the text, pre-token starts."""
 
@@ -289,6 +301,7 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
 
     def join_pieces(batches):
         tok = load(path)
+        decode = decoder_of(tok)
         types = [doc_type, pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 4 + 2 * full]
         for by_number, copies in _groups(batches, "key"):
@@ -299,7 +312,7 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
                 tokens.append(Tokens.unpacked(r["ids"], r["gap"], r["length"], r["first"], at))
                 at += len(r["text"])
             ids = encode_tree(tok, pieces, tokens).ids
-            row = [by_number[0]["doc_id"], *_row(ids.tobytes(), tok.decode(ids.tolist(), skip_special_tokens=False), full)]
+            row = [by_number[0]["doc_id"], *_row(ids.tobytes(), decode(ids.tolist()), full)]
             for a in range(0, copies, 10_000 if not full else 1):
                 k = min(copies - a, 10_000 if not full else 1)
                 yield pa.RecordBatch.from_arrays([pa.array([x] * k, t) for x, t in zip(row, types)], names=names)
