@@ -278,8 +278,11 @@ def expected_counts_logs(lattice: Lattice, words: list[str], lang: np.ndarray, n
 
 def text_words(text: str) -> list[str]:
     """Runs of letters; number signs that ``str.isalpha`` does not take for letters part them."""
+    words = _LETTERS.findall(text.lower())
+    if not words or "".join(words).isalpha():
+        return words
     out = []
-    for w in _LETTERS.findall(text.lower()):
+    for w in words:
         out += [w] if w.isalpha() else ["".join(g) for letter, g in groupby(w, str.isalpha) if letter]
     return out
 
@@ -372,15 +375,16 @@ def predict_language(docs: DataFrame, model_file: str | None = None, rounds: int
                     logs = np.concatenate((logs, np.zeros((max(need - len(logs), len(logs)), len(langs)))))
                 logs[len(row) : need] = got
                 row.update(zip(new, range(len(row), need)))
-            for words in texts:
+            for words, size in zip(texts, np.diff(offs).tolist()):
+                long = [w for w in words if len(w) > STRETCH] if size > STRETCH else []
                 if not words:
                     pred.append("und")
                     score.append(0.0)
                     continue
-                total = logs[[row[w] for w in words if len(w) <= STRETCH]].sum(axis=0)
-                for w in words:
-                    if len(w) > STRETCH:  # not kept
-                        total = total + stretched_logs(lattice, w, model)
+                known = [w for w in words if len(w) <= STRETCH] if long else words
+                total = logs[list(map(row.__getitem__, known))].sum(axis=0)
+                for w in long:  # not kept
+                    total = total + stretched_logs(lattice, w, model)
                 best = int(np.argmax(total))
                 pred.append(langs[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))
