@@ -6,7 +6,7 @@ from txgraph.definitions import (BiEdge, DefinitionError, Feature, GraphDefiniti
                                  primary, TX_IDENTITY_EDGE_CENTRIC)
 from txgraph.operators.edges import expand_bag, merge_distinct
 from txgraph.operators.splits import SplitSettings, resolve_split
-from txgraph.plans.batch_graph import build_graph, graph_catalogue
+from txgraph.plans.batch_graph import attach_all_ids, build_graph, graph_catalogue, numbered_keys
 from txgraph.session import scratch_path
 from txgraph.sources.readers import write_graph
 from txgraph.sources.tables import transaction_view
@@ -78,3 +78,20 @@ def test_repeated_bipartite_triple_is_concatenated_and_distinct(spark):
     merged = merge_distinct([first, second])
     assert sorted(map(tuple, merged.collect())) == [(1, 10), (2, 20), (3, 30)]
     assert merge_distinct([]) is None
+
+
+def test_ids_through_narrow_rows_equal_lookups_one_by_one(spark):
+    strict = Validity(all_not_null=True)
+    nodes = {"T": primary(["a"], (), strict), "C": auxiliary(["b"]), "P": auxiliary(["b", "c"]), "D": auxiliary(["c"], strict)}
+    d = GraphDefinition("x", nodes, [MonoEdge("T", "C", "r"), MonoEdge("T", "P", "s"), MonoEdge("T", "D", "t")], "T")
+    rows = [(i if i % 5 else None, None if i % 3 == 0 else f"b{i % 7}", None if i % 4 == 0 else float(i % 6), f"wide {i}") for i in range(400)]
+    base = spark.createDataFrame(rows, "a long, b string, c double, other string").repartition(5)
+    tables, sizes = numbered_keys(base, d)
+    plain = attach_all_ids(base, d, tables)
+    narrow = attach_all_ids(base, d, tables, sizes, lookup_rows=0)
+    assert narrow.columns == plain.columns
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, plain.collect()))
+    got = narrow.agg(*[F.countDistinct(f"{t}_node_id").alias(t) for t in nodes]).first().asDict()
+    assert got == sizes and sizes["C"] == 8  # the null key is a node where the rules allow it
+    some = attach_all_ids(base, d, tables, sizes, lookup_rows=sizes["D"])
+    assert sorted(map(str, some.collect())) == sorted(map(str, plain.collect()))

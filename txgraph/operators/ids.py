@@ -18,7 +18,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import reduce
-from typing import Iterable, Iterator, Optional, Sequence, Union
+from typing import Callable, Iterable, Iterator, Optional, Sequence, Union
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -132,6 +132,13 @@ class StackedKeys:
         self.rows = df.select(F.explode(F.array(*[entry(k) for k in keys])).alias("_key"), *extra).select("_key.*", *[F.col(f"_extra{i}") for i in range(len(extra))])
         self.names = ["kind", *self.slots.values()]
 
+    def has_null(self, prefix: str = "") -> Column:
+        """The key has a null in a column of its own kind (the columns of other kinds are always null)."""
+        def of(kind: str) -> Column:
+            return (F.col(f"{prefix}kind") == kind) & reduce(lambda a, b: a | b, [F.col(prefix + c).isNull() for c in self.columns[kind]])
+
+        return reduce(lambda a, b: a | b, [of(k) for k in self.columns])
+
     def number(self, distinct: DataFrame, num_partitions: Optional[int] = None) -> tuple[dict, dict]:
         """(kind -> DataFrame(key columns, id), kind -> how many): 0-based dense rank of the distinct keys within
         their kind. The numbered keys are written once, a folder per kind."""
@@ -149,19 +156,20 @@ class StackedKeys:
 
 
 def attach_ids(rows: DataFrame, key_table: DataFrame, key_cols: Sequence[str], id_col: str,
-               null_safe: bool = True) -> DataFrame:
-    """Left lookup of ids by key (J2 J3); unknown keys get a null id."""
+               null_safe: bool = True, null_key: Optional[Callable[[str], Column]] = None) -> DataFrame:
+    """Left lookup of ids by key (J2 J3); unknown keys get a null id. ``null_key(prefix)`` tells which keys
+    count as null ones (default: those with any null)."""
     key_cols = list(key_cols)
     kt = key_table.select(*[F.col(c).alias(f"_k_{c}") for c in key_cols], F.col(id_col))
     if not null_safe:
         cond = reduce(lambda a, b: a & b, [rows[c] == kt[f"_k_{c}"] for c in key_cols])
         return rows.join(kt, cond, "left").drop(*[f"_k_{c}" for c in key_cols])
     # rows with a null in their key are dealt over NULL_SALTS join keys instead of one
-    def has_null(names):
-        return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])
+    def has_null(prefix: str) -> Column:
+        return null_key(prefix) if null_key else reduce(lambda a, b: a | b, [F.col(prefix + c).isNull() for c in key_cols])
 
-    left = rows.withColumn(_SALT, F.when(has_null(key_cols), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SALTS))).otherwise(F.lit(0)).cast("int"))
-    salts = F.when(has_null([f"_k_{c}" for c in key_cols]), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.withColumn(_SALT, F.when(has_null(""), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(has_null("_k_"), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))
     kt = kt.withColumn(f"_k{_SALT}", F.explode(salts))
     cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(kt[f"_k_{c}"]) for c in key_cols], left[_SALT] == kt[f"_k{_SALT}"])
     return left.join(kt, cond, "left").drop(*[f"_k_{c}" for c in key_cols], _SALT, f"_k{_SALT}")

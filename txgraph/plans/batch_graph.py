@@ -29,6 +29,8 @@ from txgraph.operators.validity import key_rules
 from txgraph.session import scratch_path
 
 DATETIME = "DATETIME"
+LOOKUP_ROWS = 200_000  # id tables of more rows are looked up through narrow rows
+_ROW = "_txg_row"
 
 
 def id_col(ntype: str) -> str:
@@ -125,10 +127,10 @@ def build_graph(
     g = HeteroGraph(definition=definition, split=split)
     with releasing():
         base = pin(base) if materialise_as == "persist" else materialise(base, materialise_as)
-        g.key_tables = key_tables(base, definition, cust_col)
+        g.key_tables, sizes = numbered_keys(base, definition, cust_col)
         # rows with all node ids: written once to the shared folder, so every node table,
         # edge list and count below starts from a flat scan instead of the id-assignment lineage
-        base = materialise(attach_all_ids(base, definition, g.key_tables), materialise_ids_as)
+        base = materialise(attach_all_ids(base, definition, g.key_tables, sizes), materialise_ids_as)
     g.base = base
     order_cols = [timestamp_col, *tie_cols]
     for ntype in definition.primary_types:
@@ -149,8 +151,14 @@ def build_graph(
 
 def key_tables(base: DataFrame, definition: GraphDefinition, cust_col: Optional[str] = None,
                types: Optional[Sequence[str]] = None) -> dict:
-    """ntype -> (keys..., node_id). The keys of all types are counted, checked by their rules and numbered
-    in one pass; the id tables are written to the shared folder."""
+    """ntype -> (keys..., node_id)."""
+    return numbered_keys(base, definition, cust_col, types)[0]
+
+
+def numbered_keys(base: DataFrame, definition: GraphDefinition, cust_col: Optional[str] = None,
+                  types: Optional[Sequence[str]] = None) -> tuple[dict, dict]:
+    """(ntype -> (keys..., node_id), ntype -> how many). The keys of all types are counted, checked by their
+    rules and numbered in one pass; the id tables are written to the shared folder."""
     types = list(types or definition.nodes)
     nodes = {t: definition.nodes[t] for t in types}
     by_customer = [t for t in types if nodes[t].validity.needs_unique_customers]
@@ -163,15 +171,40 @@ def key_tables(base: DataFrame, definition: GraphDefinition, cust_col: Optional[
         aggs.append((F.countDistinct(F.when(asks, F.col("_extra0"))) + F.max(F.when(asks & F.col("_extra0").isNull(), 1).otherwise(0))).alias("_n_cust"))
     stats = stacked.rows.groupBy(*stacked.names).agg(*aggs)
     rules = [(F.col("kind") == t) & all_true(key_rules(stacked.columns[t], nodes[t].validity)) for t in types]
-    ids, _ = stacked.number(stats.where(reduce(lambda a, b: a | b, rules)))
-    return {t: ids[t].toDF(*nodes[t].keys, "node_id") for t in types}
-
-
-def attach_all_ids(base: DataFrame, definition: GraphDefinition, tables: dict) -> DataFrame:
-    out = base
+    ids, sizes = stacked.number(stats.where(reduce(lambda a, b: a | b, rules)))
+    return {t: ids[t].toDF(*nodes[t].keys, "node_id") for t in types}, sizes
+
+
+def attach_all_ids(base: DataFrame, definition: GraphDefinition, tables: dict, sizes: Optional[dict] = None,
+                   lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """The rows with the ids of all types (J2). Types with small id tables are looked up one after the other,
+    which Spark does without moving rows; if ``sizes`` tells of two or more larger ones, these are looked up
+    together through narrow rows, and the wide rows move once instead of once a type."""
+    large = [t for t in tables if sizes and sizes[t] > lookup_rows]
+    large = large if len(large) > 1 else []
+    out = _attach_narrow(base, definition, {t: tables[t] for t in large}) if large else base
     for t, kt in tables.items():
-        out = attach_ids(out, kt.withColumnRenamed("node_id", id_col(t)), list(definition.nodes[t].keys), id_col(t))
-    return out
+        if t not in large:
+            out = attach_ids(out, kt.withColumnRenamed("node_id", id_col(t)), list(definition.nodes[t].keys), id_col(t))
+    return out.select(*base.columns, *[id_col(t) for t in tables])
+
+
+def _attach_narrow(base: DataFrame, definition: GraphDefinition, tables: dict) -> DataFrame:
+    """Ids of the types through rows of (row number, type, key): one join with all id tables, one groupBy on
+    the row number, one join with the rows. The numbered rows are written first, so a row keeps its
+    number when tasks are run again. Null keys that a type's rules refuse never enter the join."""
+    rows = materialise(base.withColumn(_ROW, F.monotonically_increasing_id()), "checkpoint")
+    stacked = StackedKeys(rows, {t: list(definition.nodes[t].keys) for t in tables}, [F.col(_ROW).alias("_extra0")])
+    refused = F.col("kind").isin([t for t in tables if definition.nodes[t].validity.all_not_null])
+    ids = None
+    for t, kt in tables.items():
+        at = dict(zip(stacked.columns[t], definition.nodes[t].keys))
+        one = kt.select(F.lit(t).alias("kind"), *[(F.col(at[n]) if n in at else F.lit(None)).cast(kind).alias(n) for (_, kind), n in stacked.slots.items()],
+                        F.col("node_id").alias("_id"))
+        ids = one if ids is None else ids.unionByName(one)
+    found = attach_ids(stacked.rows.where(~(refused & stacked.has_null())), ids, stacked.names, "_id", null_key=stacked.has_null).where("_id IS NOT NULL")
+    per_row = found.groupBy(F.col("_extra0").alias(_ROW)).agg(*[F.max(F.when(F.col("kind") == t, F.col("_id"))).alias(id_col(t)) for t in tables])
+    return rows.join(per_row, _ROW, "left").drop(_ROW)
 
 
 def mono_single_valued(base: DataFrame, definition: GraphDefinition) -> dict:

@@ -28,7 +28,7 @@ from txgraph.operators.sampling import sample_neighbors
 from txgraph.operators.splits import (SplitSettings, add_split_codes, apply_filters, batch_count, date_window_filter,
                                       positional_split, resolve_split, row_batches, split_summary, split_view, tag_inference)
 from txgraph.operators.validity import node_key_table
-from txgraph.plans.batch_graph import (attach_all_ids, base_columns, build_edges, build_graph, data_checks, graph_catalogue, id_col, key_tables,
+from txgraph.plans.batch_graph import (attach_all_ids, base_columns, build_edges, build_graph, data_checks, graph_catalogue, id_col, numbered_keys,
                                       materialise, mono_single_valued, node_summary, prepare_base)
 from txgraph.plans.dynamic_graph import DynamicGraph, TabularTable
 from txgraph.plans.prequential import prequential_score, prequential_scores
@@ -58,7 +58,7 @@ def _tx_base(spark, sf, definition: GraphDefinition, types, cust_col=None) -> Da
 def _with_ids(spark, sf, definition: GraphDefinition, types) -> DataFrame:
     with releasing():
         base = pin(_tx_base(spark, sf, definition, types))
-        return materialise(attach_all_ids(base, definition, key_tables(base, definition, types=types)), "checkpoint")
+        return materialise(attach_all_ids(base, definition, *numbered_keys(base, definition, types=types)), "checkpoint")
 
 
 def _events_table(spark, sf) -> DataFrame:
