@@ -9,9 +9,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import Iterator, Optional
 
 from pyspark.sql import SparkSession
 
+_written: ContextVar[Optional[list]] = ContextVar("written", default=None)
+
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "txgraph") -> SparkSession:
     """Session for tests and the bench: UTC, AQE on, UI off."""
@@ -54,7 +59,39 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared scratch folder."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _written.get() is not None:
+        _written.get().append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a table of the scratch folder; a path outside it is an error."""
+    if not path.startswith(scratch_dir(spark) + "/"):
+        raise ValueError(f"{path} is not in the scratch folder")
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list]:
+    """The scratch tables of the block are removed at its end: for callers that write their results before
+    it ends. Yields the list of their paths; one taken off the list stays. If the block fails, all stay."""
+    outer = _written.get()
+    paths: list = []
+    token = _written.set(paths)
+    try:
+        yield paths
+    except BaseException:
+        if outer is not None:
+            outer.extend(paths)
+        raise
+    else:
+        for p in paths:
+            remove_scratch(spark, p)
+    finally:
+        _written.reset(token)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
