@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -376,6 +377,76 @@ def test_every_license_is_told_from_the_others(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def _common_words(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def _found(text, known=None):
+    """(license, covered) of one text, in order of their places."""
+    known = known or licenses.Templates(licenses.known_templates(), licenses.COVERAGE)
+    h, _ = licenses.lower_words(*licenses._one(text))
+    return [(known.names[k], n) for k, n, _, _ in known.best(h, list(range(len(known.words))))]
+
+
+def test_license_coverage_against_the_longest_common_subsequence(spark):
+    """Words dropped, and foreign ones put in at any spread: as many are aligned as can be, but for words that a
+    template repeats, and a license is named if and only if enough are left."""
+    rng = random.Random(12)
+    names = ["MIT", "BSD-3-Clause", "Apache-2.0", "Zlib", "GPL-2.0-or-later", "CC0-1.0 text"]
+    all_ = licenses.known_templates()
+    for trial in range(48):
+        name = names[trial % len(names)]
+        known = licenses.Templates({name: all_[name]}, licenses.COVERAGE)
+        own = re.findall(r"[0-9a-z]+", all_[name].lower())
+        kept = [w for w in own if rng.random() > trial % 4 * 0.06]
+        most = rng.choice([0, 1, 5, 40]) if len(own) < 200 else rng.choice([0, 2])
+        text = [x for w in kept for x in [w] + [f"q{rng.randint(0, 99)}" for _ in range(rng.randint(0, most))]]
+        text = [f"z{k}" for k in range(rng.randint(0, 300))] + text
+        most = _common_words(text, own)
+        got = _found(" ".join(text), known)
+        if most >= known.need[0] + 0.03 * len(own):
+            assert len(got) == 1 and 0.97 * most <= got[0][1] <= most, (name, most, got)
+        elif most < known.need[0]:
+            assert got == []
+        if most == len(own):
+            assert got == [(name, len(own))]
+
+
+def test_licenses_at_any_spread_and_many_times():
+    mit = licenses.TEMPLATES["MIT"].split()
+    assert _found(" ".join(w + " xx yy zz" for w in mit)) == [("MIT", 87)]
+    assert _found("pre " * 43 + " ".join(w + " xx yy" for w in mit)) == [("MIT", 87)]
+    assert _found(" ".join(w + " of the software" * 9 for w in mit))[0][0] == "MIT"  # spread by words of its own
+    edited = " ".join(w for i, w in enumerate(mit) if i % 9)
+    for times in (1, 7, 200):
+        got = _found((edited + " ") * times)  # without words between them, a copy may give words to its neighbours
+        assert [n for n, _ in got] == ["MIT"] * times and min(c for _, c in got) >= 70 and 77 in [c for _, c in got]
+        assert [n for n, _ in _found((edited + " foreign words " + " ".join(mit) + " ") * times)] == ["MIT"] * (2 * times)
+    rng = random.Random(1)
+    copies = [[w for w in mit if rng.random() > 0.1] + ["lorem"] * rng.randint(0, 40) for _ in range(300)]
+    assert len(_found(" ".join(w for c in copies for w in c))) >= 290
+    t = time.time()
+    assert len(_found((licenses.TEMPLATES["MIT line"] + " ") * 100_000)) == 100_000
+    assert time.time() - t < 30
+    assert _found("Released under some words " * 3 + "in between that are many more than three times the MIT License") == []
+
+
+def test_whole_license_texts(spark):
+    texts = {n: t for n, t in licenses.known_templates().items() if n.endswith(" text")}
+    assert len(texts) == 8
+    rows = [(n, "Copyright 2020 somebody. " * 5 + t.replace("\n", "\n// ") + " int main() {}" * 50) for n, t in texts.items()]
+    rows += [(n + " cut", " ".join(t.split()[len(t.split()) // 10 :])) for n, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.license_summary(licenses.license_matches(df)).collect()}
+    assert got == {n: n.removesuffix(" cut") for n, _ in rows}
+
+
 def test_joins_with_marks_in_any_order_equal_the_library():
     """Marks out of canonical order, jamo and lone marks at every distance from a cut."""
     tok = bpe.load(public_tokenizers.path(bpe.MODEL))

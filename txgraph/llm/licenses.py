@@ -5,12 +5,17 @@ subsequence of their places is kept, and the gaps between kept anchors are align
 (words that repeat in the whole become unique in a gap). A gap without anchors is split at its
 longest common run of words. Coverage is the share of the template's words that are aligned.
 
-A document is aligned in overlapping stretches of three template lengths, and only where the words
-present could reach the needed coverage (an exact upper bound, computed for all documents).
-
-Defined results: null or empty text has no words and no match; a template shorter than ``SHORT``
-words must be covered whole, others by ``coverage``; overlapping matches of one template keep the
-one covering most, then the first; of matches of different templates that align the same words, the
+Only words that the template has can be aligned, so the others are left out first, however many they are. What is left is
+aligned step by step, each over the words the steps before it left free: verbatim runs of the whole
+template, then overlapping stretches of 3, 12 and 48 template lengths until they show no more, and only where the words
+present could reach the needed coverage (an exact upper bound with their counts, computed for all documents).
+Known are short notices (``TEMPLATES``) and whole license texts (the files of ``license_texts``, named "... text").
+
+Defined results: null or empty text has no words and no match; a very long text is aligned whole, stretch by stretch; a template
+shorter than ``SHORT`` words must be covered whole within three template lengths of text (scattered common words
+name no license), others by ``coverage`` with any number of foreign words between, the aligned ones within 48
+template lengths of words that the template has; matches of one template share no aligned words, of
+those that overlap in one step the one covering most stays, then the first; of matches of different templates that align the same words, the
 one aligned best in both directions stays (aligned words times their shares of template and span,
 then the first template), another one only if at most half of its words are aligned by it, or if it is
 found again over the words that are left; repeated rows give repeated results; a null id is kept; extra
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,9 @@ from txgraph.llm.common import id_type, ids_and_texts, map_texts
 
 COVERAGE = 0.8
 SHORT = 20
+WIDTHS = (3, 12, 48)  # template lengths of a stretch, step by step
+MEMO_BYTES = 8 << 20  # alignments of equal stretches are kept up to this size
+TEXTS = Path(__file__).parent / "license_texts"
 
 # Wording of public license notices.
 TEMPLATES = {
@@ -119,6 +128,11 @@ TEMPLATES = {
 }
 
 
+def known_templates() -> dict[str, str]:
+    """The notices and the whole texts by name; read on the driver, sent to the tasks with the function."""
+    return TEMPLATES | {f"{p.stem} text": p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+
+
 def _increasing(places: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence (patience piles)."""
     tops: list[int] = []
@@ -191,40 +205,102 @@ class Templates:
         for k, t in enumerate(self.words):
             np.add.at(self.share[:, k], np.searchsorted(self.vocabulary, np.array(t, np.uint64)), 1)
         self.need = [len(t) if len(t) < SHORT else int(np.ceil(coverage * len(t))) for t in self.words]
+        self.memo: dict[tuple[int, bytes], list[int]] = {}
+        self.memo_bytes = 0
 
-    def could(self, doc: np.ndarray, word: np.ndarray, n_docs: int) -> np.ndarray:
+    def could(self, bounds: np.ndarray, doc: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Flags (document, template): the template words present suffice for the coverage."""
-        pair = np.unique(doc * len(self.vocabulary) + word)
+        n_docs = len(bounds) - 1
+        pair, count = np.unique(doc * len(self.vocabulary) + word, return_counts=True)
         have = np.zeros((n_docs, len(self.words)), dtype=np.int64)
-        np.add.at(have, pair // len(self.vocabulary), self.share[pair % len(self.vocabulary)])
+        if len(pair):
+            of = pair // len(self.vocabulary)
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            for k in range(len(self.words)):
+                have[of[first], k] = np.add.reduceat(np.minimum(count, self.share[pair % len(self.vocabulary), k]), first)
         return have >= np.array(self.need)
 
+    def _aligned(self, k: int, words: np.ndarray) -> list[int]:
+        """Places of ``words`` that align with template k; equal stretches are aligned once."""
+        key = (k, words.tobytes())
+        got = self.memo.get(key)
+        if got is None:
+            got = self.memo[key] = [i for i, _ in patience_align(words.tolist(), self.words[k])]
+            self.memo_bytes += len(key[1]) + 64 * len(got)
+            if self.memo_bytes > MEMO_BYTES:
+                self.memo, self.memo_bytes = {}, 0
+        return got
+
+    def _verbatim(self, words: np.ndarray, k: int) -> list[int]:
+        """First places of the whole template in ``words``, not overlapping."""
+        t = self.words[k]
+        at = np.flatnonzero(words[: max(len(words) - len(t) + 1, 0)] == np.uint64(t[0]))
+        for d, w in enumerate(t):
+            if not len(at):
+                break
+            at = at[words[at + d] == np.uint64(w)]
+        out: list[int] = []
+        for a in at.tolist():
+            if not out or a >= out[-1] + len(t):
+                out.append(a)
+        return out
+
+    def _in_stretches(self, words: np.ndarray, at: np.ndarray, k: int, width: int) -> list[tuple[int, ...]]:
+        """Places of the aligned words of each match in stretches of ``width`` template lengths, not overlapping
+        (``at``: the words' places in the vocabulary, -1 for words that the template has not)."""
+        n, need, share = len(self.words[k]), self.need[k], self.share[:, k]
+
+        def bound(a: int, b: int) -> int:
+            word, count = np.unique(at[a:b][at[a:b] >= 0], return_counts=True)
+            return int(np.minimum(count, share[word]).sum())
+
+        found = set()
+        step = n * width // 3
+        if bound(0, len(at)) < need:
+            return []
+        for s in np.unique(np.flatnonzero(at >= 0) // step).tolist():
+            a, b = s * step, s * step + n * width  # holds any match of two thirds of the width that starts in the step
+            if bound(a, b) < need:
+                continue
+            best = [a + i for i in self._aligned(k, words[a:b])]
+            if len(best) < need:
+                continue
+            p, q = best[0], best[-1] + 1
+            # words of neighbouring copies may be aligned: of a wide span, the part that aligns best alone stays
+            for x in range(max(a, p - n // 4), q, max(n // 4, 1)) if q - p > n else ():
+                near = [x + i for i in self._aligned(k, words[x : x + n + n // 4])]
+                if len(near) >= need and len(near) ** 2 * (best[-1] + 1 - best[0]) > len(best) ** 2 * (near[-1] + 1 - near[0]):
+                    best = near
+            found.add(tuple(best))
+        starts: list[int] = []
+        kept: list[tuple[int, ...]] = []
+        for m in sorted(found, key=lambda m: (-len(m), m[0], m[-1])):
+            i = bisect_left(starts, m[-1] + 1)
+            if not i or kept[i - 1][-1] < m[0]:
+                starts.insert(i, m[0])
+                kept.insert(i, m)
+        return kept
+
     def find(self, h: np.ndarray, k: int) -> list[tuple[int, int, int, tuple[int, ...]]]:
-        """(aligned words, first word, end word, places of the aligned words) of the matches of template k, not overlapping."""
-        t, n = self.words[k], len(self.words[k])
+        """(aligned words, first word, end word, places of the aligned words) of the matches of template k."""
+        n = len(self.words[k])
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        mine = (self.vocabulary[at] == h) & (self.share[at, k] > 0)
-        place = np.flatnonzero(mine)
-        found = []
-        for s in np.unique(place // n):
-            a, b = int(s) * n, (int(s) + 3) * n  # holds any match of two lengths that starts in stretch s
-            inside = at[place[np.searchsorted(place, a) : np.searchsorted(place, b)]]
-            if self.share[np.unique(inside), k].sum() < self.need[k]:
-                continue
-            pairs = patience_align(h[a:b].tolist(), t)
-            if len(pairs) >= self.need[k]:
-                p, q = a + pairs[0][0], a + pairs[-1][0] + 1
-                best = [a + i for i, _ in pairs]
-                # words of a neighbouring copy may be aligned: the ends of a wide span are aligned alone
-                for x, y in ((q - n, q), (q - n - n // 4, q), (p, p + n), (p, p + n + n // 4)) if q - p > n else ():
-                    near = [x + i for i, _ in patience_align(h[x:y].tolist(), t)] if p <= x and y <= q else []
-                    if len(near) >= len(best) and near[-1] - near[0] < best[-1] - best[0]:
-                        best = near
-                found.append((len(best), best[0], best[-1] + 1, tuple(best)))
-        out: list[tuple[int, int, int, tuple[int, ...]]] = []
-        for m in sorted(set(found), key=lambda m: (-m[0], m[1], m[2])):
-            if all(m[2] <= o[1] or m[1] >= o[2] for o in out):
-                out.append(m)
+        at = np.where((self.vocabulary[at] == h) & (self.share[at, k] > 0), at, -1)
+        place = np.arange(len(h)) if n < SHORT else np.flatnonzero(at >= 0)  # short ones are measured in all words
+        out = []
+
+        def take(matches: list) -> np.ndarray:
+            free = np.ones(len(place), dtype=bool)
+            for m in matches:
+                free[m[0] : m[-1] + 1] = False
+                places = tuple(place[list(m)].tolist())
+                out.append((len(m), places[0], places[-1] + 1, places))
+            return place[free]
+
+        place = take([range(a, a + n) for a in self._verbatim(h[place], k)])
+        for width in WIDTHS[:1] if n < SHORT else WIDTHS:
+            while matches := self._in_stretches(h[place], at[place], k, width):  # again, as a stretch shows one match
+                place = take(matches)
         return sorted(out, key=lambda m: m[1])
 
     def best(self, h: np.ndarray, ks: list[int]) -> list[tuple[int, int, int, int]]:
@@ -262,7 +338,7 @@ def lower_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, matches (license, covered words, coverage, first word, words)."""
     src = ids_and_texts(docs, id_col, text_col)
-    given = templates or TEMPLATES
+    given = templates or known_templates()
     inner = pa.list_(pa.struct([("license", pa.string()), ("covered", pa.int64()), ("coverage", pa.float64()), ("start", pa.int64()), ("words", pa.int64())]))
 
     def make():
@@ -275,7 +351,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
             at = np.minimum(np.searchsorted(known.vocabulary, h), len(known.vocabulary) - 1)
             hit = known.vocabulary[at] == h
             matches: list[list] = [[] for _ in range(n)]
-            could = known.could(doc[hit], at[hit], n)
+            could = known.could(bounds, doc[hit], at[hit])
             for d in np.flatnonzero(could.any(axis=1)).tolist():
                 for k, got, a, b in known.best(h[bounds[d] : bounds[d + 1]], np.flatnonzero(could[d]).tolist()):
                     matches[d].append({"license": known.names[k], "covered": got, "coverage": got / len(known.words[k]), "start": a, "words": b - a})
