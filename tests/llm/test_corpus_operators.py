@@ -284,6 +284,37 @@ def test_discriminant_equals_the_density_formula():
     assert np.allclose(m.score(x), want)
 
 
+def test_text_ids_in_near_duplicates(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near = base.replace("w59", "other")
+    rows = [("b", base), ("a-10", near), ("a-9", "quite different words here"), (None, base), ("", ""), ("B", base + " x"), ("a-9", "quite different words here"), ("c", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("number", K_lit(7)).withColumn("component", K_lit(1))
+    got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(df).collect())
+    assert got == [("", "", True), ("B", "B", True), ("None", None, True), ("a-10", "B", False), ("a-9", "a-9", True), ("a-9", "a-9", True), ("b", "B", False), ("c", "c", True)]
+    left = near_duplicates.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == [("", ""), ("B", base + " x"), ("None", base), ("a-9", "quite different words here"), ("c", None)]
+    assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_id_and_text_are_dropped_once(spark):
+    rows = [(1, "one two three"), (1, "one two three"), (1, "four five six"), (1, None), (1, None), (2, "seven"), (None, "x"), (None, "x"), (3, "seven")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, near_duplicates.drop_near_duplicates(df).collect()))
+    want = [(1, "four five six"), (1, None), (1, "one two three"), (2, "seven"), (None, "x"), (None, "x")]
+    assert got == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
+
+
+def test_warc_ids_of_any_text(spark):
+    html = "<html>" + "same page " * 20 + "</html>"
+    ids = ["x>", "", None, "a b", "ü 好\r\nWARC-Type: x", "%41", "<urn:page:1>", "-5", "plain"]
+    df = spark.createDataFrame([(i, f"http://h/{k}", html + (str(k) if k > 3 else "")) for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r["page_id"]: r for r in warc.warc_round_trip(df).collect()}
+    assert got.keys() == set(ids) and len(got) == len(ids)
+    assert [got[i]["refers_to"] for i in ids[:4]] == ["", None, "", ""] and got[""]["record_type"] == "response"
+    assert all(got[i]["record_type"] == "response" for i in ids[4:])
+
+
 def test_pipeline_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}

@@ -22,7 +22,8 @@ within the threshold meets in a bucket. Pairs met are compared over all symbols.
 Defined results: null or empty text, or one without words, has no shingles and is its own
 component; rows that repeat an id and text share a component; a null id is linked with nothing
 (component null, kept); rows of one id with different texts are judged by their texts; extra
-columns are ignored; no rows, no result rows.
+columns are ignored; no rows, no result rows. Ids may be of any type that has an order; the smallest id
+is the smallest in that order (text by UTF-8 bytes).
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from txgraph.llm import textkernel as K
 from txgraph.llm.common import ids_and_texts, map_texts, written
+from txgraph.operators.ids import attach_ids, dense_ids, releasing
 
 WORDS = 5
 SIMILARITY = 80
@@ -327,6 +330,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     if similarity < SIMILARITY:
         raise ValueError(f"similarity {similarity}: signature distance and buckets find links from {SIMILARITY} percent on only")
     src = ids_and_texts(docs, id_col, text_col)
+    if not isinstance(src.schema["doc_id"].dataType, IntegralType):
+        return _by_numbers(src, words, similarity, distance, block)
     src = src.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = written(sketches(src, words), "near-sketches")
     classes = written(known.where("hi IS NOT NULL AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "near-classes")
@@ -344,10 +349,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _by_numbers(src: DataFrame, words: int, similarity: int, distance: int, block: int) -> DataFrame:
+    """Ids that are not whole numbers are numbered in their order, so the smallest id has the smallest number."""
+    with releasing():
+        numbers = written(dense_ids(src.where("doc_id IS NOT NULL"), ["doc_id"], "number"), "near-numbers")
+    rows = attach_ids(src, numbers, ["doc_id"], "number").select("number", "text")
+    found = near_duplicates(written(rows, "near-numbered"), words, similarity, distance, block, id_col="number")
+    found = found.toDF("number", "n_shingles", "component", "kept")
+    for number, name in (("number", "doc_id"), ("component", "component_id")):
+        found = attach_ids(found, numbers.select(F.col("number").alias(number), F.col("doc_id").alias(name)), [number], name)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group stays: the rows of the smallest id, without rows that repeat its
-    id and text; columns are unchanged. Rows with a null id stay."""
+    id and text; columns are unchanged. Rows with a null id stay. Only rows of ids that several rows have are moved
+    to find repeated ones."""
     gone = written(near_duplicates(docs, words, similarity, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "near-gone")
-    kept = docs.join(gone, id_col, "left_anti")
-    null = F.col(id_col).isNull()
-    return kept.where(~null).dropDuplicates([id_col, text_col]).unionByName(kept.where(null)).select(*docs.columns)
+    twice = written(docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNotNull() & (F.col("n") > 1)).select(id_col), "near-twice")
+    kept = docs.join(gone, id_col, "left_anti")  # a null id matches none
+    once = kept.join(twice, id_col, "left_anti")
+    more = kept.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return once.unionByName(more).select(*docs.columns)

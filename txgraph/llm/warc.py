@@ -13,7 +13,8 @@ starts inside it; pages of text cannot.)
 
 Defined results: a null payload counts as empty; equal payloads of at least ``MIN_REVISIT`` bytes
 become revisits of the one with the smallest id (rows that repeat that id are responses too); a
-null id counts as larger than any, is read back as null, and alone among its equals is a response;
+null id counts as larger than any, is read back as null, and alone among its equals is a response; an id of
+any text, the empty one too, is percent-encoded in its record and read back as it was;
 control characters in a URL are percent-encoded, a null URL is left out; extra columns are ignored;
 no pages, no records.
 """
@@ -23,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,7 @@ LEVEL = 5
 _READ = 256 << 10
 _MAGIC = b"\x1f\x8b\x08"
 _ID = "urn:page:"
+_NO_ID = "urn:no-page"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string"
 
@@ -48,16 +50,28 @@ def _member(record: bytes, level: int = LEVEL) -> bytes:
     return deflate.compress(record) + deflate.flush()
 
 
+def _urn(page_id: str | None) -> str:
+    return _NO_ID if page_id is None else _ID + quote(page_id, safe="")
+
+
+def _page_id(urn: str | None) -> str | None:
+    """The id of a record of ours; other archives' record ids as they stand."""
+    if urn is None:
+        return None
+    urn = urn.removeprefix("<").removesuffix(">")
+    return None if urn == _NO_ID else unquote(urn.removeprefix(_ID)) if urn.startswith(_ID) else urn
+
+
 def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP header of the full payload and no body."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_urn(page_id)}>", f"WARC-Date: {date}"]
     if url is not None:
         safe = "".join(quote(c) if ord(c) < 0x21 or ord(c) == 0x7F else c for c in url)
         head.append(f"WARC-Target-URI: {safe}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{_ID}{refers_to}>", f"WARC-Profile: {_PROFILE}"]
+        head += [f"WARC-Refers-To: <{_urn(refers_to)}>", f"WARC-Profile: {_PROFILE}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -167,8 +181,7 @@ def parse_record(raw: bytes) -> dict:
         size, digest = int(http_fields["content-length"]), fields["warc-payload-digest"].partition(":")[2]
     else:
         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-    bare = lambda x: None if x is None else x.strip("<>").removeprefix(_ID)
-    return {"record_id": bare(fields["warc-record-id"]) or None, "record_type": kind, "target_uri": fields.get("warc-target-uri"), "refers_to": bare(fields.get("warc-refers-to")),
+    return {"record_id": _page_id(fields["warc-record-id"]), "record_type": kind, "target_uri": fields.get("warc-target-uri"), "refers_to": _page_id(fields.get("warc-refers-to")),
             "payload_bytes": size, "payload_digest": digest, "payload": payload}
 
 
