@@ -46,8 +46,10 @@ def mutated(rng, words, share):
     return [rng.choice("pqrstuvwxyz") + str(rng.randint(0, 999)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("k,block", [(4, 2048), (5, 7)])
-def test_near_duplicates_against_brute_force(spark, k, block):
+@pytest.mark.parametrize("k,block,hub,hot", [(4, 2048, 512, 65536), (5, 7, 3, 1)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, k, block, hub, hot):
+    monkeypatch.setattr(near_duplicates, "HUB_BLOCK", hub)
+    monkeypatch.setattr(near_duplicates, "HOT_CLASS", hot)
     rng = random.Random(k)
     texts = [None, "", "  ", "one two", "One TWO", "one two three four five six", "Ünï ç d e f g", "Ünï ç d e f g"]
     for _ in range(12):
@@ -84,6 +86,24 @@ def K_lit(v):
     return F.lit(v)
 
 
+def test_pairs_confirmed_by_blocks_of_a_hub(spark, monkeypatch):
+    """Every pair is judged once whatever the block size; an id of several texts by any of them."""
+    monkeypatch.setattr(near_duplicates, "HUB_BLOCK", 4)
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(100)]
+    texts = [(i, " ".join(mutated(rng, base, rng.choice([0.0, 0.01, 0.02, 0.04])))) for i in range(40)]
+    texts += [(7, "an other text of the same id"), (50, "an other text of the same id"), (50, " ".join(base)), (51, "an other text of the same id")]
+    pairs = [(0, i) for i in range(1, 40)] + [(i, 39) for i in range(1, 39)] + [(7, 50), (7, 51), (50, 51)]
+    sets: dict[int, list] = {}
+    for i, t in texts:
+        sets.setdefault(i, []).append(shingles(t, 5))
+    want = {(a, b) for a, b in pairs if any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b])}
+    docs = spark.createDataFrame(texts + texts[:3], "doc_id long, text string")
+    got = near_duplicates._confirmed(spark.createDataFrame(pairs, "a long, b long"), docs, 5, 80).collect()
+    assert 0 < len(want) < len(pairs)
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
+
+
 def test_components_of_chains(spark):
     n = 200
     rng = random.Random(1)

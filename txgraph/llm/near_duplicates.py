@@ -49,6 +49,8 @@ INDEX_DISTANCE = 2 * CHUNKS - 2  # at most one error in some chunk
 DISTANCE = 86
 BLOCK = 2048
 SMALL = 512
+HUB_BLOCK = 512  # pairs of one hub confirmed together
+HOT_CLASS = 65536  # copies of one text that take their class from one row
 _SIZE = INDEXED // CHUNKS
 _KEEP = [[j for j in range(_SIZE) if j != out] for out in range(_SIZE)]
 _rng = np.random.default_rng(17)
@@ -165,30 +167,63 @@ def _within(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity; texts are read again only for their ends."""
+    """The pairs whose full sets reach the similarity; texts are read again only for their ends.
+
+    The end of a pair that is in more pairs is its hub: pairs are dealt to blocks of about ``HUB_BLOCK`` members
+    of one hub, so a member's set moves once a pair and a hub's set once a block. Ids of several sets are
+    confirmed by any of them, each set being an end (and a hub) of its own."""
     pairs = written(pairs, "near-pairs")
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-nodes")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree")), "near-nodes")
 
     def make():
         def f(rows, data, offs):
             sets, bounds = shingle_sets(data, offs, words)
-            return [rows.column(0), pa.array([np.sort(sets[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
+            own = [np.sort(sets[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            return [rows.column(0), rows.column(2), pa.array([x.tobytes() for x in own], pa.binary())]
 
         return f
 
-    sets = written(map_texts(docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text"), "node long, set binary", make).distinct(), "near-sets")
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    found = map_texts(docs.join(nodes, "doc_id").select("doc_id", "text", "degree"), "node long, degree long, set binary", make).distinct()
+    sets = written(found.withColumn("code", F.xxhash64("set")), "near-sets")
+    end = lambda side: sets.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", "degree", "code")))
+    ends = pairs.join(end("a"), F.col("a") == F.col("node_a")).join(end("b"), F.col("b") == F.col("node_b"))
+    by_a = F.col("degree_a") >= F.col("degree_b")
+    either = lambda c, yes, no: F.when(by_a, F.col(f"{c}_{yes}")).otherwise(F.col(f"{c}_{no}"))
+    blocks = F.ceil(F.greatest("degree_a", "degree_b") / HUB_BLOCK).cast("int")
+    dealt = ends.select(either("node", "a", "b").alias("hub"), either("code", "a", "b").alias("hub_code"), either("node", "b", "a").alias("member"), either("code", "b", "a").alias("code"), blocks.alias("blocks"))
+    dealt = written(dealt.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).drop("blocks"), "near-dealt")
+    hubs = dealt.select("hub", "hub_code", "block").distinct()
+    hub_rows = hubs.join(sets.select(F.col("node").alias("hub"), F.col("code").alias("hub_code"), "set"), ["hub", "hub_code"]).select("hub", "hub_code", "block", F.lit(None).cast("long").alias("member"), "set")
+    member_rows = dealt.join(sets.select(F.col("node").alias("member"), "code", "set"), ["member", "code"]).select("hub", "hub_code", "block", "member", "set")
+    rows = hub_rows.unionByName(member_rows).repartition("hub", "hub_code", "block").sortWithinPartitions("hub", "hub_code", "block", F.col("member").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, against = None, []  # sets of one hub: one, unless two have the same code
         for batch in batches:
-            yes = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= similarity * max(len(x), len(y)) else 0
-                yes.append(both > 0 and 100 * both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(yes, pa.bool_())) for k in (0, 1)], names=["a", "b"])
-
-    return written(both.mapInArrow(run, "a long, b long").distinct(), "near-links")
+            hubs, codes, blocks, members = (batch.column(k).to_pylist() for k in range(4))
+            a, b = [], []
+            for i, (hub, member) in enumerate(zip(hubs, members)):
+                x = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
+                if member is None:
+                    if key != (hub, codes[i], blocks[i]):
+                        key, against = (hub, codes[i], blocks[i]), []
+                    against.append(x.copy())  # outlives its batch
+                elif any(linked(x, y, similarity) for y in against):
+                    a.append(min(hub, member))
+                    b.append(max(hub, member))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return written(rows.mapInArrow(run, "a long, b long").distinct(), "near-links")
+
+
+def linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets reach the similarity; the shorter one is looked up in the longer."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or len(x) * 100 < similarity * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= similarity * (len(x) + len(y) - both)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -334,7 +369,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
         return _by_numbers(src, words, similarity, distance, block)
     src = src.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = written(sketches(src, words), "near-sketches")
-    classes = written(known.where("hi IS NOT NULL AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "near-classes")
+    classes = written(known.where("hi IS NOT NULL AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count("*").alias("n")), "near-classes")
     keys = _bucket_rows(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     buckets = written(keys.join(shared.select("key", "lo", "hi"), "key"), "near-buckets")
@@ -342,10 +377,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     for nearest in (True, True, False):
         more = _confirmed(_residual_pairs(buckets.select("key", "node"), classes, labels, src, words, similarity, distance, block, nearest), src, words, similarity)
         labels = _with_links(labels, more)
-    first = classes.select("hi", "lo", "node").join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    empty = F.col("hi").isNull() | F.col("doc_id").isNull()
-    out = known.select("doc_id", "n_shingles", "hi", "lo").join(written(first, "near-components"), ["hi", "lo"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    # a class of very many copies is dealt over several keys; there are at most rows / HOT_CLASS of them
+    cuts = F.ceil(F.col("n") / HOT_CLASS).cast("int")
+    first = classes.select("hi", "lo", "node", cuts.alias("cuts")).join(labels, "node", "left").select("hi", "lo", "cuts", F.coalesce("component", "node").alias("component"))
+    first = written(first, "near-components")
+    hot = written(first.where("cuts > 1").select("hi", "lo", "cuts"), "near-hot")
+    alone = F.col("hi").isNull() | F.col("doc_id").isNull()
+    rows = known.select("doc_id", "n_shingles", "hi", "lo", F.monotonically_increasing_id().alias("row")).where(~alone).join(hot, ["hi", "lo"], "left")
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int"), F.lit(0))).drop("cuts", "row")
+    spread = first.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), F.col("component").alias("component_id"))
+    out = rows.join(spread, ["hi", "lo", "part"], "left").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(known.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
