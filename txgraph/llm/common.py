@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def memory_returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; when the task ends, memory that its Python process holds but no longer uses goes back to the
+    system. Spark keeps the process for later tasks, where it would add to their own."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+        if trim is not None:
+            trim(0)
+
+
 def fold(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; null for a null id (neither learned from nor held out)."""
     return F.crc32(F.col(id_col).cast("string")) % FOLDS

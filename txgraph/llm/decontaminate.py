@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.llm import textkernel as K
-from txgraph.llm.common import id_type, ids_and_texts, map_texts
+from txgraph.llm.common import id_type, ids_and_texts, map_texts, memory_returned
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 
 
 class Suffixes:
@@ -208,4 +208,4 @@ def _without_hits(docs: DataFrame, at: int, tests: Suffixes, window: int) -> Dat
                 hit[np.searchsorted(bounds, start, side="right") - 1] = True
                 yield batch.slice(a, b - a).filter(pa.array(~hit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: memory_returned(run(batches)), docs.schema)

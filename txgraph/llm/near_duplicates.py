@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from txgraph.llm import textkernel as K
-from txgraph.llm.common import ids_and_texts, map_texts, written
+from txgraph.llm.common import ids_and_texts, map_texts, memory_returned, written
 from txgraph.operators.ids import attach_ids, dense_ids, releasing
 
 WORDS = 5
@@ -141,7 +141,7 @@ def _bucket_rows(classes: DataFrame) -> DataFrame:
                 keys = bucket_keys(_symbols(part.column(1))).reshape(part.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
 
-    return classes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return classes.select("node", "sig").mapInArrow(lambda batches: memory_returned(run(batches)), "key long, node long")
 
 
 def _star_pairs(buckets: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def _within(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
             near = distances(_symbols(batch.column(2)), _symbols(batch.column(3))) <= distance
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(lambda batches: memory_returned(run(batches)), "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -
                     b.append(max(hub, member))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return written(rows.mapInArrow(run, "a long, b long").distinct(), "near-links")
+    return written(rows.mapInArrow(lambda batches: memory_returned(run(batches)), "a long, b long").distinct(), "near-links")
 
 
 def linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
@@ -327,7 +327,7 @@ def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, s
                     column.append(x_)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in out], names=["a", "b", "d"])
 
-    found = units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, d long").where("a <> b")
+    found = units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lambda batches: memory_returned(run(batches)), "a long, b long, d long").where("a <> b")
     if nearest:
         found = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
