@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txgraph.llm.common import id_type, ids_and_texts, map_texts
+from txgraph.llm.common import id_type, ids_and_texts, map_texts, memory_returned
 
 MODEL = "word_bpe_49k.json"
 PIECE_CHARS = 16_384
@@ -323,6 +323,6 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
     is_long = F.coalesce(F.char_length("text") > piece_chars, F.lit(False))
     short = map_texts(src.where(~is_long), schema, one_piece)
     pieces = map_texts(src.where(is_long), f"doc_id {kind}, key string, n int, text string, copies long", cut).repartition("key", "n")
-    encoded = pieces.mapInArrow(encode_pieces, f"doc_id {kind}, key string, n int, text string, copies long, ids binary, gap binary, length binary, first binary")
-    long = encoded.repartition("key").sortWithinPartitions("key", "n").mapInArrow(join_pieces, schema)
+    encoded = pieces.mapInArrow(lambda batches: memory_returned(encode_pieces(batches)), f"doc_id {kind}, key string, n int, text string, copies long, ids binary, gap binary, length binary, first binary")
+    long = encoded.repartition("key").sortWithinPartitions("key", "n").mapInArrow(lambda batches: memory_returned(join_pieces(batches)), schema)
     return short.unionByName(long)

@@ -76,7 +76,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable], max_byte
                     [c if isinstance(c, pa.Array) and c.type == t.type else (c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, type=t.type))
                      for c, t in zip(cols, out, strict=True)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: memory_returned(run(batches)), schema)
 
 
 def _parse(df: DataFrame, schema: str):
