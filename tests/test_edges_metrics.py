@@ -2,8 +2,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from txgraph.definitions import GraphDefinition, MonoEdge, Validity, auxiliary, primary
 from txgraph.operators.edges import expand_bag, monopartite_counts, monopartite_weighted
 from txgraph.operators.metrics import evaluation_summary, pr_curve, precision_recall, weighted_log_loss
+from txgraph.plans.batch_graph import build_edges, id_col
 
 
 def _rows(spark):
@@ -40,6 +42,31 @@ def test_counts_single_value_formula(spark):
     assert c["n_edges"] == c["n_bag"] == 3 * 10 * 9
 
 
+def test_two_definitions_without_a_shuffle_of_pairs(spark):
+    """Weights of several definitions add up where the pairs meet; a primary with two values goes the general way."""
+    d = GraphDefinition("two", {"P": primary(["k"], (), Validity(all_not_null=True)), "A": auxiliary(["a"], Validity(all_not_null=True)),
+                                "B": auxiliary(["b"], Validity(all_not_null=True))},
+                        [MonoEdge("P", "A", "LINKED"), MonoEdge("P", "B", "LINKED")], "P")
+    one = [(1, 10, 7), (1, 10, None), (2, 10, 7), (2, 10, 7), (3, 20, 7), (4, 20, None), (5, None, 8), (6, None, 8), (7, None, None), (None, 10, 7)]
+    for rows, single in ((one, True), (one + [(4, 10, 8)], False)):
+        base = spark.createDataFrame(rows, f"{id_col('P')} long, {id_col('A')} long, {id_col('B')} long")
+        brute = {}
+        for at in (1, 2):
+            for pair in _bag_brute([(r[0], r[at]) for r in rows]):
+                brute[pair] = brute.get(pair, 0) + 1
+        e = build_edges(base, d)[("P", "LINKED", "P")]
+        assert {(r["src"], r["dst"]): r["weight"] for r in e.collect()} == brute and e.count() == len(brute)
+        plan = e._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Aggregate [src" not in plan) == single
+
+
+def test_grid_cells_keep_their_partitions(spark):
+    """A few rows that grow to their square: the join's tasks are not coalesced by the size of its input."""
+    df = spark.range(64).selectExpr("id AS p", "id % 4 AS a")
+    w = monopartite_weighted(df, "p", "a", block_rows=2, one_value_per_primary=True)
+    assert w.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and w.count() == 4 * 16 * 15
+
+
 def test_precision_recall_zero_division(spark):
     df = spark.createDataFrame([(0.1, 1), (0.2, 0)], "score double, label int")
     r = precision_recall(df).first()
