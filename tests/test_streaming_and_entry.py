@@ -5,7 +5,7 @@ from txgraph.plans.registry import ev_definition
 from txgraph.operators.splits import positional_split
 from txgraph.session import scratch_path
 from txgraph.streaming.native import (compact_stream, edges, graph_log, latest_node_features, newest_state, node_id, node_state, observations,
-                                      read_log, run_graph_stream, write_replay_batches)
+                                      read_log, replay_pieces, run_graph_stream, with_pieces, write_replay_batches)
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,6 +55,24 @@ def test_micro_batches_come_in_index_order(spark):
     assert order == [350, 300, 250, 200, 150, 100, 50, 0] and got.count() == 400
 
 
+def test_large_batches_are_cut_in_pieces(spark):
+    """A batch of many rows is several files and tasks of one micro-batch; log and order are those of whole batches."""
+    ev = spark.range(400).selectExpr("id AS event_id", "id % 7 AS user_id", "CAST(id AS DOUBLE) AS value", "CAST(NULL AS STRING) AS props", "id AS ts",
+                                     "CAST(100 - id DIV 100 AS INT) AS part")
+    pieces = replay_pieces(ev, "part", piece_rows=30)
+    cut = with_pieces(ev, pieces)
+    src = write_replay_batches(cut, "part", scratch_path(spark, "pieces"))
+    files = spark.read.parquet(src).withColumn("f", F.input_file_name()).groupBy("part").agg(F.countDistinct("f").alias("n")).collect()
+    assert pieces == 4 and [r["n"] for r in files] == [4] * 4
+    out = run_graph_stream(spark, src, cut.schema, NODES, EDGES, FEATS, ORDER, max_files_per_trigger=pieces, tasks=pieces)
+    log = read_log(spark, out)
+    seen = log.withColumn("f", F.input_file_name()).where("name = 'event' AND kind = 'observations'").groupBy("ingest").agg(
+        F.min("ord.event_id").alias("lo"), F.count("*").alias("n"), F.countDistinct("f").alias("files"))
+    assert [(r["lo"], r["n"], r["files"]) for r in seen.orderBy("ingest").collect()] == [(x, 100, 4) for x in (300, 200, 100, 0)]
+    whole = newest_state(observations(graph_log(ev, NODES, EDGES, FEATS, ORDER)))
+    assert _rows(node_state(spark, out)) == _rows(whole)
+
+
 def test_node_ids_are_wide_and_typed(spark):
     r = spark.range(1).select(node_id("user", "id").alias("a"), node_id("event", "id").alias("b"), F.octet_length(node_id("user", "id")).alias("n")).first()
     assert r["n"] == 16 and r["a"] != r["b"]

@@ -35,7 +35,7 @@ from txgraph.plans.prequential import prequential_score, prequential_scores
 from txgraph.session import scratch_path
 from txgraph.sources.readers import read_csv, write_csv, write_graph, write_summary
 from txgraph.sources.tables import event_view, table, transaction_view
-from txgraph.streaming.native import compact_stream, edges, node_state, read_log, run_graph_stream, write_replay_batches
+from txgraph.streaming.native import compact_stream, edges, node_state, read_log, replay_pieces, run_graph_stream, with_pieces, write_replay_batches
 
 # Query parameters (shared with the SQL twins).
 TX_SPLIT = SplitSettings(date(1995, 1, 1), date(2001, 8, 1), gap_days=30, eval_days=180)
@@ -465,16 +465,20 @@ _STREAM_FEATS = {"event": ["value"], "user": ["value"]}
 
 
 def _stream_out(spark, sf):
-    """Events replayed in time order, one file, so one micro-batch, a week; the state is compacted half way, and the stream
-    goes on behind the snapshot."""
+    """Events replayed in time order, one micro-batch a week (of one file for each ``PIECE_ROWS`` rows of the largest
+    week); the state is compacted half way, and the stream goes on behind the snapshot."""
     ev = table(spark, sf, "events").withColumn("week", F.floor(F.unix_date(F.to_date("ts")) / 7).cast("int"))
     lo, hi = ev.agg(F.min("week"), F.max("week")).first()
+    pieces = replay_pieces(ev, "week")
+    if pieces > 1:
+        ev = with_pieces(ev, pieces)
     source, out = scratch_path(spark, "replay"), None
     for part in (ev.where(F.col("week") <= (lo + hi) // 2), ev.where(F.col("week") > (lo + hi) // 2)):
         if out is not None:
             compact_stream(spark, out)
         write_replay_batches(part, "week", source)
-        out = run_graph_stream(spark, source, ev.schema, _STREAM_NODES, _STREAM_EDGES, _STREAM_FEATS, ["ts", "event_id"], out)
+        out = run_graph_stream(spark, source, ev.schema, _STREAM_NODES, _STREAM_EDGES, _STREAM_FEATS, ["ts", "event_id"], out,
+                               max_files_per_trigger=pieces, tasks=pieces)
     return out
 
 

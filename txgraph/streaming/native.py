@@ -24,6 +24,8 @@ from txgraph.session import scratch_path
 from txgraph.sources.readers import read_increments_stream
 
 EDGES, OBSERVATIONS = "edges", "observations"
+PIECE = "_piece"
+PIECE_ROWS = 200_000  # rows of a file of a replayed batch, and of a task of its micro-batch
 _META = ("kind", "name", "node_id", "key", "ord", "src", "dst", "src_key", "dst_key", "ingest", "n_obs")
 
 
@@ -92,11 +94,14 @@ def start_graph_stream(stream: DataFrame, node_cols: dict, edge_defs: dict, feat
 
 def run_graph_stream(spark: SparkSession, source_dir: str, schema, node_cols: dict, edge_defs: dict,
                      features: dict, order_cols: Sequence[str], out_dir: Optional[str] = None,
-                     glob: Optional[str] = None, max_files_per_trigger: int = 1) -> str:
+                     glob: Optional[str] = None, max_files_per_trigger: int = 1, tasks: Optional[int] = None) -> str:
     """Work off the increment files that a directory holds now; returns the output folder. Called again
-    with the same folder it goes on with the files that are new."""
+    with the same folder it goes on with the files that are new. A task sorts its part of the log by kind, several rows for
+    a row that it reads: ``tasks`` (default: Spark's file splits) deals the rows of a micro-batch over so many."""
     out_dir = out_dir or scratch_path(spark, "graph-stream")
     stream = read_increments_stream(spark, source_dir, schema, max_files_per_trigger, glob)
+    if tasks is not None and tasks > 1:
+        stream = stream.repartition(tasks)
     start_graph_stream(stream, node_cols, edge_defs, features, order_cols, out_dir).awaitTermination()
     return out_dir
 
@@ -148,14 +153,27 @@ def compact_stream(spark: SparkSession, out_dir: str) -> int:
     return int(upto)
 
 
+def replay_pieces(df: DataFrame, batch_col: str, piece_rows: int = PIECE_ROWS) -> int:
+    """Pieces into which the largest batch must be cut for at most about ``piece_rows`` rows each."""
+    most = df.groupBy(batch_col).count().agg(F.max("count")).first()[0] or 0
+    return max(1, -(-most // piece_rows))
+
+
+def with_pieces(df: DataFrame, pieces: int) -> DataFrame:
+    """Rows with the piece (``PIECE``) of their batch, by a hash of the row."""
+    return df.withColumn(PIECE, F.pmod(F.xxhash64(*df.columns), F.lit(pieces)).cast("int"))
+
+
 def write_replay_batches(df: DataFrame, batch_col: str, out_dir: str) -> str:
     """Replay source (T1): a folder of files per batch number, with modification times in the order of the
-    numbers, because a file source takes its files by time. Files that lie there already count as earlier."""
+    numbers, because a file source takes its files by time. Files that lie there already count as earlier. A batch is
+    one file, or one a piece when the rows have pieces (``with_pieces``): no task writes a whole large batch."""
     fs, p = _files(df.sparkSession, out_dir)
     files = lambda: {f.getPath().toString(): f for f in _parquet_files(fs, p)} if fs.exists(p) else {}
     before = files()
-    df.repartition(batch_col).write.mode("append").partitionBy(batch_col).parquet(out_dir)
-    number = lambda path: int(path.rpartition("/")[0].rpartition("=")[2])
+    folders = [batch_col, *([PIECE] if PIECE in df.columns else [])]
+    df.repartition(*folders).write.mode("append").partitionBy(*folders).parquet(out_dir)
+    number = lambda path: int(path.split("/")[-1 - len(folders)].rpartition("=")[2])
     new = sorted((number(k), k) for k in files().keys() - before.keys())
     start = max([f.getModificationTime() for f in before.values()], default=1_000_000_000_000)
     for i, (_, path) in enumerate(new, 1):
