@@ -9,7 +9,7 @@ import pytest
 
 from txgraph.operators.model import fit_logistic, logit_column, train_logistic
 from txgraph.operators.propagation import Clique, EdgeList, clique, pass_messages, propagate
-from txgraph.operators.sampling import sample_neighbors
+from txgraph.operators.sampling import Lists, _drawn, sample_neighbors
 
 
 def _cliques(spark, seed, multi):
@@ -161,3 +161,17 @@ def test_separable_classes_do_not_converge_without_ridge(spark):
     assert fit_logistic(df, ["a"], ridge=0.01).converged
     with pytest.raises(ValueError):
         fit_logistic(df.where("a > 99"), ["a"])
+
+
+def test_temporal_uniform_cuts_lists_before_readers(spark):
+    """The candidates of a (list, time) are cut to what a reader can draw before they are joined to its many readers."""
+    items = spark.range(60).selectExpr("0L AS value", "id AS src")
+    readers = spark.range(60).selectExpr("id AS dst", "0L AS value")
+    times = spark.range(60).selectExpr("id AS node_id", "id AS time_attr")
+    frontier = spark.range(60).selectExpr("id AS node_id", "45L AS seed_time")
+    got = _drawn(Lists(items, readers, True), frontier, 3, 1, times, "uniform")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 3  # blocks, lists at a time, readers
+    by_hash = sorted(range(46), key=lambda i: hashlib.md5(f"1:{i}".encode()).hexdigest())
+    want = {(d, s) for d in range(60) for s in [x for x in by_hash if x != d][:3]}
+    assert {(r["dst"], r["src"]) for r in got.collect()} == want

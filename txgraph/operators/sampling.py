@@ -110,7 +110,8 @@ def _drawn(lists: Lists, frontier: DataFrame, fanout: int, seed: int, times: Opt
             at = F.explode(F.expr(_range(f"greatest(before - {k}, 0L)", "before"))).alias("at")
             near = asked.select("value", "seed_time", at).join(placed, ["value", "at"]).drop("at")
         else:
-            near = _earlier_by_hash(placed, asked, k, order)
+            # of a list and a time no reader draws past the first k: cut before the readers multiply the rows
+            near = top_k_per_group(_earlier_by_hash(placed, asked, k, order), ["value", "seed_time"], order, k)
         near = near.withColumnRenamed("seed_time", "_seed_time")
         got = reads.join(near, (reads["value"] == near["value"]) & reads["seed_time"].eqNullSafe(near["_seed_time"])).drop("_seed_time", near["value"])
     if lists.exclude_self:
