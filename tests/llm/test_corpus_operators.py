@@ -1,6 +1,7 @@
 """Near-duplicates, WARC, language id, quality classifier and the pipeline on small data."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import pytest
 import corpus_pipeline
 from txgraph.llm import bpe, decontaminate, language_id, near_duplicates, quality_classifier, secrets, warc
 from txgraph.llm import textkernel as K
+from txgraph.session import scratch_dir, scratch_scope
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,6 +82,20 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, k, block, hub,
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_tables_of_a_round_are_removed(spark):
+    """Sets, pairs and blocks of a round go when its links are written; a scope around them takes what stays."""
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(words[: 58 + i % 3])) for i in range(9)], "doc_id long, text string")
+    with scratch_scope(spark) as paths:
+        got = near_duplicates.near_duplicates(df).select("component_id").distinct().collect()
+        left = [os.path.basename(p).rpartition("-")[0] for p in paths]
+        assert [r[0] for r in got] == [0] and left.count("near-links") == 4
+        assert not {"near-sets", "near-dealt", "near-pairs", "near-nodes", "near-mixed", "near-small"} & set(left)
+        here = os.listdir(scratch_dir(spark).replace("file:", ""))
+        assert all(os.path.basename(p) in here for p in paths)
+    assert not {os.path.basename(p) for p in paths} & set(os.listdir(scratch_dir(spark).replace("file:", "")))
+
+
 def K_lit(v):
     from pyspark.sql import functions as F
 

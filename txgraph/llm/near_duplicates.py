@@ -28,17 +28,18 @@ is the smallest in that order (text by UTF-8 bytes).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from txgraph.llm import textkernel as K
 from txgraph.llm.common import ids_and_texts, map_texts, memory_returned, written
 from txgraph.operators.ids import attach_ids, dense_ids, releasing
+from txgraph.session import handed_over, scratch_scope
 
 WORDS = 5
 SIMILARITY = 80
@@ -216,6 +217,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -
     return written(rows.mapInArrow(lambda batches: memory_returned(run(batches)), "a long, b long").distinct(), "near-links")
 
 
+def _last_written(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` wrote last, which it returns; the tables it wrote on the way (the sets of a round above all) are
+    removed, so the disk holds those of one round."""
+    with scratch_scope(spark) as paths:
+        out = make()
+        path = paths.pop()
+    handed_over(path)
+    return out
+
+
 def linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
     """Whether two sorted sets reach the similarity; the shorter one is looked up in the longer."""
     if len(x) > len(y):
@@ -373,9 +384,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     keys = _bucket_rows(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     buckets = written(keys.join(shared.select("key", "lo", "hi"), "key"), "near-buckets")
-    labels = components(_confirmed(_within(_star_pairs(buckets), classes, distance), src, words, similarity))
+    spark = src.sparkSession
+    labels = components(_last_written(spark, lambda: _confirmed(_within(_star_pairs(buckets), classes, distance), src, words, similarity)))
     for nearest in (True, True, False):
-        more = _confirmed(_residual_pairs(buckets.select("key", "node"), classes, labels, src, words, similarity, distance, block, nearest), src, words, similarity)
+        more = _last_written(spark, lambda: _confirmed(_residual_pairs(buckets.select("key", "node"), classes, labels, src, words, similarity, distance, block, nearest), src, words, similarity))
         labels = _with_links(labels, more)
     # a class of very many copies is dealt over several keys; there are at most rows / HOT_CLASS of them
     cuts = F.ceil(F.col("n") / HOT_CLASS).cast("int")

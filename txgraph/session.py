@@ -94,6 +94,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[list]:
         _written.reset(token)
 
 
+def handed_over(path: str) -> None:
+    """A path taken off the list of a scope that ended counts as one of the surrounding scope."""
+    if _written.get() is not None:
+        _written.get().append(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     try:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
