@@ -40,14 +40,13 @@ def train_logistic(train: DataFrame, feature_cols: Sequence[str], label_col: str
 
 
 def logistic_scores(model, df: DataFrame, feature_cols: Sequence[str], out_col: str = "score") -> DataFrame:
-    """Raw logit of the positive class (the metrics threshold applies to this column)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    data = VectorAssembler(inputCols=list(feature_cols), outputCol="_features", handleInvalid="keep").transform(df)
-    scored = model.transform(data)
-    raw = vector_to_array(F.col("rawPrediction"))
-    return scored.withColumn(out_col, raw.getItem(1)).drop("_features", "rawPrediction", "probability", "prediction")
+    """Raw logit of the positive class (the metrics threshold applies to this column): intercept + sum of coefficient *
+    feature over numeric columns, NaN where one is missing. A plain expression, so no task gets the model itself."""
+    at = model.coefficientMatrix.numRows - 1 and 1  # one row for two classes, else a row a class
+    weights = model.coefficientMatrix.toArray()[at].tolist()
+    x = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    z = reduce(lambda s, wc: s + F.lit(float(wc[0])) * x(wc[1]), zip(weights, feature_cols, strict=True), F.lit(float(model.interceptVector[at])))
+    return df.withColumn(out_col, z)
 
 
 def score_with(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], feature_cols: Sequence[str],
