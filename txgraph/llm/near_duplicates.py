@@ -14,7 +14,8 @@ within the threshold meets in a bucket. Pairs met are compared over all symbols.
    often; the pairs within the threshold are confirmed on full sets, and components are found.
 3. Only buckets that still hold several components are compared within, in blocks of ``BLOCK``
    members, so any bucket size fits a task: in two rounds every node gives its nearest node of
-   another component, then all pairs of different components within the threshold are confirmed. No pair
+   another component, then all pairs of different components within the threshold are confirmed. A bucket
+   in which a round meets no such pair is done: components only grow together. No pair
    within the threshold is left unexamined unless its ends are already in one component; pairs
    inside a component are never made. In the last round members of ``SMALL`` shingles at most bring
    their whole sets, so pairs of two such members that cannot be links end in the task that meets them.
@@ -297,9 +298,10 @@ def possible(sets: list[np.ndarray | None], i: int, others: np.ndarray, similari
     return out
 
 
-def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, src: DataFrame, words: int, similarity: int, distance: int, block: int, nearest: bool) -> DataFrame:
-    """Pairs of different components within the threshold, of the buckets that hold several; with
-    ``nearest`` one pair for each member at most."""
+def _residual(buckets: DataFrame, classes: DataFrame, labels: DataFrame, src: DataFrame, words: int, similarity: int, distance: int, block: int, nearest: bool) -> DataFrame:
+    """(a, b, d, key): pairs of different components within the threshold, their distance and their bucket, of the buckets
+    that hold several components; with ``nearest`` one pair for each member of a bucket's block at most. A bucket that
+    gives no row has no such pair, nor will it have one later, when components have grown together."""
     rows = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = written(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "near-mixed")
     rows = rows.join(mixed, "key")
@@ -320,7 +322,7 @@ def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, s
             left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
             keys = bucket_keys(sig).reshape(len(node), -1)
             here = np.int64(key).view(np.uint64)
-            out: tuple[list, list, list] = [], [], []
+            out: tuple[list, list, list, list] = [], [], [], []
             for i in left:
                 j = right[right > i] if x == y and not nearest else right
                 j = j[comp[j] != comp[i]]
@@ -334,11 +336,16 @@ def _residual_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, s
                     j, d = j[first], d[first]
                     can = possible(sets, i, j, similarity)
                     j, d = j[can], d[can]
-                for column, x_ in zip(out, (np.full(len(j), node[i]), node[j], d)):
+                for column, x_ in zip(out, (np.full(len(j), node[i]), node[j], d, np.full(len(j), np.int64(key)))):
                     column.append(x_)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in out], names=["a", "b", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in out], names=["a", "b", "d", "key"])
 
-    found = units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lambda batches: memory_returned(run(batches)), "a long, b long, d long").where("a <> b")
+    found = units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lambda batches: memory_returned(run(batches)), "a long, b long, d long, key long").where("a <> b")
+    return written(found, "near-found")
+
+
+def _residual_pairs(found: DataFrame, nearest: bool) -> DataFrame:
+    """The pairs (a, b) of ``_residual``; with ``nearest`` the nearest one of each member."""
     if nearest:
         found = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -386,8 +393,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     buckets = written(keys.join(shared.select("key", "lo", "hi"), "key"), "near-buckets")
     spark = src.sparkSession
     labels = components(_last_written(spark, lambda: _confirmed(_within(_star_pairs(buckets), classes, distance), src, words, similarity)))
+    left = buckets.select("key", "node")
     for nearest in (True, True, False):
-        more = _last_written(spark, lambda: _confirmed(_residual_pairs(buckets.select("key", "node"), classes, labels, src, words, similarity, distance, block, nearest), src, words, similarity))
+        found = _last_written(spark, lambda: _residual(left, classes, labels, src, words, similarity, distance, block, nearest))
+        if nearest:  # buckets without a pair of two components within the threshold are done
+            left = written(left.join(found.select("key").distinct(), "key", "left_semi"), "near-left")
+        more = _last_written(spark, lambda: _confirmed(_residual_pairs(found, nearest), src, words, similarity))
         labels = _with_links(labels, more)
     # a class of very many copies is dealt over several keys; there are at most rows / HOT_CLASS of them
     cuts = F.ceil(F.col("n") / HOT_CLASS).cast("int")
