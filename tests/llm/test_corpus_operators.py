@@ -473,3 +473,66 @@ def test_only_letters_make_words(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_LANGS", 1)
     with pytest.raises(ValueError):
         language_id.predict_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_buckets_without_pairs_are_read_once(spark, monkeypatch):
+    """Texts that share buckets by chance only: the first round reads them, later ones do not, and links stay."""
+    read, residual = [], near_duplicates._residual
+
+    def counted(buckets, *rest):
+        read.append(buckets.count())
+        return residual(buckets, *rest)
+
+    monkeypatch.setattr(near_duplicates, "_residual", counted)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    # symbols of very few values: different texts meet, none is within the threshold of another
+    keys = near_duplicates.bucket_keys
+    monkeypatch.setattr(near_duplicates, "bucket_keys", lambda sig: keys(sig) % np.uint64(50))
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " one more"])), "doc_id long, text string")
+    monkeypatch.setattr(near_duplicates, "_bucket_rows", lambda classes: spark.createDataFrame([(int(k), r["node"]) for r in classes.collect() for k in near_duplicates.bucket_keys(near_duplicates._symbols(pa.array([bytes(r["sig"])]))).ravel().view(np.int64)], "key long, node long"))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == {i: i % 40 for i in range(41)}
+    assert len(read) == 3 and read[0] > 0 and read[1] < read[0] and read[2] <= read[1]
+
+
+def test_bpe_dictionary_against_the_library():
+    """Chunks, plain words and mixed ones, with and without room in the dictionary: ids, decoded texts and places."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(bpe.MODEL)
+    wide, narrow = bpe.WordCodec(path), bpe.WordCodec(path, dictionary=40)
+    assert wide.letters is not None  # plain words go to the model
+    decode = bpe.decoder_of(wide.tok)
+    rng = random.Random(9)
+    parts = list("abcxyzABCéàÿßÀÖµªº  \n\t\r\x85\xa0'.,;:!?<>|0123-_#") + ["'s", "<|endoftext|>", "\u0301", "é", "日", "ᄀ", "ᅡ", "😀", "the", "word", "can't", "\x00"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(50)))
+        ids = wide.tok.encode(text, add_special_tokens=False).ids
+        for codec in (wide, narrow):
+            assert codec.encode(text) == (np.array(ids, dtype="<u4").tobytes(), decode(ids))
+            got, want = codec.tokens(text), bpe.Tokens.of(wide.tok, text, 0)
+            assert all(np.array_equal(getattr(got, c), getattr(want, c)) for c in ("ids", "first"))
+            assert np.array_equal(got.start, want.start) or not text.isascii()
+            assert np.array_equal(got.end, want.end) or not text.isascii()
+
+
+def test_bpe_words_of_letters_skip_the_pipeline(monkeypatch):
+    """Words of small letters are not sent through normaliser and pre-tokenizer, and punctuation joins known words."""
+    import public_tokenizers
+
+    codec = bpe.WordCodec(public_tokenizers.path(bpe.MODEL))
+    sent, tok = [], codec.tok
+
+    class Spy:
+        def encode_batch_fast(self, words, **kw):
+            sent.extend(words)
+            return tok.encode_batch_fast(words, **kw)
+
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+    codec.tok = Spy()
+    text = "plain words, été and plain. words"
+    assert np.frombuffer(codec.encode(text)[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert sorted(sent) == [",", "."]

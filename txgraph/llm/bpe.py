@@ -4,7 +4,8 @@ tokens of both sides, identical in id, place and pre-token start.
 
 A token sequence is the encoding of a pre-token exactly if every adjacent pair of its tokens is,
 so one agreeing token on each side of the window proves the joined sequence. Texts of one piece
-(most) go through a bounded dictionary word -> (ids, decoded text); words are cut only where the
+(most) go through a bounded dictionary of chunks between spaces and line ends, and of their words, to (ids, decoded
+text); a chunk not yet in it is made of its words. Chunks and words are cut only where the
 tokenizer's own pre-tokenizer must cut and no special token can lie: at spaces and line ends,
 between Latin letters, ASCII digits and ASCII signs other than ``'<>|``. Texts within Latin-1
 without ``<|`` are lower-cased first, which the tokenizer's normaliser would do with equal result.
@@ -42,6 +43,7 @@ MARGIN = 16
 _SIGNS = r"!-&(-;=?@\[-`{}~"  # ASCII signs and digits without ' < > |
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(rf"[{_LETTERS}]+(?=[ \n'<{_SIGNS}]|\Z)|[0-9](?=[ \n'<{_SIGNS}A-Za-z]|\Z)|(?:(?![0-9])[{_SIGNS}])+(?=[ \n0-9A-Za-z]|\Z)|[^ \n]+")
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 def load(model_file: str):
@@ -68,11 +70,31 @@ def pre_token_starts(e) -> np.ndarray:
     return np.concatenate((np.ones(min(len(word), 1), bool), word[1:] != word[:-1]))
 
 
+def plain_letters(tok) -> dict | None:
+    """How the pre-tokenizer writes the small Latin letters beyond a-z, if the tokenizer takes every run of small letters
+    as one pre-token, letter by letter: such words go to its model as they are. None if it does not."""
+    letters = "".join(c for c in map(chr, range(256)) if _PLAIN.fullmatch(c))
+    ready = lambda text: [p for p, _ in tok.pre_tokenizer.pre_tokenize_str(text)]
+    if tok.pre_tokenizer is None or tok.decoder is not None or getattr(tok.model, "dropout", None):
+        return None
+    if tok.normalizer is not None and tok.normalizer.normalize_str(letters) != letters:
+        return None
+    if any(_PLAIN.fullmatch(t.content.lower()) for t in tok.get_added_tokens_decoder().values()):
+        return None
+    written = {ord(c): "".join(ready(c)) for c in letters}
+    if ready(letters) != [letters.translate(written)] or any(written[ord(c)] != c for c in letters if c.isascii()):
+        return None
+    return written
+
+
 class WordCodec:
-    """Encodes and decodes whole texts through a bounded dictionary of words."""
+    """Encodes and decodes whole texts through a bounded dictionary of what stands between spaces and line ends, and
+    of the words in it; words of small letters only go to the tokenizer's model directly."""
 
     def __init__(self, model_file: str, dictionary: int = DICTIONARY):
         self.tok = load(model_file)
+        self.model = self.tok.model
+        self.letters = plain_letters(self.tok)
         self.known: dict[str, tuple[bytes, str]] = {}
         self.placed: dict[str, tuple[bytes, bytes, bytes, bytes, int]] = {}
         self.limit = dictionary
@@ -81,21 +103,60 @@ class WordCodec:
         """(ids as little-endian unsigned 32-bit integers, decoded text)."""
         if "<|" not in text and _within_latin1(text):
             text = text.lower()
-        words = _WORDS.findall(text)
-        got = list(map(self.known.get, words))
+        chunks = text.replace("\n", " ").split(" ")
+        got = list(map(self.known.get, chunks))
         if None in got:
-            self._learn(list(dict.fromkeys(w for w, g in zip(words, got) if g is None)), words)
-            got = list(map(self.known.__getitem__, words))
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
-
-    def _learn(self, new: list[str], words: list[str]) -> None:
-        if len(self.known) + len(new) > self.limit:  # start anew, with what this text needs
-            self.known = {w: g for w in words if (g := self.known.get(w)) is not None}
-        lists = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        for w, ids, text in zip(new, lists, self.tok.decode_batch(lists, skip_special_tokens=False)):
-            self.known[w] = pack(f"<{len(ids)}I", *ids), text
-
-    def _place(self, new: list[str]) -> None:
+            self._learn(list(dict.fromkeys(c for c, g in zip(chunks, got) if g is None)), chunks)
+            got = list(map(self.known.__getitem__, chunks))
+        return b"".join([g[0] for g in got]), "".join([g[1] for g in got])[:-1]
+
+    def _words(self, new: list[str], chunks: list[str], have: dict) -> tuple[dict[str, list[str]], list[str], list[str]]:
+        """The words of each new chunk, and those not in the dictionary: of small letters (and such that the model
+        takes them), and others. A dictionary that would grow too large begins anew with what ``chunks`` need."""
+        parts = {c: _WORDS.findall(c) for c in new}
+        words = dict.fromkeys(w for ws in parts.values() for w in ws if w not in have)
+        if len(have) + len(words) + len(new) > self.limit:
+            kept = {c: g for ws in (chunks, *parts.values()) for c in ws if (g := have.get(c)) is not None}
+            have.clear()
+            have.update(kept)
+        plain = [] if self.letters is None else [w for w in words if _PLAIN.fullmatch(w)]
+        return parts, plain, list(words.keys() - set(plain)) if len(plain) < len(words) else []
+
+    def _learn(self, new: list[str], chunks: list[str]) -> None:
+        """Decoded texts are held with a space after each token."""
+        known = self.known
+        parts, plain, others = self._words(new, chunks, known)
+        for w in plain:
+            got = self.model.tokenize(w if w.isascii() else w.translate(self.letters))
+            known[w] = pack(f"<{len(got)}I", *[t.id for t in got]), "".join([t.value + " " for t in got])
+        if others:
+            lists = [e.ids for e in self.tok.encode_batch_fast(others, add_special_tokens=False)]
+            for w, ids, text in zip(others, lists, self.tok.decode_batch(lists, skip_special_tokens=False)):
+                known[w] = pack(f"<{len(ids)}I", *ids), text + " " if ids else ""
+        for c, ws in parts.items():
+            if len(ws) != 1:
+                known[c] = b"".join([known[w][0] for w in ws]), "".join([known[w][1] for w in ws])
+
+    def _place(self, new: list[str], chunks: list[str]) -> None:
+        placed = self.placed
+        parts, plain, others = self._words(new, chunks, placed)
+        for w in plain:
+            if not w.isascii():  # the model counts bytes
+                others.append(w)
+                continue
+            got = self.model.tokenize(w)
+            n, spans = len(got), [t.offsets for t in got]
+            placed[w] = pack(f"<{n}I", *[t.id for t in got]), pack(f"<{n}i", *[a for a, _ in spans]), pack(f"<{n}i", *[b for _, b in spans]), b"\1" + bytes(n - 1), n
+        if others:
+            self._place_words(others)
+        for c, ws in parts.items():
+            if len(ws) != 1:
+                at = list(accumulate(map(len, ws), initial=0))
+                got = [placed[w] for w in ws]
+                moved = [b"".join([x[k] if not a else (np.frombuffer(x[k], "<i4") + np.int32(a)).tobytes() for x, a in zip(got, at)]) for k in (1, 2)]
+                placed[c] = b"".join([x[0] for x in got]), *moved, b"".join([x[3] for x in got]), sum(x[4] for x in got)
+
+    def _place_words(self, new: list[str]) -> None:
         got = self.tok.encode_batch(new, add_special_tokens=False)
         size = [len(e.ids) for e in got]
         cuts = list(accumulate(size, initial=0))
@@ -114,15 +175,13 @@ class WordCodec:
         """Tokens of a piece with their places: ``Tokens.of`` through a bounded dictionary."""
         if "<|" not in text and _within_latin1(text):
             text = text.lower()  # of equal length within Latin-1
-        spans = [m.span() for m in _WORDS.finditer(text)]
-        words = [text[a:b] for a, b in spans]
-        new = list(dict.fromkeys(w for w in words if w not in self.placed))
-        if len(self.placed) + len(new) > self.limit:
-            self.placed.clear()
-            new = list(dict.fromkeys(words))
-        self._place(new)
-        ids, start, end, first, size = zip(*map(self.placed.__getitem__, words)) if words else [()] * 5
-        at = np.repeat(np.array([a for a, _ in spans], dtype=np.int64), np.array(size, dtype=np.int64))
+        chunks = text.replace("\n", " ").split(" ")
+        new = list(dict.fromkeys(c for c in chunks if c not in self.placed))
+        if new:
+            self._place(new, chunks)
+        ids, start, end, first, size = zip(*map(self.placed.__getitem__, chunks))
+        ends = np.cumsum(np.array(list(map(len, chunks)), dtype=np.int64) + 1)
+        at = np.repeat(np.concatenate(([0], ends[:-1])), np.array(size, dtype=np.int64))
         ids, start, end, first = (np.frombuffer(b"".join(x), kind) for x, kind in ((ids, "<u4"), (start, "<i4"), (end, "<i4"), (first, bool)))
         return Tokens(ids, start + at, end + at, first)
 
