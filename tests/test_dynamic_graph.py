@@ -199,3 +199,15 @@ def test_fused_fitting_runs_one_job_for_any_number_of_features(spark):
 
     (one, _), (six, names) = jobs(1), jobs(6)
     assert one == six and names[:2] == ["n0_log_standardize", "n1_log_standardize"] and names[6:8] == ["c0_v1", "c1_v1"]
+
+
+def test_graph_events_order_all_rows_of_the_definition_only(spark, tmp_path):
+    """The rows that are sorted and kept in memory hold the definition's columns, no others; positions are the same."""
+    from txgraph.plans import registry
+
+    rows = [(i, 1000 * (7 * i % 10), i % 3, "error" if i % 4 == 0 else "view", float(i), f"p{i % 2}") for i in range(10)]
+    df = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string")
+    df.selectExpr("event_id", "timestamp_millis(t) AS ts", "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    got, whole = registry._graph_events(spark, str(tmp_path)), registry._events_table(spark, str(tmp_path))
+    assert not {"event_type", "timestamp"} & set(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.select(*got.columns).collect()))

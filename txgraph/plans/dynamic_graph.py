@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from txgraph.definitions import ColumnGraphDefinition, DefinitionError
 from txgraph.operators.deltas import DeltaTable
 from txgraph.operators.features import fit_ordinal, fit_scaler, imbalance_ratio
-from txgraph.operators.ids import attach_ids, dense_ids, releasing
+from txgraph.operators.ids import attach_ids, dense_ids, pin, releasing
 from txgraph.operators.nodes import first_row_features
 from txgraph.operators.splits import positional_split, split_view
 from txgraph.session import scratch_path
@@ -119,7 +119,7 @@ class DynamicGraph:
         with releasing():
             for t, col in self.definition.column_of_type.items():
                 table = self.key_table[t]
-                incoming = incr.select(col).filter(F.col(col).isNotNull()).distinct()
+                incoming = pin(incr.select(col).filter(F.col(col).isNotNull()).distinct())  # read for known and for new keys
                 path = scratch_path(incr.sparkSession, f"known-{t}")
                 table.read().join(incoming, col).select(col, "node_id").write.parquet(path)  # of the state only the increment's keys
                 known = incr.sparkSession.read.schema(table.schema).parquet(path)
