@@ -11,7 +11,7 @@ network without a training loop, one written table per node type and hop.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Optional, Sequence, Union
 
 from pyspark.sql import Column, DataFrame
@@ -123,13 +123,22 @@ def pass_messages(relations: Sequence[Relation], features: dict, how: str = "sum
     return out
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def propagate(features: dict, relations: Sequence[Relation], hops: int, how: str = "mean") -> dict:
     """ntype -> DataFrame(node_id, <feature>..., <feature>_h1..., <feature>_hk...) for every node that
     has a feature row; features of other types that reach a node are columns of it too, 0 where nothing arrives.
 
     Each hop is written to the shared scratch folder: the next one starts from a scan, so plans do not
-    grow with the hops and a lost executor costs a re-read.
+    grow with the hops and a lost executor costs a re-read. So are the features and the members of cliques, which
+    a hop reads several times; an edge list is read once a hop, as it is given.
     """
+    features = {t: _kept(f, f"features-{t}") for t, f in features.items()}
+    relations = [replace(r, members=_kept(r.members, f"members-{r.relation}")) if isinstance(r, Clique) else r for r in relations]
     out = dict(features)
     now = features
     for h in range(1, hops + 1):

@@ -7,6 +7,7 @@ both sides; counts are bigint, codes int.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 import numpy as np
@@ -559,7 +560,9 @@ def q_neighbor_aggregate(spark, sf):
 
 def q_propagated_features(spark, sf):
     """Two hops of mean messages over transactions, customers and the city clique: the k-hop feature table."""
-    made_by, same_city, made, x = _linear_graph(spark, sf)
+    made_by, same_city, _, x = _linear_graph(spark, sf)
+    edges = materialise(made_by.edges, "checkpoint")  # both hops read it in both directions
+    made_by, made = replace(made_by, edges=edges), EdgeList("CUSTOMER", "MADE", "TRANSACTION", reverse_edges(edges))
     out = propagate(x, [made_by, same_city, made], hops=2)
     cols = ["amt_log_h1", "city_pop_log_h1", "amt_log_h2", "city_pop_log_h2"]
     parts = []
