@@ -175,3 +175,30 @@ def test_temporal_uniform_cuts_lists_before_readers(spark):
     by_hash = sorted(range(46), key=lambda i: hashlib.md5(f"1:{i}".encode()).hexdigest())
     want = {(d, s) for d in range(60) for s in [x for x in by_hash if x != d][:3]}
     assert {(r["dst"], r["src"]) for r in got.collect()} == want
+
+
+def _counted(df, seen):
+    """The rows; ``seen`` counts how often they are made."""
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_hops_read_what_was_written(spark):
+    """Features and clique members, edge lists and times are made once, however many hops read them."""
+    seen = spark.sparkContext.accumulator(0)
+    x = _counted(spark.createDataFrame([(i, float(i)) for i in range(6)], "node_id long, v double"), seen)
+    members = _counted(spark.createDataFrame([(i, i % 2) for i in range(6)], "node_id long, value long"), seen)
+    out = propagate({"N": x}, [Clique("N", "same", members)], hops=3)["N"].collect()
+    assert len(out) == 6 and seen.value == 12
+    assert {r["node_id"]: r["v_h1"] for r in out} == {i: (sum(range(i % 2, 6, 2)) - i) / 2 for i in range(6)}
+    seen = spark.sparkContext.accumulator(0)
+    edges = _counted(spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)], "src long, dst long"), seen)
+    times = _counted(spark.createDataFrame([(i, 5) for i in range(6)], "node_id long, time_attr long"), seen)
+    seeds = spark.createDataFrame([(0,)], "node_id long")
+    got = sample_neighbors({("N", "next", "N"): edges}, {"N": seeds}, [2, 2], time_attr={"N": times}, strategy="last")
+    assert sorted((r["hop"], r["src"], r["dst"]) for r in got.collect()) == [(1, 5, 0), (2, 4, 5), (2, 5, 0)]
+    assert seen.value == 12

@@ -143,7 +143,10 @@ def sample_neighbors(
                                                else F.lit(None).cast("bigint")).alias("seed_time")).distinct()
                 for t, f in seeds.items()}
     if time_attr is not None:
+        time_attr = {t: _kept(ta, f"times-{t}") for t, ta in time_attr.items()}
         frontier = {t: _with_seed_time(f, time_attr.get(t)) for t, f in frontier.items()}
+    frontier = {t: _kept(f, f"frontier-{t}") for t, f in frontier.items()}  # each relation reads it several times
+    lists: dict = {}
     out = []
     for hop, fanout in enumerate(reversed(list(fanouts)), start=1):
         reached = dict(frontier)
@@ -151,13 +154,16 @@ def sample_neighbors(
             if d not in frontier:
                 continue
             times = None if time_attr is None else time_attr.get(s)
-            got = _drawn(as_lists(relation), frontier[d], fanout, seed + hop, times, strategy)
+            if (s, r, d) not in lists:
+                lists[(s, r, d)] = _kept_lists(as_lists(relation), r)
+            got = _drawn(lists[(s, r, d)], frontier[d], fanout, seed + hop, times, strategy)
             got = _kept(got.select("src", "dst", "seed_time"), f"hop{hop}-{r}")
             out.append(got.select(F.lit(hop).alias("hop"), F.lit(s).alias("src_type"), F.lit(r).alias("relation"),
                                   F.lit(d).alias("dst_type"), "src", "dst", "seed_time"))
             nodes = got.select(F.col("src").alias("node_id"), "seed_time")
             reached[s] = reached[s].unionByName(nodes) if s in reached else nodes
-        frontier = {t: f.distinct() for t, f in reached.items()}
+        if hop < len(list(fanouts)):
+            frontier = {t: _kept(f.distinct(), f"frontier-{t}") for t, f in reached.items()}
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
@@ -173,6 +179,10 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _kept_lists(lists: Lists, name: str) -> Lists:
+    return Lists(_kept(lists.items, f"items-{name}"), None if lists.readers is None else _kept(lists.readers, f"readers-{name}"), lists.exclude_self)
+
+
 def _with_seed_time(frontier: DataFrame, ta: Optional[DataFrame]) -> DataFrame:
     if ta is None:
         return frontier
