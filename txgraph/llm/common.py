@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ def memory_returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     try:
         yield from batches
     finally:
+        gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
         if trim is not None:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.llm import textkernel as K
-from txgraph.llm.common import fold, held_out, id_type, ids_and_texts, map_texts, written
+from txgraph.llm.common import fold, held_out, id_type, ids_and_texts, map_texts, memory_returned, written
 from txgraph.llm.quality_rules import slice_stats
 
 THRESHOLD = 0.3
@@ -43,7 +43,7 @@ def document_stats(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     s = slice_stats(data, offs)
     n, chars = s["n_words"].astype(float), np.maximum(s["word_chars"], 1).astype(float)
     words = np.maximum(n, 1)
-    share = {k: K.counts_by(offs, np.flatnonzero(t[data])) / chars for k, t in _CLASS.items()}
+    share = {k: K.counts_by(offs, np.flatnonzero(K.looked_up(t, data))) / chars for k, t in _CLASS.items()}
     starts, ends, bounds = K.words(data, offs, K.SPACE_WORD)
     doc = np.repeat(np.arange(len(n), dtype=np.uint64), np.diff(bounds))
     key = K.mix(K.hash_spans(data, starts, ends) + K.mix(doc + np.uint64(3)))
@@ -126,7 +126,7 @@ def score(stats: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     src = stats.select("doc_id", held_out().alias("held_out"), *STATS)
-    return src.mapInArrow(run, f"doc_id {id_type(src)}, held_out boolean, score double, predicted int")
+    return src.mapInArrow(lambda batches: memory_returned(run(batches)), f"doc_id {id_type(src)}, held_out boolean, score double, predicted int")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label_col: str = "quality") -> DataFrame:
@@ -146,7 +146,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
             for a, b, data, offs in K.slices(batch.column(at)):
                 yield batch.slice(a, b - a).filter(pa.array(model.score(document_stats(data, offs)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: memory_returned(run(batches)), docs.schema)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:

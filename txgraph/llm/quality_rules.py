@@ -106,7 +106,7 @@ def slice_stats(data: np.ndarray, offs: np.ndarray, min_chars: int | None = None
     n = len(offs) - 1
     starts, ends, bounds = K.words(data, offs, K.SPACE_WORD)
     h = K.hash_spans(data, starts, ends)
-    word_chars = _by_doc(_WORD_CHAR[data], offs)
+    word_chars = _by_doc(K.looked_up(_WORD_CHAR, data), offs)
     # lines: between line ends and document ends
     nl = np.flatnonzero(data == 10)
     line_start = np.sort(np.concatenate((offs[:-1], nl + 1)))
@@ -122,7 +122,7 @@ def slice_stats(data: np.ndarray, offs: np.ndarray, min_chars: int | None = None
     spans = K.cover(at, length, len(h))
     chars = np.zeros(len(h), dtype=np.int64)
     if len(h):
-        head = np.flatnonzero(~_CONTINUES[data])
+        head = np.flatnonzero(~K.looked_up(_CONTINUES, data))
         chars = np.searchsorted(head, ends) - np.searchsorted(head, starts)
     total = np.concatenate(([0], np.cumsum(np.where(spans, chars, 0))))
     doc_of = np.repeat(np.arange(n), np.diff(bounds))
@@ -132,7 +132,7 @@ def slice_stats(data: np.ndarray, offs: np.ndarray, min_chars: int | None = None
     if min_chars is not None:
         repeat_chars, longest = character_repeats(data, offs, min_chars, K.cover(starts[spans], (ends - starts)[spans], len(data)))
     return {
-        "n_words": np.diff(bounds), "word_chars": word_chars, "n_symbols": _by_doc(_SYMBOL[data], offs), "n_dup_lines": n_dup,
+        "n_words": np.diff(bounds), "word_chars": word_chars, "n_symbols": _by_doc(K.looked_up(_SYMBOL, data), offs), "n_dup_lines": n_dup,
         "n_repeat_words": _by_doc(covered, bounds), "repeat_chars": repeat_chars, "longest_repeat": longest,
     }
 

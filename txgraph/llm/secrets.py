@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.llm import textkernel as K
-from txgraph.llm.common import id_type, ids_and_texts, map_texts
+from txgraph.llm.common import id_type, ids_and_texts, map_texts, memory_returned
 
 KINDS = ("assign", "access", "hex", "der", "ssh", "jwt", "pgp")
 BASE = 3
@@ -379,7 +379,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | Non
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(new, texts.type) if i == at else c for i, c in enumerate(part.columns)], schema=batch.schema)
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(lambda batches: memory_returned(run(batches)), schema)
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.coalesce(F.char_length(text_col), F.lit(0)).cast(schema[chars_col].dataType))
     return out

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20  # text handled at once by one task; a longer single text is handled alone
-_HASH_STEP = 1 << 20   # bytes hashed at once, bounds the temporary arrays
+_HASH_STEP = 1 << 18   # bytes hashed at once, bounds the temporary arrays
 _PACK_BITS = 21
 
 _rng = np.random.default_rng(20240229)
@@ -37,6 +37,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``table[data]`` of a table of one-byte values, without the eight bytes a place that an index array takes."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(33))
@@ -57,15 +62,16 @@ def _power_table(n: int) -> np.ndarray:
 
 def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into (first row, end row, bytes, offsets); null counts as empty."""
-    if texts.null_count:
-        texts = texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
     n = len(texts)
     if not n:
         return
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
-    _, offs, data = texts.buffers()
     kind = np.int64 if wide else np.int32
+    _, offs, data = texts.buffers()
     offs = np.frombuffer(offs, dtype=kind)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    if texts.null_count and np.diff(offs)[texts.is_null().to_numpy(zero_copy_only=False)].any():  # bytes under a null; else no copy is needed
+        yield from slices(texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b""), max_bytes)
+        return
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
@@ -79,7 +85,7 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.nda
     """Start and end byte of each maximal run of ``table`` bytes inside one document, and the
     first word of each document (n + 1 bounds)."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = table[data]
+    inside[1:-1] = looked_up(table, data)
     first = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]
     cuts = offs[1:-1]
@@ -146,8 +152,11 @@ def dense_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(keys)
     if n < 1 << _PACK_BITS:
         low = np.uint64((1 << _PACK_BITS) - 1)
-        packed = np.sort((keys & ~low) | np.arange(n, dtype=np.uint64))
-        order = (packed & low).astype(np.int64)
+        packed = keys & ~low
+        packed |= np.arange(n, dtype=np.uint64)
+        packed.sort()
+        packed &= low
+        order = packed.view(np.int64)
         got = keys[order]
         if n < 2 or bool((got[1:] >= got[:-1]).all()):
             return order, np.concatenate((np.ones(min(n, 1), bool), got[1:] != got[:-1]))
