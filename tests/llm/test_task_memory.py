@@ -7,13 +7,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from txgraph.llm import common, quality_classifier, secrets
+from txgraph.llm import common, phrases, quality_classifier, secrets
 from txgraph.llm import textkernel as K
 
 DOCS = [(i, f"word {i} has a few words. And some more of {i % 3} kinds, such as these", "en", "web", 60) for i in range(40)]
 
 
 @pytest.mark.parametrize("module, run", [
+    (phrases, lambda docs, labels: phrases.phrases(docs, min_count=2)),
     (quality_classifier, lambda docs, labels: quality_classifier.keep_quality(docs, labels)),
     (secrets, lambda docs, labels: secrets.redact_secrets(docs)),
 ])
@@ -62,10 +63,12 @@ def traced(f):
     return peak
 
 
-def test_words_take_a_few_bytes_a_byte():
+def test_words_and_phrases_take_a_few_bytes_a_byte():
     text = "some common words, in lines of a text with Capitals. " * 40_000
     data, offs = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
     assert traced(lambda: K.words(data, offs, K.SPACE_WORD)) < 9 * len(text)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], names=["lang", "text"])
+    assert traced(lambda: [s.hashes(2) for s, _ in phrases._windows(batch)]) < 24 * len(text)
 
 
 def test_looked_up_is_the_table_at_each_byte():

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txgraph.llm import textkernel as K
-from txgraph.llm.common import written
+from txgraph.llm.common import memory_returned, written
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -47,8 +47,8 @@ SCALE = 2_000_000
 FILTER_BITS = 1 << 26
 SLICE_BYTES = 4 << 20
 _WINDOW = 1 << 20     # words counted at once
-_BLOCK = 1 << 20      # bytes hashed at once
-_OUT_ROWS = 1 << 16   # rows handed to Spark at once
+_BLOCK = 1 << 18      # bytes hashed at once
+_OUT_ROWS = 1 << 14   # rows handed to Spark at once
 _BREAK = K.byte_class([(ord(c), ord(c)) for c in ".,;:!?"] + [(0x0A, 0x0D)])
 _WORD = ~(_BREAK | K.byte_class([(0x20, 0x20), (0x09, 0x09)]))
 _INVERSE = np.uint64(pow(int(K._BASE), -1, 1 << 64))
@@ -92,8 +92,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Slice:
     """Words of a window of a slice of texts: hashes of its phrases, and which lie in one piece."""
 
-    def __init__(self, data, starts, ends, piece, h, salt, lang, own):
-        self.data, self.starts, self.ends, self.piece, self.h, self.salt, self.lang = data, starts, ends, piece, h, salt, lang
+    def __init__(self, data, starts, ends, piece, h, salts, lang, own):
+        self.data, self.starts, self.ends, self.piece, self.h, self.salts, self.lang = data, starts, ends, piece, h, salts, lang
         self.own = own  # phrases that start at the first words, the others belong to the next window
         self._grams: dict[int, np.ndarray] = {}
 
@@ -105,7 +105,7 @@ class Slice:
         """Hash of the k words from each position on, with the language."""
         if k not in self._grams:
             g = K.gram_hashes(self.h, k)
-            self._grams[k] = K.mix(g ^ self.salt[: len(g)])
+            self._grams[k] = K.mix(g ^ self.salts[self.lang[: len(g)]])
         return self._grams[k]
 
     def whole(self, k: int) -> np.ndarray:
@@ -138,16 +138,17 @@ def _windows(batch: pa.RecordBatch) -> Iterator[tuple[Slice, list[str]]]:
     code = langs.indices.to_numpy()
     salts = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
     for a, b, data, offs in K.slices(batch.column("text"), SLICE_BYTES):
-        data = K.LOWER[data]
+        data = K.looked_up(K.LOWER, data)
         starts, ends, bounds = K.words(data, offs, _WORD)
-        doc = np.repeat(np.arange(b - a), np.diff(bounds))
-        piece = np.searchsorted(np.flatnonzero(_BREAK[data]), starts) + doc
+        doc = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(bounds))
+        piece = np.searchsorted(np.flatnonzero(K.looked_up(_BREAK, data)), starts).astype(np.int32) + doc
         lang = code[a:b][doc]
+        del doc
         for at in range(0, len(starts), _WINDOW):
             end = min(len(starts), at + _WINDOW + MAX_WORDS - 1)
             s, e = starts[at:end], ends[at:end]
             h = word_hashes(data, s, e)
-            yield Slice(data, s, e, piece[at:end], h, salts[lang[at:end]], lang[at:end], min(_WINDOW, len(starts) - at)), names
+            yield Slice(data, s, e, piece[at:end], h, salts, lang[at:end], min(_WINDOW, len(starts) - at)), names
 
 
 def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -188,7 +189,7 @@ def _counted(docs: DataFrame, wanted: Callable[[Slice, list[np.ndarray]], list[t
 
     ddl = "lang string, phrase string, k int, h long, n long" if texts else "lang string, h long, n long"
     keys = [x.split()[0] for x in ddl.split(", ")][:-1]
-    return docs.mapInArrow(run, ddl).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lambda batches: memory_returned(run(batches)), ddl).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def _bits(df: DataFrame):
@@ -201,6 +202,12 @@ def _bits(df: DataFrame):
     return df.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
+def _destroyed(filters: list) -> None:
+    """Bit maps of a written pass are needed by no task any more."""
+    for f in filters:
+        f.destroy()
+
+
 def _wide(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(20,0)")
 
@@ -259,6 +266,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top
         return [(1, _held(m[0], s.hashes(1)[: s.own])), (2, pair)]
 
     counts = written(_counted(src, texts_of_both, known, True).where(often), "phrase-counts")
+    known[0].destroy()
     pairs = written(_scored(counts.where("k = 2"), counts), "phrase-scored")
 
     def three(s: Slice, m: list) -> list:
@@ -280,12 +288,14 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top
     while True:
         least = written(_thresholds(pairs.join(open_langs, "lang", "left_semi"), depth), "phrase-least")
         reach = lambda df, c: df.join(least, "lang").where(c >= F.col("least")).drop("least")
-        grow = [_bits(both), _bits(reach(pairs, _bound("first"))), _bits(reach(pairs, _bound("last")))]
+        grow = [known[1], _bits(reach(pairs, _bound("first"))), _bits(reach(pairs, _bound("last")))]
         triples = written(_counted(src, three, grow, True).where(often), "phrase-triples")
+        _destroyed(grow[1:])
         scored = written(_scored(triples, counts), "phrase-scored-3")
         at_least = reach(scored, F.col("score"))
         grow4 = [_bits(reach(scored, _bound("first"))), _bits(reach(scored, _bound("last"))), _bits(at_least)]
         fours = written(_counted(src, four, grow4, True).where(often), "phrase-fours")
+        _destroyed(grow4)
         scored4 = _scored(fours, counts.unionByName(triples))
         longer = triples.unionByName(fours).select("lang", "n", F.explode(F.array(F.expr("substring_index(phrase, ' ', k - 1)"), F.expr("substring_index(phrase, ' ', 1 - k)"))).alias("phrase"))
         longer = longer.groupBy("lang", "phrase").agg(F.max("n").alias("within"))
@@ -300,11 +310,8 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top
         best = best.join(settled, "lang", "left_semi")
         done = best if done is None else done.unionByName(best)
         open_langs = written(least.select("lang").join(settled, "lang", "left_anti"), "phrase-open")
-        for f in (*grow, *grow4):
-            f.destroy()
         depth *= DEEPER
         if open_langs.isEmpty():
             break
-    for f in known:
-        f.destroy()
+    known[1].destroy()
     return done.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("n_words").alias("n"), "score")
