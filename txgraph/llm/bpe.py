@@ -38,12 +38,14 @@ from txgraph.llm.common import id_type, ids_and_texts, map_texts, memory_returne
 
 MODEL = "word_bpe_49k.json"
 PIECE_CHARS = 16_384
+ROWS = 64  # pieces that a task holds at once beside the batch it reads them from
 DICTIONARY = 400_000
 MARGIN = 16
 _SIGNS = r"!-&(-;=?@\[-`{}~"  # ASCII signs and digits without ' < > |
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(rf"[{_LETTERS}]+(?=[ \n'<{_SIGNS}]|\Z)|[0-9](?=[ \n'<{_SIGNS}A-Za-z]|\Z)|(?:(?![0-9])[{_SIGNS}])+(?=[ \n0-9A-Za-z]|\Z)|[^ \n]+")
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_FIRST = 1 << 31  # beside the id of a token that begins a pre-token
 
 
 def load(model_file: str):
@@ -96,7 +98,7 @@ class WordCodec:
         self.model = self.tok.model
         self.letters = plain_letters(self.tok)
         self.known: dict[str, tuple[bytes, str]] = {}
-        self.placed: dict[str, tuple[bytes, bytes, bytes, bytes, int]] = {}
+        self.placed: dict[str, bytes] = {}  # of each token: id and flag of a pre-token start, begin, end
         self.limit = dictionary
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -144,32 +146,30 @@ class WordCodec:
             if not w.isascii():  # the model counts bytes
                 others.append(w)
                 continue
-            got = self.model.tokenize(w)
-            n, spans = len(got), [t.offsets for t in got]
-            placed[w] = pack(f"<{n}I", *[t.id for t in got]), pack(f"<{n}i", *[a for a, _ in spans]), pack(f"<{n}i", *[b for _, b in spans]), b"\1" + bytes(n - 1), n
+            got = [x for t in self.model.tokenize(w) for x in (t.id, *t.offsets)]
+            got[0] |= _FIRST
+            placed[w] = pack(f"<{len(got)}I", *got)
         if others:
             self._place_words(others)
         for c, ws in parts.items():
             if len(ws) != 1:
-                at = list(accumulate(map(len, ws), initial=0))
-                got = [placed[w] for w in ws]
-                moved = [b"".join([x[k] if not a else (np.frombuffer(x[k], "<i4") + np.int32(a)).tobytes() for x, a in zip(got, at)]) for k in (1, 2)]
-                placed[c] = b"".join([x[0] for x in got]), *moved, b"".join([x[3] for x in got]), sum(x[4] for x in got)
+                at = accumulate(map(len, ws), initial=0)
+                placed[c] = b"".join([(np.frombuffer(placed[w], "<u4").reshape(-1, 3) + np.array([0, a, a], "<u4")).tobytes() if a else placed[w] for w, a in zip(ws, at)])
 
     def _place_words(self, new: list[str]) -> None:
         got = self.tok.encode_batch(new, add_special_tokens=False)
         size = [len(e.ids) for e in got]
         cuts = list(accumulate(size, initial=0))
-        ids = np.array([x for e in got for x in e.ids], dtype="<u4").tobytes()
-        spans = np.array([x for e in got for x in e.offsets], dtype="<i4").reshape(-1, 2)
-        start, end = spans[:, 0].tobytes(), spans[:, 1].tobytes()
         word = np.array([-1 if x is None else x for e in got for x in e.word_ids], dtype=np.int64)
         first = word < 0  # outside any pre-token: its own
         first[1:] |= word[1:] != word[:-1]
         first[[a for a, n in zip(cuts, size) if n]] = True
-        first = first.tobytes()
+        rows = np.empty((len(word), 3), "<u4")
+        rows[:, 0] = [x for e in got for x in e.ids]
+        rows[:, 0] |= first * np.uint32(_FIRST)
+        rows[:, 1:] = np.array([x for e in got for x in e.offsets], dtype="<u4").reshape(-1, 2)
         for w, a, b in zip(new, cuts, cuts[1:]):
-            self.placed[w] = ids[4 * a : 4 * b], start[4 * a : 4 * b], end[4 * a : 4 * b], first[a:b], b - a
+            self.placed[w] = rows[a:b].tobytes()
 
     def tokens(self, text: str) -> Tokens:
         """Tokens of a piece with their places: ``Tokens.of`` through a bounded dictionary."""
@@ -179,11 +179,11 @@ class WordCodec:
         new = list(dict.fromkeys(c for c in chunks if c not in self.placed))
         if new:
             self._place(new, chunks)
-        ids, start, end, first, size = zip(*map(self.placed.__getitem__, chunks))
+        got = list(map(self.placed.__getitem__, chunks))
+        rows = np.frombuffer(b"".join(got), "<u4").reshape(-1, 3)
         ends = np.cumsum(np.array(list(map(len, chunks)), dtype=np.int64) + 1)
-        at = np.repeat(np.concatenate(([0], ends[:-1])), np.array(size, dtype=np.int64))
-        ids, start, end, first = (np.frombuffer(b"".join(x), kind) for x, kind in ((ids, "<u4"), (start, "<i4"), (end, "<i4"), (first, bool)))
-        return Tokens(ids, start + at, end + at, first)
+        at = np.repeat(np.concatenate(([0], ends[:-1])), np.array(list(map(len, got)), dtype=np.int64) // 12)
+        return Tokens(rows[:, 0] & np.uint32(_FIRST - 1), rows[:, 1] + at, rows[:, 2] + at, rows[:, 0] >= _FIRST)
 
 
 def decoder_of(tok):
@@ -213,16 +213,19 @@ class Tokens:
         return Tokens(np.array(e.ids, dtype="<u4"), spans[:, 0], spans[:, 1], pre_token_starts(e))
 
     def packed(self) -> list[bytes]:
-        """Ids, gaps before and lengths of tokens as byte planes (the high ones are mostly zeros, which
-        a shuffle compresses away), and the starts of pre-tokens as bits."""
+        """Ids, gaps before and lengths of tokens as byte planes, without high ones that only repeat the sign
+        (one byte before them says how many are left), and the starts of pre-tokens as bits."""
         gap = self.start - np.concatenate((np.zeros(min(len(self), 1), np.int64), self.end[:-1]))
-        planes = [np.ascontiguousarray(x).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (self.ids, gap, self.end - self.start)]
-        return [*planes, np.packbits(self.first).tobytes()]
+        out = []
+        for x in (self.ids.astype(np.int64), gap, self.end - self.start):
+            width = next(k for k in (1, 2, 4) if not len(x) or -(1 << 8 * k - 1) <= x.min() and x.max() < 1 << 8 * k - 1)
+            out.append(bytes([width]) + x.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+        return [*out, np.packbits(self.first).tobytes()]
 
     @staticmethod
     def unpacked(ids: bytes, gap: bytes, length: bytes, first: bytes, at: int) -> Tokens:
         """The tokens of a piece that begins at ``at``."""
-        number, gap, length = (np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<i4").ravel() for x in (ids, gap, length))
+        number, gap, length = (np.ascontiguousarray(np.frombuffer(x, np.uint8, offset=1).reshape(x[0], -1).T).view(f"<i{x[0]}").ravel() for x in (ids, gap, length))
         end = at + np.cumsum(gap.astype(np.int64) + length)
         return Tokens(number.astype("<u4"), end - length, end, np.unpackbits(np.frombuffer(first, np.uint8), count=len(number)).astype(bool))
 
@@ -306,7 +309,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[
     equal rows are held once."""
     now, have, copies = None, {}, 0
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for a in range(0, batch.num_rows, ROWS) for r in batch.slice(a, ROWS).to_pylist()):
             if row[key] != now:
                 if have:
                     yield have, copies
@@ -355,8 +358,10 @@ def bpe_round_trip(docs: DataFrame, model_file: str | None = None, piece_chars:
     def encode_pieces(batches):
         codec = WordCodec(path)
         for batch in batches:
-            cols = zip(*(codec.tokens(x).packed() for x in batch.column(3).to_pylist())) if batch.num_rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.binary()) for c in cols)], names=[*batch.schema.names, "ids", "gap", "length", "first"])
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                cols = zip(*(codec.tokens(x).packed() for x in part.column(3).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.binary()) for c in cols)], names=[*part.schema.names, "ids", "gap", "length", "first"])
 
     def join_pieces(batches):
         tok = load(path)
