@@ -67,6 +67,33 @@ def test_grid_cells_keep_their_partitions(spark):
     assert w.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and w.count() == 4 * 16 * 15
 
 
+def test_pairs_of_a_hot_value_are_stored_in_few_bytes(spark, tmp_path):
+    """The pairs of a value repeat short runs, whatever its primaries' ids and rows; none is lost or made twice."""
+    df = spark.range(2503).selectExpr("xxhash64(id) AS p", "7 AS a", "explode(sequence(1, 1 + pmod(hash(id), 9)))").drop("col")
+    monopartite_weighted(df, "p", "a", one_value_per_primary=True, sized=True).write.parquet(f"{tmp_path}/pairs")
+    back = spark.read.parquet(f"{tmp_path}/pairs")
+    rows, alone = df.count(), df.groupBy("p").count().selectExpr("sum(count * count)").first()[0]
+    got = back.selectExpr("count(*)", "count(DISTINCT src, dst)", "sum(weight)").first()
+    assert tuple(got) == (2503 * 2502, 2503 * 2502, rows * rows - alone)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * got[0]
+
+
+def test_tasks_follow_the_number_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr("txgraph.operators.edges.PAIRS_A_TASK", 100)
+    df = spark.range(64).selectExpr("id AS p", "id % 4 AS a")
+    w = monopartite_weighted(df, "p", "a", block_rows=4, one_value_per_primary=True, sized=True)
+    assert w.rdd.getNumPartitions() == 11 and w.count() == w.distinct().count() == 4 * 16 * 15
+
+
+def test_blocks_of_any_size_keep_all_pairs(spark):
+    """Tiles of a multiple of 8 rows and one for the rest, in one block or several."""
+    df = spark.range(90).selectExpr("id AS p", "CAST(floor(sqrt(id)) AS int) AS a").unionByName(spark.range(1000, 1041).selectExpr("id AS p", "99 AS a"))
+    want = {(r["x"], r["y"]) for r in df.selectExpr("p AS x", "a").join(df.selectExpr("p AS y", "a"), "a").filter("x != y").collect()}
+    for rows in (1, 3, 8, 20, 41):
+        got = [(r["src"], r["dst"]) for r in monopartite_weighted(df, "p", "a", block_rows=rows, one_value_per_primary=True).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_precision_recall_zero_division(spark):
     df = spark.createDataFrame([(0.1, 1), (0.2, 0)], "score double, label int")
     r = precision_recall(df).first()
