@@ -78,6 +78,19 @@ def test_pairs_of_a_hot_value_are_stored_in_few_bytes(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * got[0]
 
 
+def test_two_definitions_are_stored_in_few_bytes(spark, tmp_path):
+    """A hot value beside one of small groups: weights follow the counts of rows but for the few pairs that share both."""
+    d = GraphDefinition("two", {"P": primary(["k"], (), Validity(all_not_null=True)), "A": auxiliary(["a"], Validity(all_not_null=True)),
+                                "B": auxiliary(["b"], Validity(all_not_null=True))},
+                        [MonoEdge("P", "A", "LINKED"), MonoEdge("P", "B", "LINKED")], "P")
+    base = spark.range(2503).selectExpr(f"xxhash64(id) AS {id_col('P')}", f"7L AS {id_col('A')}", f"id div 5 AS {id_col('B')}", "explode(sequence(1, 1 + pmod(hash(id), 9)))").drop("col")
+    build_edges(base, d, sized=True)[("P", "LINKED", "P")].write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs").selectExpr("count(*)", "count(DISTINCT src, dst)", "sum(weight)").first()
+    bag = lambda on: base.groupBy(on).count().selectExpr("sum(count * count)").first()[0]
+    assert tuple(got) == (2503 * 2502, 2503 * 2502, bag(id_col("A")) + bag(id_col("B")) - 2 * bag(id_col("P")))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * got[0]
+
+
 def test_tasks_follow_the_number_of_pairs(spark, monkeypatch):
     monkeypatch.setattr("txgraph.operators.edges.PAIRS_A_TASK", 100)
     df = spark.range(64).selectExpr("id AS p", "id % 4 AS a")
