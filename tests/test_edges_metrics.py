@@ -100,7 +100,7 @@ def test_tasks_follow_the_number_of_pairs(spark, monkeypatch):
 
 def test_blocks_of_any_size_keep_all_pairs(spark):
     """Tiles of a multiple of 8 rows and one for the rest, in one block or several."""
-    df = spark.range(90).selectExpr("id AS p", "CAST(floor(sqrt(id)) AS int) AS a").unionByName(spark.range(1000, 1041).selectExpr("id AS p", "99 AS a"))
+    df = spark.range(90).selectExpr("id AS p", "CAST(floor(sqrt(id)) AS int) AS a").unionByName(spark.range(1000, 1093).selectExpr("id AS p", "99 AS a"))
     want = {(r["x"], r["y"]) for r in df.selectExpr("p AS x", "a").join(df.selectExpr("p AS y", "a"), "a").filter("x != y").collect()}
     for rows in (1, 3, 8, 20, 41):
         got = [(r["src"], r["dst"]) for r in monopartite_weighted(df, "p", "a", block_rows=rows, one_value_per_primary=True).collect()]
